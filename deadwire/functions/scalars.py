@@ -114,14 +114,15 @@ def field_bytes_tier(name) -> Column:
             .otherwise("default"))
 
 
+def tier_bytes(tier) -> Column:
+    """Bytes of a tier label (a literal map lookup)."""
+    m = F.create_map(*[x for k, v in BYTES.items() for x in (F.lit(k), F.lit(v))])
+    return F.element_at(m, _c(tier)).cast("int")
+
+
 def estimate_field_bytes(name) -> Column:
     """Estimated serialized JSON bytes of a field's value, from its name."""
-    t = field_bytes_tier(name)
-    out = F.lit(BYTES["default"])
-    for k, v in BYTES.items():
-        if k != "default":
-            out = F.when(t == k, F.lit(v)).otherwise(out)
-    return out.cast("int")
+    return tier_bytes(field_bytes_tier(name))
 
 
 def estimate_daily_requests(pattern) -> Column:

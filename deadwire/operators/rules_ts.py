@@ -31,7 +31,8 @@ PROPERTY_ACCESS = r"(?<=[\w$)\]}'\"`!])\s*(?:\?\.|\.)\s*(" + JS_IDENT + r")"
 OBJECT_PATTERN_DECL = r"\b(?:const|let|var)\s*\{"
 DECL_PATTERN_END = r"\s*(?::[^=;{}]+)?(?:=(?!=)|\bof\b|\bin\b)"
 OBJECT_PATTERN_PARAM = r"[(,]\s*\{"
-PARAM_PATTERN_END = r"\s*(?::[^(){},]*)?(?:,[^(){}]*)?\)\s*(?::[^=;{}()]+)?(?:=>|\{)"
+PARAM_PATTERN_END = (r"\s*(?::(?:[^(){},]|\{[^{}]*\})*)?(?:,(?:[^(){}]|\{[^{}]*\})*)?\)\s*"
+                     r"(?::[^=;{}()]+)?(?:=>|\{)")
 ARRAY_PATTERN_DECL = r"\b(?:const|let|var)\s*\[([^\[\]]*)\]\s*(?::[^=;]+)?=(?!=)"
 BINDING_KEY = r"(?:^|[{,\[])\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
 ARRAY_ELEMENT = r"(?:^|,)\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
@@ -105,10 +106,27 @@ def ts_response_defs(b: Column) -> Column:
     return F.concat(nz(direct), nz(via))
 
 
+def chain_lines(acc: Column) -> Column:
+    """A property access is reported on the line where its whole chain starts.
+    An access whose dot begins a new line continues the chain of the access
+    that ended on the line before; it takes that chain's start line."""
+    empty = F.array().cast("array<struct<line:int,m:string,k:string>>")
+    init = F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("start"), empty.alias("out"))
+
+    def step(a, x):
+        cont = x["m"].rlike(r"^[ \t]*\n") & (a["end"] == x["line"])
+        start = F.when(cont, a["start"]).otherwise(x["line"])
+        item = F.struct(start.alias("line"), x["m"].alias("m"), x["k"].alias("k"))
+        return F.struct((x["line"] + nl(x["m"])).alias("end"), start.alias("start"),
+                        F.concat(a["out"], F.array(item)).alias("out"))
+
+    return F.aggregate(acc, init, step, lambda a: a["out"])
+
+
 def ts_reads(b: Column) -> Column:
     """Property accesses (incl. optional chaining, JSX, templates) first, then
     destructured keys at every depth (aliases keep the source key)."""
-    acc = scan(b, PROPERTY_ACCESS, {"k": 1}, guard=".")
+    acc = chain_lines(scan(b, PROPERTY_ACCESS, {"k": 1}, guard="."))
     p1 = F.transform(F.filter(acc, lambda x: ts_read_candidate(x["k"])),
                      lambda x: fact("response", "ts_property", 1, x["k"], x["line"]))
 

@@ -9,12 +9,13 @@ AQE splits any skewed partition that is left.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deadwire.functions import scalars as S
+from deadwire.operators.diff import compute_diff
 from deadwire.operators.extract import extract, facts_of, routes_of
 
 RESPONSE_DEF_EXT = {"py": "py_defs", "go": "go_defs", "ts": "ts_response_defs"}
@@ -33,19 +34,27 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@dataclass
 class Analysis:
-    """Fact tables of one corpus and the plans built on them."""
-    files: DataFrame
-    routes: DataFrame
-    facts: DataFrame
+    """Fact tables of one corpus and the plans built on them.
+
+    With ``persist`` the extraction output and the pipeline's intermediate
+    tables (endpoints, callers, dead fields, global dead fields) are written
+    once, on first use, under the session's checkpoint folder; every report
+    reads them instead of recomputing their lineage."""
+
+    def __init__(self, spark: SparkSession, files: DataFrame, routes: DataFrame, facts: DataFrame,
+                 persist: bool = True):
+        self.spark, self.files, self.routes, self.facts, self.persist = spark, files, routes, facts, persist
 
     @classmethod
     def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True) -> "Analysis":
         ex = extract(files)
         if persist:
             ex = materialize(spark, ex, "extracted")
-        return cls(files.select("repo", "path", "lang"), routes_of(ex), facts_of(ex))
+        return cls(spark, files.select("repo", "path", "lang"), routes_of(ex), facts_of(ex), persist)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(self.spark, df, name) if self.persist else df
 
     # --- registry --------------------------------------------------------------
     def pattern_routes(self) -> DataFrame:
@@ -54,6 +63,13 @@ class Analysis:
                                   "method")
 
     def endpoints(self) -> DataFrame:
+        return self._endpoints
+
+    @cached_property
+    def _endpoints(self) -> DataFrame:
+        return self._keep(self._endpoints_plan(), "endpoints")
+
+    def _endpoints_plan(self) -> DataFrame:
         """endpoints(repo, pattern, method, backend_file, backend_lang,
         n_frontend, first_frontend). First backend file in (language rank,
         path) order; frontend files counted, not collected."""
@@ -68,9 +84,13 @@ class Analysis:
                         "n_frontend", F.col("fe.path").alias("first_frontend")))
 
     def callers(self) -> DataFrame:
+        return self._callers
+
+    @cached_property
+    def _callers(self) -> DataFrame:
         """callers(repo, pattern, path): frontend files per endpoint."""
-        return (self.pattern_routes().filter(F.col("role") == "frontend")
-                .select("repo", "pattern", "path").distinct())
+        return self._keep(self.pattern_routes().filter(F.col("role") == "frontend")
+                .select("repo", "pattern", "path").distinct(), "callers")
 
     # --- field sets and diff ------------------------------------------------------
     def _facts(self, *exts: str) -> DataFrame:
@@ -107,9 +127,16 @@ class Analysis:
         return defined, accessed
 
     def dead_fields(self) -> DataFrame:
+        return self._dead
+
+    @cached_property
+    def _dead(self) -> DataFrame:
+        return self._keep(self._dead_plan(), "dead")
+
+    def _dead_plan(self) -> DataFrame:
         """Per-endpoint dead fields with daily waste (J1 + P16)."""
         defined, accessed = self.field_sets()
-        dead = defined.join(accessed, ["repo", "pattern", "name"], "left_anti")
+        dead = compute_diff(defined, accessed, ["repo", "pattern"])
         return dead.select("repo", "pattern", S.pattern_method(F.col("pattern")).alias("method"),
                            "backend_file", "path", "lang", "side", "rule", "name", "line",
                            S.score_waste(F.col("name"), F.col("pattern")).alias("waste_score"))
@@ -118,10 +145,16 @@ class Analysis:
         return self._facts(*GLOBAL_DEF_EXT).filter(F.col("side") == "response")
 
     def global_dead(self) -> DataFrame:
+        return self._global_dead
+
+    @cached_property
+    def _global_dead(self) -> DataFrame:
+        return self._keep(self._global_dead_plan(), "global_dead")
+
+    def _global_dead_plan(self) -> DataFrame:
         """Response definitions of every file whose name no TypeScript file of
         the same repo reads (J4), default request tier."""
-        read_names = self._facts("ts_reads").select("repo", "name").distinct()
-        dead = self.global_defs().join(read_names, ["repo", "name"], "left_anti")
+        dead = compute_diff(self.global_defs(), self._facts("ts_reads"), ["repo"])
         return dead.select("repo", "path", "lang", "side", "rule", "name", "line",
                            S.score_waste(F.col("name")).alias("waste_score"))
 

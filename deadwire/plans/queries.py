@@ -140,10 +140,12 @@ def q_field_bytes_tiers(spark, sf_dir):
     """Byte tier of every identifier-like word of every document."""
     docs = read_table(spark, sf_dir, "documents").select("text")
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("word"))
-    return (words.select(S.field_bytes_tier(F.col("word")).alias("tier"),
-                         S.estimate_field_bytes(F.col("word")).alias("bytes"), "word")
-            .groupBy("tier", "bytes")
-            .agg(F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct")))
+    # tier once per distinct word: duplicates are merged map-side first
+    per_word = words.groupBy("word").agg(F.count("*").alias("n"))
+    tiers = per_word.select("word", "n", S.field_bytes_tier(F.col("word")).alias("tier"))
+    return (tiers.groupBy("tier")
+            .agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+            .select("tier", S.tier_bytes(F.col("tier")).alias("bytes"), "n_words", "n_distinct"))
 
 
 def q_noise_filter(spark, sf_dir):
