@@ -67,28 +67,44 @@ def _facts_for(lang: Column, content: Column, blank: Column, sts: Column) -> Col
     return F.concat(*[F.coalesce(p, typed_empty) for p in parts])
 
 
-def extract(files: DataFrame) -> DataFrame:
+_BUILT: dict = {}
+
+
+def _columns():
+    """The extraction expressions, built once per driver JVM: they depend only
+    on column names, and building them costs thousands of driver calls."""
+    from pyspark import SparkContext
+    key = id(SparkContext._gateway)
+    if key not in _BUILT:
+        content, lang = F.col("content"), F.col("lang")
+        _BUILT[key] = (
+            F.when(lang == "ts", blank_ts(content)).alias("blank"),
+            F.when(lang == "go", rules_go.structs(content)).alias("sts"),
+            route_facts(content).alias("routes"),
+            _facts_for(lang, content, F.col("blank"), F.col("sts")).alias("facts"),
+        )
+    return _BUILT[key]
+
+
+def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """files(repo, path, lang, content) -> one row per file with two arrays:
-    ``routes`` and ``facts``. Narrow: one projection chain, no exchange."""
-    f = files.select("repo", "path", "lang", "content")
+    ``routes`` and ``facts`` (plus any ``keep`` columns). Narrow: one
+    projection chain, no exchange."""
+    keep = list(keep or [])
+    blank, sts, routes, facts = _columns()
+    f = files.select("repo", "path", "lang", "content", *keep)
     # Stage 1: per-file derived texts computed once (TS blanking, Go structs).
-    f = f.select("repo", "path", "lang", "content",
-                 F.when(F.col("lang") == "ts", blank_ts(F.col("content"))).alias("blank"),
-                 F.when(F.col("lang") == "go", rules_go.structs(F.col("content"))).alias("sts"))
-    return f.select(
-        "repo", "path", "lang",
-        route_facts(F.col("content")).alias("routes"),
-        _facts_for(F.col("lang"), F.col("content"), F.col("blank"), F.col("sts")).alias("facts"),
-    )
+    f = f.select("repo", "path", "lang", "content", *keep, blank, sts)
+    return f.select("repo", "path", "lang", *keep, routes, facts)
 
 
-def routes_of(extracted: DataFrame) -> DataFrame:
+def routes_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """routes(repo, path, lang, lang_rank, role, rule, method, url)."""
     rank = F.create_map(*[x for k, v in LANG_RANK.items() for x in (F.lit(k), F.lit(v))])
-    return (extracted.select("repo", "path", "lang", F.inline("routes"))
+    return (extracted.select("repo", "path", "lang", *(keep or []), F.inline("routes"))
             .withColumn("lang_rank", F.element_at(rank, F.col("lang"))))
 
 
-def facts_of(extracted: DataFrame) -> DataFrame:
+def facts_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """fields(repo, path, lang, ext, side, rule, name, line)."""
-    return extracted.select("repo", "path", "lang", F.inline("facts"))
+    return extracted.select("repo", "path", "lang", *(keep or []), F.inline("facts"))

@@ -254,3 +254,6 @@ ORACLE["position_lookup"] = _with("""
 SELECT repo, path, line, name, CAST(min(waste_score) AS BIGINT) AS waste_score
 FROM (SELECT *, min(name) OVER (PARTITION BY repo, path, line) AS first_name FROM ledger) t
 WHERE name = first_name GROUP BY repo, path, line, name""")
+
+# Streaming re-analysis ends in the same state as the batch job.
+ORACLE["incremental_rescan"] = ORACLE["dead_fields"]

@@ -179,3 +179,28 @@ QUERIES = {
     "field_bytes_tiers": q_field_bytes_tiers,
     "noise_filter": q_noise_filter,
 }
+
+
+def q_incremental_rescan(spark, sf_dir):
+    """The corpus lands as versioned saves (first every file with stale
+    frontends that read nothing, then the real frontends); a file-source
+    stream re-analyses each save; the latest version of every file wins. The
+    final state's dead fields equal the batch answer."""
+    import uuid
+
+    from deadwire.session import ensure_checkpoint_dir
+    from deadwire.streaming.rescan import current_state, run_rescan, write_drop
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rescan-{uuid.uuid4().hex[:12]}"
+    files = derived_files(spark, sf_dir)
+    is_fe = F.col("path").contains("/frontend/")
+    stale = F.regexp_replace("content", r"\n  (out\.push|const \{)[^\n]*", "")
+    write_drop(files.withColumn("content", F.when(is_fe, stale).otherwise(F.col("content"))),
+               f"{base}/landing", 1)
+    write_drop(files.filter(is_fe), f"{base}/landing", 2)
+    run_rescan(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
+               max_files_per_trigger=4096)
+    return current_state(spark, f"{base}/state").dead_fields()
+
+
+QUERIES["incremental_rescan"] = q_incremental_rescan
