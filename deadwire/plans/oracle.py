@@ -257,3 +257,9 @@ WHERE name = first_name GROUP BY repo, path, line, name""")
 
 # Streaming re-analysis ends in the same state as the batch job.
 ORACLE["incremental_rescan"] = ORACLE["dead_fields"]
+
+ORACLE["accuracy_overall"] = _with("""
+SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
+       CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS macro_precision, 1.0::DOUBLE AS macro_recall,
+       1.0::DOUBLE AS micro_precision, 1.0::DOUBLE AS micro_recall
+FROM (SELECT repo, count(DISTINCT name) AS tp FROM f WHERE has_fe AND NOT is_read GROUP BY repo) t""")

@@ -83,6 +83,10 @@ class Analysis:
                         F.col("be.path").alias("backend_file"), F.col("be.lang").alias("backend_lang"),
                         "n_frontend", F.col("fe.path").alias("first_frontend")))
 
+    def endpoints_sorted(self) -> DataFrame:
+        """Endpoints in locale-aware pattern order (O-1), for reports."""
+        return self.endpoints().orderBy(F.collate(F.col("pattern"), "UNICODE"), "repo")
+
     def callers(self) -> DataFrame:
         return self._callers
 

@@ -204,3 +204,12 @@ def q_incremental_rescan(spark, sf_dir):
 
 
 QUERIES["incremental_rescan"] = q_incremental_rescan
+
+
+def q_accuracy_overall(spark, sf_dir):
+    """Macro and micro precision/recall over all repos."""
+    from deadwire.plans.evaluation import overall
+    return overall(q_accuracy(spark, sf_dir))
+
+
+QUERIES["accuracy_overall"] = q_accuracy_overall

@@ -102,7 +102,7 @@ def write_report(analysis, out_dir: str) -> None:
     field = lambda: F.struct("name", "side", F.concat_ws(":", "path", F.col("line").cast("string"))
                              .alias("definedAt"), F.col("waste_score").alias("wasteScore"))
     per_ep = dead.groupBy("repo", "pattern").agg(F.collect_list(field()).alias("deadFields"))
-    (a.endpoints().join(per_ep, ["repo", "pattern"], "left")
+    (a.endpoints_sorted().join(per_ep, ["repo", "pattern"], "left")
      .select("repo", "pattern", "method", F.coalesce("backend_file", F.lit("")).alias("backendFile"),
              F.col("n_frontend").alias("frontendFiles"),
              F.coalesce("deadFields", F.array().cast("array<struct<name:string,side:string,"
