@@ -108,3 +108,35 @@ def routes_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def facts_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """fields(repo, path, lang, ext, side, rule, name, line)."""
     return extracted.select("repo", "path", "lang", *(keep or []), F.inline("facts"))
+
+
+FLAT_SCHEMA = ("repo string, path string, lang string, ext string, side string, rule string, "
+               "name string, line int, role string, method string, url string")
+
+
+def flat_facts(extracted: DataFrame) -> DataFrame:
+    """Routes and field facts as one flat table (ext = 'route' for routes and
+    calls), so it can be written once, partitioned by ``ext``, and every
+    query prunes to the partitions it needs."""
+    null = lambda t: F.lit(None).cast(t)
+    r = F.transform(F.col("routes"), lambda x: F.struct(
+        F.lit("route").alias("ext"), null("string").alias("side"), x["rule"].alias("rule"),
+        null("string").alias("name"), null("int").alias("line"), x["role"].alias("role"),
+        x["method"].alias("method"), x["url"].alias("url")))
+    f = F.transform(F.col("facts"), lambda x: F.struct(
+        x["ext"].alias("ext"), x["side"].alias("side"), x["rule"].alias("rule"), x["name"].alias("name"),
+        x["line"].alias("line"), null("string").alias("role"), null("string").alias("method"),
+        null("string").alias("url")))
+    return extracted.select("repo", "path", "lang", F.inline(F.concat(r, f)))
+
+
+def routes_from_flat(flat: DataFrame) -> DataFrame:
+    rank = F.create_map(*[x for k, v in LANG_RANK.items() for x in (F.lit(k), F.lit(v))])
+    return (flat.filter(F.col("ext") == "route")
+            .select("repo", "path", "lang", "role", "rule", "method", "url",
+                    F.element_at(rank, F.col("lang")).alias("lang_rank")))
+
+
+def facts_from_flat(flat: DataFrame) -> DataFrame:
+    return (flat.filter(F.col("ext") != "route")
+            .select("repo", "path", "lang", "ext", "side", "rule", "name", "line"))

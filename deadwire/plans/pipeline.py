@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from deadwire.functions import scalars as S
 from deadwire.operators.diff import compute_diff
-from deadwire.operators.extract import extract, facts_of, routes_of
+from deadwire.operators.extract import extract, facts_from_flat, flat_facts, routes_from_flat
 
 RESPONSE_DEF_EXT = {"py": "py_defs", "go": "go_defs", "ts": "ts_response_defs"}
 GLOBAL_DEF_EXT = ["py_defs", "go_defs", "java_defs", "ts_response_defs"]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str,
+                partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint folder and read
     it back: cuts lineage so a lost executor does not redo the extraction,
     and lets every downstream query reuse it."""
@@ -30,7 +31,10 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/deadwire-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -48,10 +52,11 @@ class Analysis:
 
     @classmethod
     def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True) -> "Analysis":
-        ex = extract(files)
+        flat = flat_facts(extract(files))
         if persist:
-            ex = materialize(spark, ex, "extracted")
-        return cls(spark, files.select("repo", "path", "lang"), routes_of(ex), facts_of(ex), persist)
+            flat = materialize(spark, flat, "facts", partition_by="ext")
+        return cls(spark, files.select("repo", "path", "lang"), routes_from_flat(flat),
+                   facts_from_flat(flat), persist)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(self.spark, df, name) if self.persist else df
