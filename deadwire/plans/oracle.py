@@ -28,6 +28,8 @@ p AS (SELECT p_partkey, p_size, bn, bucket, is_read,
              (bucket + 3 * bn) % 3 AS style,
              (bucket + bn) % 10 <> 9 AS has_fe,
              row_number() OVER (PARTITION BY bn, bucket ORDER BY p_partkey) AS pos,
+             count(*) OVER (PARTITION BY bn, bucket) AS n_parts,
+             sum(CASE WHEN is_read THEN 1 ELSE 0 END) OVER (PARTITION BY bn, bucket) AS n_read,
              sum(CASE WHEN is_read THEN 1 ELSE 0 END) OVER (
                  PARTITION BY bn, bucket ORDER BY p_partkey
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rpos
@@ -38,9 +40,10 @@ f AS (SELECT *,
         CASE WHEN lang = 'java' THEN 'POST' ELSE 'GET' END AS method,
         CASE WHEN lang = 'java' THEN 'POST' ELSE 'GET' END || ' /api/' || repo || '/b'
             || CAST(bucket AS VARCHAR) || '/:param' AS pattern,
-        CAST(CASE lang WHEN 'py' THEN (CASE WHEN style = 2 THEN 7 ELSE 6 END) + pos
-                       WHEN 'go' THEN (CASE WHEN style % 2 = 0 THEN 7 ELSE 5 END) + pos
+        CAST(CASE lang WHEN 'py' THEN 7 + pos
+                       WHEN 'go' THEN (CASE WHEN style % 2 = 0 THEN 8 ELSE 5 END) + pos
                        WHEN 'ts' THEN 5 + pos END AS INTEGER) AS be_line,
+        CAST(12 + n_read + rpos AS INTEGER) AS dto_line,
         CASE lang WHEN 'py' THEN (CASE style WHEN 0 THEN 'py_jsonify' WHEN 1 THEN 'py_return_dict'
                                  ELSE 'py_json_response' END)
                   WHEN 'go' THEN (CASE WHEN style % 2 = 0 THEN 'go_gin_h' ELSE 'go_struct' END)
@@ -59,7 +62,11 @@ ep_dead AS (
 gl_dead AS (
   SELECT repo, be_path AS path, lang, 'response' AS side, be_rule AS rule, name, be_line AS line,
          gl_waste AS waste_score
-  FROM f WHERE lang <> 'java' AND NOT (has_fe AND is_read)),
+  FROM f WHERE lang <> 'java' AND NOT (has_fe AND is_read)
+  UNION ALL
+  SELECT repo, be_path AS path, lang, 'response' AS side, 'java_dto' AS rule, name, dto_line AS line,
+         gl_waste AS waste_score
+  FROM f WHERE lang = 'java' AND is_read),
 ledger AS (
   SELECT 'endpoint' AS source, repo, pattern, path, side, name, line, waste_score FROM ep_dead
   UNION ALL
@@ -169,6 +176,17 @@ FROM f"""),
         path="fe_path", lang="'ts'", side="response",
         rule="CASE WHEN p_partkey % 4 = 3 THEN 'ts_destructure' ELSE 'ts_property' END",
         line="CAST(5 + rpos AS INTEGER)") + " FROM f WHERE lang <> 'java' AND has_fe AND is_read"),
+    "defs_java": _with("SELECT " + FACTS.format(path="be_path", lang="lang", side="response", rule="'java_dto'",
+                                                line="dto_line") + " FROM f WHERE lang = 'java' AND is_read"),
+    "reads_py": _with("""
+SELECT DISTINCT repo, be_path AS path, lang, 'request' AS side, 'py_args_get' AS rule,
+       'sort' || CAST(bucket AS VARCHAR) AS name, CAST(6 AS INTEGER) AS line
+FROM f WHERE lang = 'py' AND style <> 2"""),
+    "reads_go": _with("""
+SELECT DISTINCT repo, be_path AS path, lang, 'request' AS side, 'go_query' AS rule,
+       'page' || CAST(bucket AS VARCHAR) AS name,
+       CAST(CASE WHEN style % 2 = 0 THEN 7 ELSE 10 + n_parts END AS INTEGER) AS line
+FROM f WHERE lang = 'go'"""),
     "reads_java": _with("SELECT " + FACTS.format(path="be_path", lang="'java'", side="request",
                                                  rule="'java_getter'", line="CAST(8 + rpos AS INTEGER)")
                         + " FROM f WHERE lang = 'java' AND is_read"),
@@ -176,19 +194,22 @@ FROM f"""),
     "global_dead": _with("SELECT * FROM gl_dead"),
     "global_lang_totals": _with("""
 SELECT repo, lang, CAST(count(*) AS BIGINT) AS scanned,
-       CAST(sum(CASE WHEN NOT (has_fe AND is_read) THEN 1 ELSE 0 END) AS BIGINT) AS dead,
-       CAST(sum(CASE WHEN NOT (has_fe AND is_read) THEN gl_waste ELSE 0 END) AS BIGINT) AS waste_score
-FROM f WHERE lang <> 'java' GROUP BY repo, lang"""),
+       CAST(sum(CASE WHEN lang = 'java' OR NOT (has_fe AND is_read) THEN 1 ELSE 0 END) AS BIGINT) AS dead,
+       CAST(sum(CASE WHEN lang = 'java' OR NOT (has_fe AND is_read) THEN gl_waste ELSE 0 END) AS BIGINT)
+         AS waste_score
+FROM f WHERE lang <> 'java' OR is_read GROUP BY repo, lang"""),
     "summary": _with(f"""
 , r AS (
   SELECT repo,
     CAST(count(DISTINCT bucket) AS BIGINT) AS n_endpoints,
     CAST(sum(CASE WHEN has_fe AND NOT is_read THEN 1 ELSE 0 END) AS BIGINT) AS endpoint_dead,
-    CAST(sum(CASE WHEN lang <> 'java' AND NOT (has_fe AND is_read) THEN 1 ELSE 0 END) AS BIGINT) AS global_dead,
-    CAST(sum(CASE WHEN has_fe THEN 1 ELSE 0 END) + sum(CASE WHEN lang <> 'java' THEN 1 ELSE 0 END)
-         AS BIGINT) AS response_fields,
+    CAST(sum(CASE WHEN (lang <> 'java' AND NOT (has_fe AND is_read)) OR (lang = 'java' AND is_read)
+                  THEN 1 ELSE 0 END) AS BIGINT) AS global_dead,
+    CAST(sum(CASE WHEN has_fe THEN 1 ELSE 0 END)
+         + sum(CASE WHEN lang <> 'java' OR is_read THEN 1 ELSE 0 END) AS BIGINT) AS response_fields,
     CAST(sum(CASE WHEN has_fe AND NOT is_read THEN ep_waste ELSE 0 END)
-       + sum(CASE WHEN lang <> 'java' AND NOT (has_fe AND is_read) THEN gl_waste ELSE 0 END) AS BIGINT)
+       + sum(CASE WHEN (lang <> 'java' AND NOT (has_fe AND is_read)) OR (lang = 'java' AND is_read)
+                  THEN gl_waste ELSE 0 END) AS BIGINT)
        AS waste_bytes
   FROM f GROUP BY repo)
 SELECT repo, n_endpoints, endpoint_dead, global_dead, endpoint_dead + global_dead AS total_dead,

@@ -67,6 +67,18 @@ def q_reads_java(spark, sf_dir):
     return _facts(spark, sf_dir, "java_reads")
 
 
+def q_defs_java(spark, sf_dir):
+    return _facts(spark, sf_dir, "java_defs")
+
+
+def q_reads_py(spark, sf_dir):
+    return _facts(spark, sf_dir, "py_reads")
+
+
+def q_reads_go(spark, sf_dir):
+    return _facts(spark, sf_dir, "go_reads")
+
+
 def q_dead_fields(spark, sf_dir):
     return analysis(spark, sf_dir).dead_fields()
 
@@ -153,9 +165,11 @@ def q_noise_filter(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("text")
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("name"))
     nt = noise_table(spark)  # fixed ~400 rows: broadcast is size-bounded
-    return (words.join(F.broadcast(nt), "name")
-            .groupBy("lang", "kind").agg(F.count("*").alias("hits"),
-                                         F.count_distinct("name").alias("distinct_names")))
+    # word counts first (map-side combined), then the small lookup join
+    per_word = words.groupBy("name").agg(F.count("*").alias("n"))
+    return (per_word.join(F.broadcast(nt), "name")
+            .groupBy("lang", "kind").agg(F.sum("n").alias("hits"),
+                                         F.count("*").alias("distinct_names")))
 
 
 QUERIES = {
@@ -167,6 +181,9 @@ QUERIES = {
     "defs_ts_request": q_defs_ts_request,
     "reads_ts": q_reads_ts,
     "reads_java": q_reads_java,
+    "defs_java": q_defs_java,
+    "reads_py": q_reads_py,
+    "reads_go": q_reads_go,
     "dead_fields": q_dead_fields,
     "global_dead": q_global_dead,
     "global_lang_totals": q_global_lang_totals,
@@ -182,7 +199,7 @@ QUERIES = {
 
 
 def q_incremental_rescan(spark, sf_dir):
-    """The corpus lands as versioned saves (first every file with stale
+    """The corpus lands as a change feed of versioned saves (first every file with stale
     frontends that read nothing, then the real frontends); a file-source
     stream re-analyses each save; the latest version of every file wins. The
     final state's dead fields equal the batch answer."""
@@ -199,7 +216,7 @@ def q_incremental_rescan(spark, sf_dir):
                f"{base}/landing", 1)
     write_drop(files.filter(is_fe), f"{base}/landing", 2)
     run_rescan(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
-               max_files_per_trigger=4096)
+               max_files_per_trigger=8)
     return current_state(spark, f"{base}/state").dead_fields()
 
 

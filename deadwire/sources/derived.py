@@ -100,9 +100,10 @@ def render(groups: DataFrame) -> DataFrame:
         return _arr(F.transform(arr, fmt))
 
     # python
-    py_head0 = [_lit("from flask import Flask, jsonify"), _lit("app = Flask(__name__)"), _lit(""),
+    py_head0 = [_lit("from flask import Flask, jsonify, request"), _lit("app = Flask(__name__)"), _lit(""),
                 F.concat(F.lit("@app.route('"), url_tail, F.lit("<int:item_id>')")),
-                F.concat(F.lit("def get_b"), b, F.lit("(item_id):"))]
+                F.concat(F.lit("def get_b"), b, F.lit("(item_id):")),
+                F.concat(F.lit("    order = request.args.get('sort"), b, F.lit("')"))]
     py_key = each(fs, lambda f: F.concat(F.lit('        "'), f["name"], F.lit('": item_id,')))
     py0 = _lines(*py_head0, _lit("    return jsonify({"), py_key, _lit("    })"))
     py1 = _lines(*py_head0, _lit("    return {"), py_key, _lit("    }"))
@@ -114,7 +115,8 @@ def render(groups: DataFrame) -> DataFrame:
     # go
     go_head = [F.concat(F.lit("package "), repo), _lit(""), _lit('import "github.com/gin-gonic/gin"'), _lit("")]
     go_route = F.concat(F.lit('\tr.GET("'), url_tail, F.lit(':id", func(c *gin.Context) {'))
-    go0 = _lines(*go_head, F.concat(F.lit("func RegisterB"), b, F.lit("(r *gin.Engine) {")), go_route,
+    go_query = F.concat(F.lit('\t\t_ = c.Query("page'), b, F.lit('")'))
+    go0 = _lines(*go_head, F.concat(F.lit("func RegisterB"), b, F.lit("(r *gin.Engine) {")), go_route, go_query,
                  _lit("\t\tc.JSON(200, gin.H{"),
                  each(fs, lambda f: F.concat(F.lit('\t\t\t"'), f["name"], F.lit('": c.Param("id"),'))),
                  _lit("\t\t})"), _lit("\t})"), _lit("}"))
@@ -122,7 +124,8 @@ def render(groups: DataFrame) -> DataFrame:
                  each(fs, lambda f, i: F.concat(F.lit("\tF"), (i + 1).cast("string"),
                                                 F.lit(' string `json:"'), f["name"], F.lit('"`'))),
                  _lit("}"), _lit(""), F.concat(F.lit("func RegisterB"), b, F.lit("(r *gin.Engine) {")),
-                 go_route, F.concat(F.lit("\t\tc.JSON(200, RespB"), b, F.lit("{})")), _lit("\t})"), _lit("}"))
+                 go_route, go_query, F.concat(F.lit("\t\tc.JSON(200, RespB"), b, F.lit("{})")), _lit("\t})"),
+                 _lit("}"))
     # typescript backend
     ts_head = [_lit("import express from 'express';"), _lit("const app = express();"), _lit(""),
                F.concat(F.lit("app.get('"), url_tail, F.lit(":id', (req, res) => {"))]
@@ -139,7 +142,10 @@ def render(groups: DataFrame) -> DataFrame:
                   F.concat(F.lit("    public void update(@PathVariable long id, @RequestBody B"), b,
                            F.lit("Request req) {")),
                   each(reads, lambda f: F.concat(F.lit("        use(req.get"), cap(f["name"]), F.lit("());"))),
-                  _lit("    }"), _lit("}"))
+                  _lit("    }"), _lit("}"), _lit(""),
+                  F.concat(F.lit("class B"), b, F.lit("Summary {")),
+                  each(reads, lambda f: F.concat(F.lit("    private String "), f["name"], F.lit(";"))),
+                  _lit("}"))
     backend = (F.when(F.col("lang") == "py", F.when(F.col("style") == 0, py0)
                       .when(F.col("style") == 1, py1).otherwise(py2))
                .when(F.col("lang") == "go", F.when(F.pmod(F.col("style"), F.lit(2)) == 0, go0).otherwise(go1))

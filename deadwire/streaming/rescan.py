@@ -1,12 +1,13 @@
 """Incremental re-analysis (T1) with latest-version-wins state.
 
-Saves arrive as versioned drops in a landing folder laid out as
-``<landing>/version=<n>/path=<repo-relative path>/<file>`` (the layout Spark's
-partitioned text writer produces). A Structured Streaming file source reads
-each new file whole; ``foreachBatch`` extracts the batch's files with the same
-rules as the batch job and writes two logs under the state folder, each batch
-into its own directory (a replayed batch overwrites its own output, so the
-sink is idempotent):
+Saves arrive as a change feed: parquet records (repo, path, content, version)
+appended to a landing folder, many saved files per landing file (thousands
+of one-file objects would make listing, not analysis, the cost). A
+Structured Streaming file source picks up new landing files
+(``maxFilesPerTrigger`` bounds a micro-batch); ``foreachBatch`` extracts the
+batch's files with the same rules as the batch job and writes three logs
+under the state folder, each batch into its own directory (a replayed batch
+overwrites its own output, so the sink is idempotent):
 
 * ``files_log``  (repo, path, lang, version): every file version seen, also
                   those that yield no facts, so a newer empty version retracts
@@ -28,26 +29,20 @@ from deadwire.operators.extract import extract, facts_of, routes_of
 from deadwire.plans.pipeline import Analysis
 from deadwire.sources.files import lang_of
 
-LANDING_SCHEMA = "value string, version int, path string"
+LANDING_SCHEMA = "repo string, path string, content string, version bigint"
 
 
 def write_drop(files: DataFrame, landing: str, version: int) -> None:
-    """Land a set of files(repo, path, lang, content) as one versioned drop.
-    The repo is the first path component of the logical path."""
-    (files.select(F.col("content").alias("value"), F.lit(version).alias("version"),
-                  F.concat_ws("/", "repo", "path").alias("path"))
-     .repartition("path")
-     .write.mode("append").partitionBy("version", "path").text(landing))
+    """Land a set of saved files(repo, path, ..., content) as one version."""
+    (files.select("repo", "path", "content", F.lit(version).cast("bigint").alias("version"))
+     .write.mode("append").parquet(landing))
 
 
 def _split_repo(df: DataFrame) -> DataFrame:
-    """(value, version, path=repo/relpath) -> files(repo, path, lang, content, version)."""
-    repo = F.split_part(F.col("path"), F.lit("/"), F.lit(1))
-    rel = F.regexp_replace(F.col("path"), "^[^/]*/", "")
-    # the text writer ends every row with a newline; drop that one character
-    content = F.regexp_replace(F.regexp_replace("value", "\n$", ""), MARK, "")
-    return df.select(repo.alias("repo"), rel.alias("path"), lang_of(rel).alias("lang"),
-                     content.alias("content"), "version").filter(F.col("lang").isNotNull())
+    """Landing records -> files(repo, path, lang, content, version)."""
+    return df.select("repo", "path", lang_of(F.col("path")).alias("lang"),
+                     F.regexp_replace("content", MARK, "").alias("content"), "version") \
+             .filter(F.col("lang").isNotNull())
 
 
 def _batch_writer(state: str):
@@ -67,8 +62,7 @@ def run_rescan(spark: SparkSession, landing: str, state: str, checkpoint: str,
                max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start (or resume) the re-analysis stream; with ``available_now`` it
     drains everything landed so far and stops."""
-    reader = (spark.readStream.format("text").schema(LANDING_SCHEMA)
-              .option("wholetext", True).option("basePath", landing))
+    reader = spark.readStream.format("parquet").schema(LANDING_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(landing)
