@@ -74,13 +74,16 @@ def route_ranges(content: Column) -> Column:
         s_line = d["line"] + nl(d["m"]) + nl(d["between"]) + nl(d["head"])
         start = s_line + 1
         idx = F.when(start <= n, F.sequence(start, n)).otherwise(F.array().cast("array<int>"))
-        nonblank = F.filter(idx, lambda i: ~_blank(F.element_at(lines, i)))
-        exp = (F.when(~_blank(d["first"]), _indent(d["first"]))
-               .when(F.size(nonblank) > 0, _indent(F.element_at(lines, nonblank[0])))
-               .otherwise(F.lit(-1)))
-        brk = F.filter(nonblank, lambda i: _indent(F.element_at(lines, i)) < exp)
-        end = F.when(F.size(brk) > 0, brk[0]).otherwise(n + 1)
-        return F.struct(s_line.alias("s"), end.alias("e"))
+
+        def with_nonblank(nonblank):
+            exp = (F.when(~_blank(d["first"]), _indent(d["first"]))
+                   .when(F.size(nonblank) > 0, _indent(F.element_at(lines, nonblank[0])))
+                   .otherwise(F.lit(-1)))
+            brk = F.filter(nonblank, lambda i: _indent(F.element_at(lines, i)) < exp)
+            end = F.when(F.size(brk) > 0, brk[0]).otherwise(n + 1)
+            return F.struct(s_line.alias("s"), end.alias("e"))
+
+        return let(F.filter(idx, lambda i: ~_blank(F.element_at(lines, i))), with_nonblank)
 
     return let(F.split(content, "\n", -1),
                lambda lines: F.transform(decs, lambda d: rng(d, lines)))
@@ -93,7 +96,8 @@ def py_defs(content: Column) -> Column:
     a = openers(content, JSONIFY, guard="jsonify")
     ranges = route_ranges(content)
     b = openers(content, RETURN_DICT, guard="return")
-    b = F.filter(b, lambda o: F.exists(ranges, lambda r: (o["line"] >= r["s"]) & (o["line"] < r["e"])))
+    b = let(ranges, lambda rg: F.filter(
+        b, lambda o: F.exists(rg, lambda r: (o["line"] >= r["s"]) & (o["line"] < r["e"]))))
     c = openers(content, JSON_RESPONSE, guard="JSONResponse")
     out_a = keys_in_bodies(a, DICT_KEY, "response", "py_jsonify", 1, noise)
     out_b = keys_in_bodies(b, DICT_KEY, "response", "py_return_dict", 2, noise)

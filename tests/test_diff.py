@@ -87,3 +87,18 @@ def test_global_fallback(spark, fixture_analysis):
     assert ("flask_app.py", "accountId") in g
     # request-side model fields are not part of the global pass
     assert ("fastapi_app.py", "handle") not in g
+
+
+def test_report_sink(spark, fixture_analysis, tmp_path):
+    """Fact tables as parquet and the JSON report, one line per endpoint
+    and one per file of the global pass."""
+    from deadwire.sources.files import write_report
+    out = str(tmp_path / "report")
+    write_report(fixture_analysis, out)
+    eps = {r.pattern: r for r in spark.read.json(f"{out}/report/endpoints").collect()}
+    assert {d.name for d in eps["POST /accounts"].deadFields} == {"plan"}
+    assert eps["POST /accounts"].backendFile.endswith("AccountController.java")
+    glob = spark.read.json(f"{out}/report/global")
+    assert glob.filter(F.col("path").endswith("AccountDto.java")).count() == 1
+    facts = spark.read.parquet(f"{out}/facts")
+    assert set(r.lang for r in facts.select("lang").distinct().collect()) == {"py", "java", "go", "ts"}
