@@ -102,3 +102,19 @@ def test_report_sink(spark, fixture_analysis, tmp_path):
     assert glob.filter(F.col("path").endswith("AccountDto.java")).count() == 1
     facts = spark.read.parquet(f"{out}/facts")
     assert set(r.lang for r in facts.select("lang").distinct().collect()) == {"py", "java", "go", "ts"}
+
+
+def test_scan_excludes_dirs_and_dts(spark, tmp_path):
+    from deadwire.sources.files import scan_corpus
+    root = tmp_path / "corpus"
+    for rel, text in [("shop/src/a.ts", "x.y"), ("shop/node_modules/lib/b.ts", "x.z"),
+                      ("shop/types/c.d.ts", "declare const q: any"), ("blog/app.py", "pass"),
+                      ("blog/README.md", "# no"), ("blog/dist/out.js", "1")]:
+        p = root / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    got = {(r.repo, r.path, r.lang) for r in scan_corpus(spark, str(root)).collect()}
+    assert got == {("shop", "shop/src/a.ts", "ts"), ("shop", "shop/types/c.d.ts", "ts"),
+                   ("blog", "blog/app.py", "py")}
+    no_dts = {r.path for r in scan_corpus(spark, str(root), include_dts=False).collect()}
+    assert "shop/types/c.d.ts" not in no_dts
