@@ -37,7 +37,9 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
     """files(repo, path, lang, content) for every source file under ``root``.
 
     Paths are relative to ``root``. Each file is one row (``wholetext``), so a
-    task reads whole files and no file is split across tasks."""
+    task reads whole files and no file is split across tasks. For trees of
+    many small files lower ``spark.sql.files.openCostInBytes`` so a task
+    packs more of them; for a whole corpus prefer ``read_corpus_table``."""
     ex = exclude_dirs if exclude_dirs is not None else EXCLUDED_DIRS
     raw = (spark.read.format("text")
            .option("wholetext", True)
@@ -57,6 +59,17 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
              .filter(F.col("lang").isNotNull())
 
 
+def read_corpus_table(spark: SparkSession, path: str, content_col: str = "content") -> DataFrame:
+    """files(repo, path, lang, content) from a corpus stored as a table
+    (parquet with repo, path and the file text). At corpus scale this is the
+    input to use: billions of loose files make listing and per-file open
+    costs, not analysis, the bottleneck; a table is split by row groups."""
+    t = spark.read.parquet(path)
+    return t.select("repo", "path", lang_of(F.col("path")).alias("lang"),
+                    F.regexp_replace(F.col(content_col), MARK, "").alias("content")) \
+            .filter(F.col("lang").isNotNull())
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)

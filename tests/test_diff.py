@@ -118,3 +118,11 @@ def test_scan_excludes_dirs_and_dts(spark, tmp_path):
                    ("blog", "blog/app.py", "py")}
     no_dts = {r.path for r in scan_corpus(spark, str(root), include_dts=False).collect()}
     assert "shop/types/c.d.ts" not in no_dts
+
+
+def test_corpus_table_source(spark, tmp_path):
+    from deadwire.sources.files import read_corpus_table
+    rows = [("shop", "web/a.ts", "x.itemName"), ("shop", "notes.txt", "ignored")]
+    spark.createDataFrame(rows, "repo string, path string, content string").write.parquet(str(tmp_path / "t"))
+    got = {(r.repo, r.path, r.lang) for r in read_corpus_table(spark, str(tmp_path / "t")).collect()}
+    assert got == {("shop", "web/a.ts", "ts")}
