@@ -127,7 +127,7 @@ def body_of(bal: Column, rest: Column) -> Column:
 
 # --- object-literal keys at depth 1 ----------------------------------------
 
-_OBJ_TOKENS = r"""[{}\[\]()]|,|\n|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|[^{}\[\]()\n,'"]+|['"]"""
+_OBJ_TOKENS = r"""[{}\[\]()]|,|\n|'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+"|[^{}\[\]()\n,'"]++|['"]"""
 
 
 def object_keys(body) -> Column:
@@ -182,8 +182,8 @@ def object_keys(body) -> Column:
 
 # --- comment and string blanking for the TypeScript rules -------------------
 
-_TS_TOKENS = (r"/\*[\s\S]*?\*/|//[^\n]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\""
-              r"|`(?:[^`\\]|\\[\s\S])*`|[^/'\"`]+|[/'\"`]")
+_TS_TOKENS = (r"/\*[\s\S]*?\*/|//[^\n]*+|'(?:[^'\\\n]++|\\.)*+'|\"(?:[^\"\\\n]++|\\.)*+\""
+              r"|`(?:[^`\\]++|\\[\s\S])*+`|[^/'\"`]++|[/'\"`]")
 
 
 def blank_ts(text) -> Column:

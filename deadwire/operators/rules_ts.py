@@ -109,18 +109,36 @@ def ts_response_defs(b: Column) -> Column:
 def chain_lines(acc: Column) -> Column:
     """A property access is reported on the line where its whole chain starts.
     An access whose dot begins a new line continues the chain of the access
-    that ended on the line before; it takes that chain's start line."""
-    empty = F.array().cast("array<struct<line:int,m:string,k:string>>")
-    init = F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("start"), empty.alias("out"))
-
-    def step(a, x):
-        cont = x["m"].rlike(r"^[ \t]*\n") & (a["end"] == x["line"])
-        start = F.when(cont, a["start"]).otherwise(x["line"])
-        item = F.struct(start.alias("line"), x["m"].alias("m"), x["k"].alias("k"))
-        return F.struct((x["line"] + nl(x["m"])).alias("end"), start.alias("start"),
-                        F.concat(a["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(acc, init, step, lambda a: a["out"])
+    that ended on the line before, and takes that chain's start line.
+    Linear when no chain spans lines; otherwise only the continuation links
+    are folded, in order."""
+    return let(acc, _chain_fix)
+
+
+def _chain_fix(a: Column) -> Column:
+    def is_cont(x, i):
+        prev = F.element_at(a, F.greatest(i, F.lit(1)))       # element i-1 (0-based i)
+        return ((i > 0) & x["m"].rlike(r"^[ \t]*\n")
+                & ((prev["line"] + nl(prev["m"])) == x["line"]))
+
+    def with_fixes(fl):
+        n = F.size(a)
+        idx = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: fl[i])
+        empty = F.array().cast("array<struct<i:int,s:int>>")
+        init = F.struct(F.lit(-2).alias("pi"), F.lit(0).alias("ps"), empty.alias("out"))
+
+        def step(st, i):
+            start = F.when(st["pi"] == i - 1, st["ps"]).otherwise(a[i - 1]["line"])
+            return F.struct(i.alias("pi"), start.alias("ps"),
+                            F.concat(st["out"], F.array(F.struct(i.alias("i"), start.alias("s")))).alias("out"))
+
+        fixes = F.aggregate(idx, init, step, lambda st: F.map_from_entries(st["out"]))
+        return let(fixes, lambda fx: F.transform(a, lambda x, i: F.struct(
+            F.when(fl[i], F.element_at(fx, i)).otherwise(x["line"]).alias("line"),
+            x["m"].alias("m"), x["k"].alias("k"))))
+
+    flags = F.transform(a, is_cont)
+    return let(flags, lambda fl: F.when(~F.exists(fl, lambda f: f), a).otherwise(with_fixes(fl)))
 
 
 def ts_reads(b: Column) -> Column:
