@@ -16,6 +16,7 @@ go_reads           E26                    name, line
 ts_request_defs    E11-E14                name, line
 ts_response_defs   E15                    name
 ts_reads           E16, E17               name
+ts_dynamic         D1 flag                one per file
 =================  =====================  ======================
 """
 from __future__ import annotations
@@ -35,6 +36,7 @@ EXTRACTORS = {
     "go_defs": ("go", "def", True), "go_reads": ("go", "read", True),
     "ts_request_defs": ("ts", "def", True), "ts_response_defs": ("ts", "def", False),
     "ts_reads": ("ts", "read", False),
+    "ts_dynamic": ("ts", "flag", False),
 }
 
 
@@ -59,6 +61,7 @@ def _facts_for(lang: Column, content: Column, blank: Column, sts: Column) -> Col
         "ts_request_defs": rules_ts.ts_request_defs(blank),
         "ts_response_defs": rules_ts.ts_response_defs(blank),
         "ts_reads": rules_ts.ts_reads(blank),
+        "ts_dynamic": rules_ts.ts_dynamic(blank),
     }
     parts = []
     for ext, (lg, _kind, by_line) in EXTRACTORS.items():

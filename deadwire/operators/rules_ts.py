@@ -36,6 +36,7 @@ PARAM_PATTERN_END = (r"\s*(?::(?:[^(){},]|\{[^{}]*\})*)?(?:,(?:[^(){}]|\{[^{}]*\
 ARRAY_PATTERN_DECL = r"\b(?:const|let|var)\s*\[([^\[\]]*)\]\s*(?::[^=;]+)?=(?!=)"
 BINDING_KEY = r"(?:^|[{,\[])\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
 ARRAY_ELEMENT = r"(?:^|,)\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
+DYNAMIC_ACCESS = r"[\w$\])]\s*\[\s*[A-Za-z_$][\w$]*\s*\]"
 
 _NESTED = r"\{" + balanced(FAST_DEPTH) + r"\}"
 
@@ -166,3 +167,11 @@ def ts_reads(b: Column) -> Column:
                        + k["line"] - 1 + nl(k["m"])))))
     p2 = F.filter(F.concat(nz(decl), nz(param), nz(arr)), lambda f: ts_read_candidate(f["name"]))
     return F.concat(nz(p1), p2)
+
+
+def ts_dynamic(b: Column) -> Column:
+    """One flag fact per file that reads with a non-literal bracket key
+    (``obj[key]``), on the line of the first such read; used by the
+    ``protect_dynamic`` option."""
+    hits = scan(b, DYNAMIC_ACCESS, {}, guard="[")
+    return F.when(F.size(hits) > 0, F.array(fact("response", "ts_dynamic", 1, F.lit(""), hits[0]["line"])))

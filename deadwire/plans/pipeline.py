@@ -47,16 +47,20 @@ class Analysis:
     reads them instead of recomputing their lineage."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, routes: DataFrame, facts: DataFrame,
-                 persist: bool = True):
+                 persist: bool = True, protect_dynamic: bool = False):
         self.spark, self.files, self.routes, self.facts, self.persist = spark, files, routes, facts, persist
+        self.protect_dynamic = protect_dynamic
 
     @classmethod
-    def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True) -> "Analysis":
+    def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True,
+           protect_dynamic: bool = False) -> "Analysis":
+        """``protect_dynamic`` (D1): an endpoint any of whose frontend files
+        reads with a non-literal bracket key reports no dead fields."""
         flat = flat_facts(extract(files))
         if persist:
             flat = materialize(spark, flat, "facts", partition_by="ext")
         return cls(spark, files.select("repo", "path", "lang"), routes_from_flat(flat),
-                   facts_from_flat(flat), persist)
+                   facts_from_flat(flat), persist, protect_dynamic)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(self.spark, df, name) if self.persist else df
@@ -146,6 +150,10 @@ class Analysis:
         """Per-endpoint dead fields with daily waste (J1 + P16)."""
         defined, accessed = self.field_sets()
         dead = compute_diff(defined, accessed, ["repo", "pattern"])
+        if self.protect_dynamic:
+            dyn = self._facts("ts_dynamic").select("repo", "path").distinct()
+            guarded = self.callers().join(dyn, ["repo", "path"], "left_semi").select("repo", "pattern").distinct()
+            dead = dead.join(guarded, ["repo", "pattern"], "left_anti")
         return dead.select("repo", "pattern", S.pattern_method(F.col("pattern")).alias("method"),
                            "backend_file", "path", "lang", "side", "rule", "name", "line",
                            S.score_waste(F.col("name"), F.col("pattern")).alias("waste_score"))

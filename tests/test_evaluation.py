@@ -1,6 +1,7 @@
 """Synthetic projects (S7) through the whole analysis, scored against their
 truth (G8, G9), with and without the dynamic-access guard (D1)."""
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import Row
 
 from deadwire.operators.extract import extract, facts_of
@@ -100,3 +101,14 @@ def test_endpoint_order_is_locale_aware(spark):
     a = Analysis.of(spark, files, persist=False)
     got = [r.pattern for r in a.endpoints_sorted().collect()]
     assert got == ["GET /api/a_y", "GET /api/B", "GET /api/b-x"]
+
+
+def test_protect_dynamic_in_pipeline(spark, project):
+    from deadwire.plans.pipeline import Analysis
+    files, _, _ = project
+    plain = Analysis.of(spark, files, persist=False)
+    guarded = Analysis.of(spark, files, persist=False, protect_dynamic=True)
+    dyn_pattern = "GET /api/feeds/:param"
+    assert plain.dead_fields().filter(F.col("pattern") == dyn_pattern).count() == 3
+    assert guarded.dead_fields().filter(F.col("pattern") == dyn_pattern).count() == 0
+    assert guarded.dead_fields().filter(F.col("pattern") == "GET /api/users/:param").count() == 2
