@@ -91,9 +91,15 @@ def backend_routes(content: Column) -> Column:
         _rows("backend", "net_http", _all(content, NET_HTTP, 1),
               lambda z: F.lit("GET"), lambda z: normalize_url(z["g1"])),
     ]
-    # first (method, url) per file wins
-    return let(F.concat(*parts), lambda allr: F.filter(allr, lambda r, i: ~F.exists(
-        F.slice(allr, 1, i), lambda q: (q["method"] == r["method"]) & (q["url"] == r["url"]))))
+    # first (method, url) per file wins: sort by key then position, keep the
+    # first of each key, restore file order (r log r)
+    keyed = F.transform(F.concat(*parts), lambda r, i: F.struct(
+        r["method"].alias("m"), r["url"].alias("u"), i.alias("i"), r.alias("r")))
+    kept = let(F.array_sort(keyed), lambda srt: F.filter(srt, lambda x, i: (i == 0) | ~(
+        (F.element_at(srt, F.greatest(i, F.lit(1)))["m"] == x["m"])
+        & (F.element_at(srt, F.greatest(i, F.lit(1)))["u"] == x["u"]))))
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r"))))
+    return F.transform(ordered, lambda x: x["r"])
 
 
 def _helper_map() -> Column:

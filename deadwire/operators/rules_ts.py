@@ -54,8 +54,10 @@ def _declared_objects(b: Column) -> Column:
     object literal: array<struct<var, line, m, body>>."""
     decls = openers(b, VAR_OBJECT, ngroups=1, groups={"var": 1}, guard="=")
     names = F.regexp_extract_all(b, F.lit(r"\b(?:const|let|var)\s+(" + JS_IDENT + r")\s*[:=]"), 1)
-    return let(names, lambda nm: F.filter(
-        decls, lambda d: F.size(F.filter(nm, lambda n: n == d["var"])) == 1))
+    # names declared more than once: neighbours in sorted order (n log n)
+    dups = let(F.array_sort(names), lambda srt: F.array_distinct(F.filter(
+        srt, lambda x, i: (i > 0) & (F.element_at(srt, F.greatest(i, F.lit(1))) == x))))
+    return let(dups, lambda dp: F.filter(decls, lambda d: ~F.array_contains(dp, d["var"])))
 
 
 def _resolve(decls: Column, var: Column) -> Column:
