@@ -33,10 +33,12 @@ def project_facts(facts: DataFrame, files: DataFrame):
 
 
 def evaluate(facts: DataFrame, files: DataFrame, expected: DataFrame,
-             protect_dynamic: bool = False) -> DataFrame:
-    """project_eval(repo, expected, detected, tp, fp, fn, precision, recall)."""
+             protect_dynamic: bool = False, with_names: bool = False) -> DataFrame:
+    """project_eval(repo, tp, fp, fn, precision, recall) and, with
+    ``with_names``, the sorted expected and detected name lists (only for
+    small projects: a list holds every finding of a repo)."""
     defined, accessed = project_facts(facts, files)
-    return evaluate_sets(defined, accessed, expected, files if protect_dynamic else None)
+    return evaluate_sets(defined, accessed, expected, files if protect_dynamic else None, with_names)
 
 
 def evaluate_precomputed(precomputed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def evaluate_precomputed(precomputed: DataFrame, expected: DataFrame) -> DataFra
 
 
 def evaluate_sets(defined: DataFrame, accessed: DataFrame, expected: DataFrame,
-                  files: DataFrame | None = None) -> DataFrame:
+                  files: DataFrame | None = None, with_names: bool = False) -> DataFrame:
     """Score per repo; ``files`` given turns on the dynamic-access guard."""
     protect_dynamic = files is not None
     dead = compute_diff(defined, accessed, ["repo"]).select("repo", "name").distinct()
@@ -58,18 +60,21 @@ def evaluate_sets(defined: DataFrame, accessed: DataFrame, expected: DataFrame,
         dead = dead.join(dyn, "repo", "left_anti")
     truth = expected.select("repo", F.explode("dead_fields").alias("name")).distinct()
     both = dead.withColumn("d", F.lit(True)).join(truth.withColumn("e", F.lit(True)), ["repo", "name"], "full")
-    per = both.groupBy("repo").agg(
-        F.count_if(F.col("d") & F.col("e")).alias("tp"),
-        F.count_if(F.col("d") & F.col("e").isNull()).alias("fp"),
-        F.count_if(F.col("d").isNull() & F.col("e")).alias("fn"),
-        F.sort_array(F.collect_list(F.when(F.col("e"), F.col("name")))).alias("expected"),
-        F.sort_array(F.collect_list(F.when(F.col("d"), F.col("name")))).alias("detected"))
+    aggs = [F.count_if(F.col("d") & F.col("e")).alias("tp"),
+            F.count_if(F.col("d") & F.col("e").isNull()).alias("fp"),
+            F.count_if(F.col("d").isNull() & F.col("e")).alias("fn")]
+    if with_names:
+        aggs += [F.sort_array(F.collect_list(F.when(F.col("e"), F.col("name")))).alias("expected"),
+                 F.sort_array(F.collect_list(F.when(F.col("d"), F.col("name")))).alias("detected")]
+    per = both.groupBy("repo").agg(*aggs)
     projects = expected.select("repo").distinct()
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     out = projects.join(per, "repo", "left")
+    names = ([F.coalesce("expected", F.array().cast("array<string>")).alias("expected"),
+              F.coalesce("detected", F.array().cast("array<string>")).alias("detected")]
+             if with_names else [])
     return out.select(
-        "repo", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"),
-        F.coalesce("detected", F.array().cast("array<string>")).alias("detected"),
+        "repo", *names,
         z("tp").alias("tp"), z("fp").alias("fp"), z("fn").alias("fn"),
         F.coalesce(F.try_divide(z("tp"), z("tp") + z("fp")), F.lit(1.0)).alias("precision"),
         F.coalesce(F.try_divide(z("tp"), z("tp") + z("fn")), F.lit(1.0)).alias("recall"))

@@ -50,7 +50,7 @@ def project(spark):
 
 def test_generated_projects_score(project):
     files, facts, expected = project
-    ev = {r.repo: r for r in evaluate(facts, files, expected).collect()}
+    ev = {r.repo: r for r in evaluate(facts, files, expected, with_names=True).collect()}
     for pid in ["01", "02", "03", "04", "05", "08", "09", "10", "11"]:
         r = ev[f"project-{pid}"]
         assert (r.precision, r.recall) == (1.0, 1.0), (pid, r.detected, r.expected)
@@ -62,7 +62,7 @@ def test_generated_projects_score(project):
 
 def test_protect_dynamic(project):
     files, facts, expected = project
-    ev = {r.repo: r for r in evaluate(facts, files, expected, protect_dynamic=True).collect()}
+    ev = {r.repo: r for r in evaluate(facts, files, expected, protect_dynamic=True, with_names=True).collect()}
     assert ev["project-06"].detected == [] and ev["project-06"].precision == 1.0
     assert ev["project-01"].detected == ["joinedAt", "lastSeenIp"]
 
