@@ -23,7 +23,7 @@ GLOBAL_DEF_EXT = ["py_defs", "go_defs", "java_defs", "ts_response_defs"]
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: str | None = None) -> DataFrame:
+                partition_by: str | None = None, sort_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint folder and read
     it back: cuts lineage so a lost executor does not redo the extraction,
     and lets every downstream query reuse it."""
@@ -31,6 +31,10 @@ def materialize(spark: SparkSession, df: DataFrame, name: str,
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/deadwire-{name}-{uuid.uuid4().hex[:12]}"
+    if sort_by:
+        # local sort only (no shuffle): parquet min/max statistics per row
+        # group then let filters on the leading column skip row groups
+        df = df.sortWithinPartitions(*sort_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -58,7 +62,9 @@ class Analysis:
         reads with a non-literal bracket key reports no dead fields."""
         flat = flat_facts(extract(files))
         if persist:
-            flat = materialize(spark, flat, "facts", partition_by="ext")
+            # one file per task (no per-extractor directories, which would
+            # multiply files by 14 at scale); sorted by ext inside each file
+            flat = materialize(spark, flat, "facts", sort_by=["ext", "repo", "path"])
         return cls(spark, files.select("repo", "path", "lang"), routes_from_flat(flat),
                    facts_from_flat(flat), persist, protect_dynamic)
 
