@@ -5,7 +5,7 @@ scan stage, so extraction stays narrow (no shuffle) and no source text leaves
 the executor it was read on.
 
 * ``scan``        all matches of a regex with their 1-based line numbers.
-* ``opener_body`` brace-balanced body after an opening-brace regex.
+* ``openers``     matches of an opening-brace regex with the balanced body after each.
 * ``object_keys`` depth-1 keys of an object-literal body, with lines.
 * ``nl``          number of newlines in a string.
 
@@ -87,13 +87,6 @@ def balanced(depth: int) -> str:
 FAST_DEPTH = 4
 
 
-def with_body(opener: str) -> str:
-    """Wrap an opener regex ending in '{' so that group 'bal' (1 + opener
-    groups) holds the balanced body when it nests at most FAST_DEPTH levels,
-    else group 'rest' holds all text after the brace for the exact fold."""
-    return opener + r"(?=(" + balanced(FAST_DEPTH) + r")\}|([\s\S]*+))"
-
-
 def fold_body(rest) -> Column:
     """Exact brace matching on ``rest`` (text after an opening brace), the way
     a depth counter walks it: body runs to the brace that brings depth to 0;
@@ -120,11 +113,6 @@ def _fold_tokens(toks: Column) -> Column:
     return F.aggregate(toks, init, step, finish)
 
 
-def body_of(bal: Column, rest: Column) -> Column:
-    """Body from the two lookahead groups of ``with_body``."""
-    return F.when(rest == "", bal).otherwise(fold_body(rest))
-
-
 # --- object-literal keys at depth 1 ----------------------------------------
 
 _OBJ_TOKENS = r"""[{}\[\]()]|,|\n|'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+"|[^{}\[\]()\n,'"]++|['"]"""

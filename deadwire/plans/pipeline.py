@@ -18,7 +18,6 @@ from deadwire.functions import scalars as S
 from deadwire.operators.diff import compute_diff
 from deadwire.operators.extract import extract, facts_from_flat, flat_facts, routes_from_flat
 
-RESPONSE_DEF_EXT = {"py": "py_defs", "go": "go_defs", "ts": "ts_response_defs"}
 GLOBAL_DEF_EXT = ["py_defs", "go_defs", "java_defs", "ts_response_defs"]
 
 
