@@ -217,7 +217,7 @@ SELECT repo, n_endpoints, endpoint_dead, global_dead, endpoint_dead + global_dea
        round(CAST(waste_bytes AS DOUBLE) / 1000.0, 1) AS waste_kb,
        round(CAST(waste_bytes AS DOUBLE) * 6e-11 * 1000.0, 6) AS energy_wh,
        CASE WHEN response_fields > 0
-            THEN round(CAST(endpoint_dead + global_dead AS DOUBLE) * 100.0 / CAST(response_fields AS DOUBLE))
+            THEN round(CAST(endpoint_dead + global_dead AS DOUBLE) / CAST(response_fields AS DOUBLE) * 100.0)
             ELSE 0.0 END AS dead_pct,
        {words_sql('waste_bytes')} AS waste_words
 FROM r"""),

@@ -218,7 +218,8 @@ class Analysis:
             z("global_dead").alias("global_dead"), total_dead.alias("total_dead"),
             fields.alias("response_fields"), waste.alias("waste_bytes"),
             S.to_kb(waste).alias("waste_kb"), F.round(S.estimate_wh(waste), 6).alias("energy_wh"),
-            F.when(fields > 0, F.round(total_dead * 100.0 / fields)).otherwise(F.lit(0.0)).alias("dead_pct"),
+            F.when(fields > 0, F.round(total_dead.cast("double") / fields.cast("double") * 100.0))
+            .otherwise(F.lit(0.0)).alias("dead_pct"),
             S.number_to_words(waste).alias("waste_words"))
 
     def findings_by_file(self) -> DataFrame:
