@@ -174,11 +174,14 @@ def render(groups: DataFrame) -> DataFrame:
                      _lit("    }),"), _lit("  });"), _lit("}"))
     frontend = F.when(F.col("lang") == "java", fe_send).otherwise(fe_read)
     ext = F.element_at(F.create_map(*[x for k, v in EXT.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    be = g.select("repo", F.concat(repo, F.lit("/backend/b"), b, F.lit("."), ext).alias("path"),
-                  "lang", backend.alias("content"))
-    fe = g.filter("has_fe").select("repo", F.concat(repo, F.lit("/frontend/b"), b, F.lit(".ts")).alias("path"),
-                                   F.lit("ts").alias("lang"), frontend.alias("content"))
-    return be.unionByName(fe)
+    # both files of a group from one pass over the groups (no union of two
+    # plans that would each recompute the grouping)
+    be = F.struct(F.concat(repo, F.lit("/backend/b"), b, F.lit("."), ext).alias("path"),
+                  F.col("lang").alias("lang"), backend.alias("content"))
+    fe = F.struct(F.concat(repo, F.lit("/frontend/b"), b, F.lit(".ts")).alias("path"),
+                  F.lit("ts").alias("lang"), frontend.alias("content"))
+    both = F.filter(F.array(be, F.when(F.col("has_fe"), fe)), lambda x: x.isNotNull())
+    return g.select("repo", F.inline(both))
 
 
 def groups_of(parts: DataFrame) -> DataFrame:
