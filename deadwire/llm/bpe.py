@@ -18,18 +18,29 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from deadwire.llm.common import text_chunks
-from deadwire.llm.tokens import public_path, tree_encoder
+from deadwire.llm.tokens import as_bytes, public_path, tree_encoder
 
 _NONE = np.int64(2 ** 62)
 
+#: The pre-tokenizer's split (a fixed value) with the library's white space: Python's \\s would add
+#: U+001C to U+001F; and the same for texts of ASCII characters only.
+_SPACES = "\\t-\\r " + "".join(f"\\u{c:04X}" for c in (
+    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_FIND = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+" + f"| ?[^{_SPACES}\\p{{L}}\\p{{N}}]+"
+                      f"|[{_SPACES}]+(?=\\Z|[{_SPACES}])|[{_SPACES}]+").findall
+_FIND_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+                         r"|[\t-\r ]+(?=\Z|[\t-\r ])|[\t-\r ]+").findall
+
 
 def _byte_chars() -> dict[str, int]:
     """The printable stand-in character of each byte in byte-level vocabularies."""
@@ -43,12 +54,15 @@ def _byte_chars() -> dict[str, int]:
 @dataclass
 class Vocabulary:
     """``byte_ids``: id of each single byte; ``pairs`` (sorted left << 32 | right), ``ranks``
-    and ``merged``: the merge table; ``strings``: bytes of each id."""
+    and ``merged``: the merge table; ``strings``: bytes of each id; ``added``: ids of special tokens;
+    ``split``: cuts a text around them."""
     byte_ids: np.ndarray
     pairs: np.ndarray
     ranks: np.ndarray
     merged: np.ndarray
     strings: list[bytes]
+    added: dict[str, bytes]
+    split: Callable[[str], list[str]]
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -69,7 +83,9 @@ class Vocabulary:
         merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         pairs = left << 32 | right
         order = np.argsort(pairs, kind="stable")
-        return cls(byte_ids, pairs[order], order.astype(np.int64), merged[order], strings)
+        added = {t["content"]: np.uint32(t["id"]).tobytes() for t in spec["added_tokens"]}
+        split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+        return cls(byte_ids, pairs[order], order.astype(np.int64), merged[order], strings, added, split)
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank or -1, merged id) of each pair."""
@@ -156,6 +172,25 @@ def encode_pieces(vocab: Vocabulary, pieces: list[str]) -> list[bytes]:
     return out
 
 
+def pieces(vocab: Vocabulary, text: str) -> list[str]:
+    """The pieces of a text that merges do not leave; special tokens are pieces of their own."""
+    out: list[str] = []
+    for part in vocab.split(text) if "<|" in text else [text]:
+        if part in vocab.added:
+            out.append(part)
+        else:
+            out += (_FIND_ASCII if part.isascii() else _FIND)(part)
+    return out
+
+
+def encode_texts(vocab: Vocabulary, texts: list[str]) -> list[bytes]:
+    """Ids of each text, as little-endian uint32 bytes."""
+    cut = [pieces(vocab, t) for t in texts]
+    new = list(set().union(*cut).difference(vocab.added))
+    ids = {**vocab.added, **dict(zip(new, encode_pieces(vocab, new)))}
+    return [b"".join(map(ids.__getitem__, p)) for p in cut]
+
+
 def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     """The UTF-8 text of ids; bytes that are no UTF-8 become U+FFFD."""
     raw = b"".join(map(vocab.strings.__getitem__, ids.tolist()))
@@ -197,7 +232,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     path = path or public_path("byte_bpe_50k.json")
 
     def work(values: pa.Array):
-        return [tree_encoder(path).encode([t or "" for t in values.to_pylist()])]
+        return [as_bytes(*tree_encoder(path).encode(values))]
 
     return _passing(docs, text, [("ids", "binary", pa.binary())], text, work)
 
@@ -219,7 +254,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: s
     path = path or public_path("byte_bpe_50k.json")
 
     def work(values: pa.Array):
-        ids = tree_encoder(path).encode([t or "" for t in values.to_pylist()])
+        ids = as_bytes(*tree_encoder(path).encode(values))
         vocab = vocabulary(path)
         texts = [decode_ids(vocab, np.frombuffer(x, "<u4")) for x in ids]
         return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids],

@@ -47,18 +47,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         task, slots = TaskContext.get().partitionId(), {}
         for batch in batches:
             for a, b in text_chunks(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
+                found, counts = library_encoder(path).encode(batch.column(1).slice(a, b - a))
+                raw, begin = found.astype("<u4", copy=False).tobytes(), 0
                 rows: list[tuple] = []
                 owner: list[int] = []
-                for i, found in enumerate(library_encoder(path).encode([t or "" for t in texts])):
-                    found += end
-                    n, at = len(found) // 4, 0
+                for i, count in enumerate(counts.tolist()):
+                    n, at = count + 1, 0
                     for size in lengths(n, most):
                         slot = slots.get(size, 0)
                         slots[size] = slot + 1
-                        rows.append((at, size, n, slot, found[4 * at:4 * (at + size)]))
+                        ids = raw[begin + 4 * at:begin + 4 * min(at + size, count)]
+                        rows.append((at, size, n, slot, ids if at + size <= count else ids + end))
                         owner.append(a + i)
                         at += size
+                    begin += 4 * count
                 start, size, n, slot, ids = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(owner)), pa.array(start, pa.int64()), pa.array(size, pa.int64()),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deadwire.llm.common import prefix_sums, text_chunks
-from deadwire.llm.tokens import library_encoder, public_path
+from deadwire.llm.tokens import as_bytes, library_encoder, load_library, public_path
 
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 4096, 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
@@ -41,7 +41,6 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 
 def _width(path: str) -> int:
-    from deadwire.llm.tokens import load_library
     return 2 if load_library(path).get_vocab_size() <= 1 << 16 else 4
 
 
@@ -57,7 +56,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text: str, path: str, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_chunks(batch.column(1)):
-                ids = library_encoder(path).encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                ids = as_bytes(*library_encoder(path).encode(batch.column(1).slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a),
                      pa.array([_narrow(x[:4 * SAMPLE_IDS], width) for x in ids], pa.binary())],
@@ -90,7 +89,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text: str =
         f"{out}/dictionary")
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    end = np.uint32(end_id).tobytes()
+    end = _narrow(np.uint32(end_id).tobytes(), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(content))
@@ -114,11 +113,13 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             for a, b in text_chunks(batch.column(1)):
                 names = batch.column(0).slice(a, b - a).to_pylist()
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                for name, found in zip(names, encoder.encode([t or "" for t in texts])):
+                found, sizes = encoder.encode(batch.column(1).slice(a, b - a))
+                raw, at = found.astype(f"<u{width}").tobytes(), 0
+                for name, size in zip(names, sizes.tolist()):
                     ids.append(name)
-                    counts.append(len(found) // 4 + 1)
-                    frames.append(packer.compress(_narrow(found + end, width)))
+                    counts.append(size + 1)
+                    frames.append(packer.compress(raw[at:at + width * size] + end))
+                    at += width * size
                     held += len(frames[-1])
                     if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                         yield block()

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,16 +179,22 @@ def test_encoders_on_odd_characters(name, make):
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 50))) for _ in range(3000)]
     texts += ["<|endoftext|>a<|endoftext|>", "<|startoftext|>A <|ENDOFTEXT|>", "ab" * 4000, "'S 'll''s  x"]
     _, want = library_ids(name, texts)
-    got = make(tokens.public_path(name)).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    enc = make(tokens.public_path(name))
+    for part in (texts, texts[::-1], texts):  # also when all is held
+        got = tokens.as_bytes(*enc.encode(pa.array(part)))
+        want = [x for x in (want if part == texts else want[::-1])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+        want = want if part == texts else want[::-1]
 
 
-def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+def test_cache_of_two_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
     path = tokens.public_path("byte_bpe_50k.json")
-    enc, texts = tokens.PieceEncoder(path, tokens.library_pieces(path)), [prose(80, i) for i in range(8)]
+    enc = tokens.UnitEncoder(tokens.byte_level_units, tokens.library_units(path))
+    texts = [prose(30, i % 5) + " " + prose(5, i) + "z" * 200 for i in range(20)]
     _, want = library_ids("byte_bpe_50k.json", texts)
-    assert [np.frombuffer(enc.encode([t])[0], "<u4").tolist() for t in texts] == want
+    got = [tokens.as_bytes(*enc.encode(pa.array([t, None, t]))) for t in texts]
+    assert [[np.frombuffer(x, "<u4").tolist() for x in g] for g in got] == [[w, [], w] for w in want]
 
 
 def test_decode_of_ids_that_are_no_text():
