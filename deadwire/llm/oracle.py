@@ -52,7 +52,7 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 def _quality() -> str:
     """Base counts and, per n, the characters in n-grams that stand earlier in the text."""
-    sizes = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+    sizes = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
     grams = ",\n".join(f"""
 g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {n - 1}], ' ') ORDER BY i)
          > 1 AS later, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {n - 1}], ' ')) > 1 AS twice
@@ -80,7 +80,7 @@ m AS (SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, length(array_to_string(w.ws
       coalesce(rep.n, 0) AS n_repeat_words{columns}
       FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id{joins}),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND 100 * dup_line_chars <= 20 * word_chars AND {fits} AS kept FROM b"""
+SELECT *, NOT base_failed AND 100 * dup_line_chars <= 40 * word_chars AND {fits} AS kept FROM b"""
 
 
 OP10 = r"""

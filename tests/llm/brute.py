@@ -71,7 +71,7 @@ def embeddings(rows, cosine=0.93):
     return [(r[0], n[i], comp[i], r[0] == comp[i]) for i, r in enumerate(rows)]
 
 
-def quality(text, ngrams={5: .15, 6: .14, 7: .13, 8: .12, 9: .11, 10: .10}, lines=0.20):
+def quality(text, ngrams={5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}, lines=40):
     ws = words(text)
     chars = [len(w) for w in ws]
     grams = {n: [tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)] for n in {*ngrams, 8}}
@@ -94,7 +94,7 @@ def quality(text, ngrams={5: .15, 6: .14, 7: .13, 8: .12, 9: .11, 10: .10}, line
         held[n] = sum(chars[i] for i in cover)
     total = sum(chars)
     failed = len(ws) < 20 or 100 * len(repeated) > 30 * len(ws)
-    kept = not failed and dup_chars <= lines * total and all(held[n] <= ngrams[n] * total for n in ngrams)
+    kept = not failed and 100 * dup_chars <= lines * total and all(100 * held[n] <= ngrams[n] * total for n in ngrams)
     return {"n_words": len(ws), "word_chars": total, "n_symbols": sum(c in "#*$%&|<>" for w in ws for c in w),
             "n_dup_lines": dup, "dup_line_chars": dup_chars, "n_repeat_words": len(repeated),
             **{f"dup_{n}gram_chars": held[n] for n in sorted(ngrams)}, "base_failed": failed, "kept": kept}
