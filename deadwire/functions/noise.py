@@ -9,6 +9,8 @@ filter runs in the extraction stage with no join at all.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,6 +124,15 @@ def ts_read_candidate(name) -> Column:
             & (F.length(n) > 1))
 
 
+_TS_READ_NOISE_SET = frozenset(TS_READ_NOISE)
+_UPPER_CASE = re.compile("[A-Z][A-Z0-9_]+")
+
+
+def is_ts_read(name: str) -> bool:
+    """``ts_read_candidate`` for one name, by a hash set."""
+    return len(name) > 1 and name not in _TS_READ_NOISE_SET and _UPPER_CASE.fullmatch(name) is None
+
+
 def _base_noise(n: Column, lst: str) -> Column:
     return (F.array_contains(word_array(words(lst)), n) | n.rlike("^[A-Z_][A-Z0-9_]*$")
             | (F.length(n) <= 1))

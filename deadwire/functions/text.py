@@ -1,12 +1,11 @@
 """Text primitives for rule-based extraction, built from Spark SQL functions.
 
-Every helper returns a ``Column`` that Catalyst evaluates JVM-side inside the
-scan stage, so extraction stays narrow (no shuffle) and no source text leaves
-the executor it was read on.
+Every helper returns a ``Column`` that is evaluated inside the scan stage, so extraction
+stays narrow (no shuffle) and no source text leaves the executor it was read on.
 
 * ``scan``        all matches of a regex with their 1-based line numbers.
-* ``openers``     matches of an opening-brace regex with the balanced body after each.
-* ``object_keys`` depth-1 keys of an object-literal body, with lines.
+* ``bodies``      matches of opening-brace regexes with the balanced body after each
+                  (the one helper in Python: pairing braces needs a stack).
 * ``nl``          number of newlines in a string.
 
 Line numbers: a match's line is 1 + the newlines before its start. Spark has no
@@ -17,6 +16,9 @@ the text and yields the same matches in the same order as ``regexp_extract_all``
 """
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,156 +77,65 @@ def scan(text, pattern, groups: dict[str, int] | None = None, guard: str | None
 
 # --- brace-balanced bodies -------------------------------------------------
 
-def balanced(depth: int) -> str:
-    """Regex for text with balanced braces nested at most ``depth`` levels.
-    Possessive quantifiers keep the Java matcher linear and shallow."""
-    b = r"[^{}]*+"
-    for _ in range(depth):
-        b = r"(?:[^{}]++|\{" + b + r"\})*+"
-    return b
-
-
-FAST_DEPTH = 4
-
-
-def fold_body(rest) -> Column:
-    """Exact brace matching on ``rest`` (text after an opening brace), the way
-    a depth counter walks it: body runs to the brace that brings depth to 0;
-    when none does, to the end of text minus its last character. Braces inside
-    strings count, as in the rules being reproduced."""
-    return let(F.regexp_extract_all(_c(rest), F.lit(r"[{}]|[^{}]+"), 0), _fold_tokens)
-
-
-def _fold_tokens(toks: Column) -> Column:
-    init = F.struct(F.lit(1).alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("e"))
-
-    def step(a, t):
-        d2 = a.d + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
-        return F.struct(
-            F.when(a.e < 0, d2).otherwise(a.d).alias("d"),
-            (a.i + 1).alias("i"),
-            F.when((a.e < 0) & (d2 == 0), a.i + 1).otherwise(a.e).alias("e"))
-
-    def finish(a):
-        whole = F.array_join(toks, "")
-        return F.when(a.e < 0, whole.substr(F.lit(1), F.greatest(F.length(whole) - 1, F.lit(0)))
-                      ).otherwise(F.array_join(F.slice(toks, 1, F.greatest(a.e - 1, F.lit(0))), ""))
-
-    return F.aggregate(toks, init, step, finish)
-
-
-# --- object-literal keys at depth 1 ----------------------------------------
-
-_OBJ_TOKENS = r"""[{}\[\]()]|,|\n|'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+"|[^{}\[\]()\n,'"]++|['"]"""
-
-
-def object_keys(body) -> Column:
-    """array<struct<name:string, rel:int>>: property-assignment and shorthand
-    keys at depth 1 of an object-literal body; ``rel`` is the 0-based line
-    offset of the key from the body start. Spreads, methods, accessors and
-    computed names are skipped. One left-to-right fold over coarse tokens."""
-    toks = F.regexp_extract_all(_c(body), F.lit(_OBJ_TOKENS), 0)
-    key_re = r"""^\s*(?:([A-Za-z_$][\w$]*)|'([^']*)'|"([^"]*)")\s*:"""
-    short_re = r"^\s*([A-Za-z_$][\w$]*)\s*$"
-    empty = F.array().cast("array<struct<name:string,rel:int>>")
-    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("ln"), F.lit(True).alias("st"),
-                    F.lit(None).cast("string").alias("pn"), F.lit(0).alias("pl"),
-                    empty.alias("ks"))
-
-    def push(ks, name, line):
-        return F.concat(ks, F.array(F.struct(name.alias("name"), line.alias("rel"))))
-
-    def step(a, t):
-        is_open = t.isin("{", "[", "(")
-        is_close = t.isin("}", "]", ")")
-        top = a.d == 0
-        # pending shorthand is committed by ',' (or end), dropped by '(' etc.
-        commit = a.pn.isNotNull() & top & (t == ",")
-        drop = a.pn.isNotNull() & (t != "\n") & ~commit
-        ks1 = F.when(commit, push(a.ks, a.pn, a.pl)).otherwise(a.ks)
-        pn1 = F.when(commit | drop, F.lit(None).cast("string")).otherwise(a.pn)
-        run = top & a.st & ~is_open & ~is_close & (t != ",") & (t != "\n")
-        k1 = F.regexp_extract(t, key_re, 1)
-        k2 = F.regexp_extract(t, key_re, 2)
-        k3 = F.regexp_extract(t, key_re, 3)
-        has_key = run & t.rlike(key_re)
-        kname = F.when(k1 != "", k1).when(k2 != "", k2).otherwise(k3)
-        sh = F.regexp_extract(t, short_re, 1)
-        has_short = run & ~t.rlike(key_re) & (sh != "")
-        ks2 = F.when(has_key, push(ks1, kname, a.ln)).otherwise(ks1)
-        pn2 = F.when(has_short, sh).otherwise(pn1)
-        pl2 = F.when(has_short, a.ln).otherwise(a.pl)
-        blank_run = t.rlike(r"^\s*$")
-        st2 = F.when(top & (t == ","), True).when((t == "\n") | (run & blank_run), a.st) \
-               .otherwise(F.lit(False))
-        d2 = a.d + F.when(is_open, 1).when(is_close, -1).otherwise(0)
-        ln2 = a.ln + F.when(t == "\n", 1).otherwise(0)
-        return F.struct(d2.alias("d"), ln2.alias("ln"), st2.alias("st"), pn2.alias("pn"),
-                        pl2.alias("pl"), ks2.alias("ks"))
-
-    def finish(a):
-        return F.when(a.pn.isNotNull(), push(a.ks, a.pn, a.pl)).otherwise(a.ks)
-
-    return F.aggregate(toks, init, step, finish)
-
-
-# --- comment and string blanking for the TypeScript rules -------------------
-
-_TS_TOKENS = (r"/\*[\s\S]*?\*/|//[^\n]*+|'(?:[^'\\\n]++|\\.)*+'|\"(?:[^\"\\\n]++|\\.)*+\""
-              r"|`(?:[^`\\]++|\\[\s\S])*+`|[^/'\"`]++|[/'\"`]")
-
-
-def blank_ts(text) -> Column:
-    """TypeScript text with comments removed (newlines kept), string contents
-    kept but their structural characters neutralised, and template literals
-    reduced to their ``${..}`` expressions (newlines kept). Lines are
-    preserved, so line numbers computed on the result hold for the source."""
-    toks = F.regexp_extract_all(_c(text), F.lit(_TS_TOKENS), 0)
-
-    def fix(t):
-        return (F.when(t.startswith("/*"), F.regexp_replace(t, r"[^\n]", ""))
-                .when(t.startswith("//"), F.lit(""))
-                .when(t.startswith("`") & (F.length(t) > 1),
-                      F.concat(F.lit("`"), F.regexp_replace(
-                          t.substr(F.lit(2), F.length(t) - 2),
-                          r"(\$\{[^}]*\})|[^\n]", "$1"), F.lit("`")))
-                .when((t.startswith("'") | t.startswith('"')) & (F.length(t) > 1),
-                      F.regexp_replace(t, r"[{}\[\]().,:;=]", "_"))
-                .otherwise(t))
-
-    return F.array_join(F.transform(toks, fix), "")
-
-
-def openers(text, opener: str, ngroups: int = 0, groups: dict[str, int] | None = None,
-            after: str | None = None, guard: str | None = None) -> Column:
-    """All matches of ``opener`` (a regex ending in an opening brace) with the
-    brace-balanced body that follows each:
-    array<struct<line, m, body, ok, <groups>>>.
-
-    ``after`` is an optional regex the text right after the closing brace must
-    match (``ok``); ``ngroups`` is the number of capturing groups in
-    ``opener``. Nested openers are all reported, since matching resumes right
-    after each opening brace."""
-    a = after or ""
-    pat = opener + r"(?=(" + balanced(FAST_DEPTH) + r")\}(" + a + r")|([\s\S]*+))"
-    gmap = dict(groups or {})
-    gmap.update({"_bal": ngroups + 1, "_aft": ngroups + 2, "_rest": ngroups + 3})
-    arr = scan(text, pat, gmap, guard=guard)
-    # Fast path matched when _rest is ''. The fold path re-checks ``after``.
-    def fin(x):
-        body = F.when(x["_rest"] == "", x["_bal"]).otherwise(fold_body(x["_rest"]))
-        if after is None:
-            ok = F.lit(True)
-        else:
-            tail = x["_rest"].substr(F.length(body) + 2, F.lit(1 << 30))
-            ok = (x["_rest"] == "") | tail.rlike("^(?:" + after + ")")
-        fields = [x["line"].alias("line"), x["m"].alias("m"), body.alias("body"), ok.alias("ok")]
-        fields += [x[k].alias(k) for k in (groups or {})]
-        return F.struct(*fields)
-    return F.transform(arr, fin)
-
-
-def sub_lines(base_line, prefix_text, rel) -> Column:
-    """Absolute line of something found ``rel`` lines (0-based) into a body
-    that starts at the end of ``prefix_text``, which starts at ``base_line``."""
-    return base_line + nl(prefix_text) + rel
+def body_ends(text: str) -> dict[int, int]:
+    """Position of each '{' -> end of its body: its closing brace, or for a brace that is
+    never closed the end of the text minus its last character. One pass with a stack.
+    Braces inside strings count, as in the rules being reproduced."""
+    ends: dict[int, int] = {}
+    held: list[int] = []
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            held.append(m.start())
+        elif held:
+            ends[held.pop()] = m.start()
+    for at in held:
+        ends[at] = max(at + 1, len(text) - 1)
+    return ends
+
+
+def find_bodies(text: str, ends: dict[int, int], rule: str, opener: re.Pattern) -> list[tuple]:
+    """(rule, line, matched text, group 1 or '', body) of all matches of ``opener``. A body that is never
+    closed stops at the next such match: the rest is in that one's body, so bodies outside
+    one another add up to the text at most."""
+    found = list(opener.finditer(text))
+    out, line, at = [], 1, 0
+    for i, m in enumerate(found):
+        line += text.count("\n", at, m.start())
+        at, begin = m.start(), m.end()
+        end = ends[begin - 1]
+        if text[end:end + 1] != "}" and i + 1 < len(found) and found[i + 1].start() < end:
+            end = found[i + 1].start()
+        out.append((rule, line, m[0], (m[1] or "") if opener.groups else "", text[begin:end]))
+    return out
+
+
+#: rule -> (opener, a substring that every match holds), by language
+BodyRules = dict[str, dict[str, tuple[str, str]]]
+BODIES = "array<struct<rule:string,line:int,m:string,g:string,body:string>>"
+
+
+def bodies(lang: Column, content: Column, rules: BodyRules) -> Column:
+    """All matches of each rule's opener (a regex ending in an opening brace) of a file's language with the
+    brace-balanced body that follows; ``g`` is the opener's group 1.
+
+    Nested openers are all reported, since matching resumes right after each opening brace. Pairing braces
+    needs a stack, so this runs in Arrow batches inside the scan stage; text of other languages is not sent."""
+    compiled = {lg: [(name, re.compile(opener, re.ASCII), guard) for name, (opener, guard) in of.items()]
+                for lg, of in rules.items()}
+
+    @F.pandas_udf(BODIES)
+    def find(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for lg, text in zip(langs, texts):
+            hits = [x for x in compiled.get(lg, ()) if text is not None and x[2] in text]
+            ends = body_ends(text) if hits else {}
+            out.append([dict(zip(("rule", "line", "m", "g", "body"), b))
+                        for name, opener, _ in hits for b in find_bodies(text, ends, name, opener)])
+        return pd.Series(out, dtype=object)
+
+    return find(lang, F.when(lang.isin(*rules), content))
+
+
+def pick(found: Column, rule: str) -> Column:
+    """The bodies of one rule."""
+    return F.filter(found, lambda b: b["rule"] == rule)

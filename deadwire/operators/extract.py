@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.functions.text import blank_ts, let
+from deadwire.functions.text import bodies, let
 from deadwire.operators import rules_go, rules_java, rules_py, rules_ts
 from deadwire.operators.routes import route_facts
 
@@ -53,21 +53,19 @@ def _first_wins(arr: Column, ext: str, by_line: bool) -> Column:
                                                x["f"]["line"].alias("line")))
 
 
-def _facts_for(lang: Column, content: Column, blank: Column, sts: Column) -> Column:
+def _facts_for(lang: Column, content: Column, ts: Column, found: Column, sts: Column) -> Column:
     per = {
-        "py_defs": rules_py.py_defs(content), "py_reads": rules_py.py_reads(content),
-        "java_defs": rules_java.java_defs(content), "java_reads": rules_java.java_reads(content),
-        "go_defs": rules_go.go_defs(content, sts), "go_reads": rules_go.go_reads(content, sts),
-        "ts_request_defs": rules_ts.ts_request_defs(blank),
-        "ts_response_defs": rules_ts.ts_response_defs(blank),
-        "ts_reads": rules_ts.ts_reads(blank),
-        "ts_dynamic": rules_ts.ts_dynamic(blank),
+        "py_defs": rules_py.py_defs(content, found), "py_reads": rules_py.py_reads(content),
+        "java_defs": rules_java.java_defs(content, found),
+        "java_reads": rules_java.java_reads(content, found),
+        "go_defs": rules_go.go_defs(content, found, sts), "go_reads": rules_go.go_reads(content, sts),
     }
     parts = []
     for ext, (lg, _kind, by_line) in EXTRACTORS.items():
-        parts.append(F.when(lang == lg, _first_wins(per[ext], ext, by_line)))
+        if lg != "ts":  # the scanner has done that
+            parts.append(F.when(lang == lg, _first_wins(per[ext], ext, by_line)))
     typed_empty = F.filter(_first_wins(rules_py.empty(), "x", True), lambda x: F.lit(False))
-    return F.concat(*[F.coalesce(p, typed_empty) for p in parts])
+    return F.concat(*[F.coalesce(p, typed_empty) for p in (*parts, ts)])
 
 
 _BUILT: dict = {}
@@ -81,10 +79,12 @@ def _columns():
     if key not in _BUILT:
         content, lang = F.col("content"), F.col("lang")
         _BUILT[key] = (
-            F.when(lang == "ts", blank_ts(content)).alias("blank"),
-            F.when(lang == "go", rules_go.structs(content)).alias("sts"),
+            rules_ts.ts_facts(lang, content).alias("ts"),
+            bodies(lang, content, {"py": rules_py.BODY_RULES, "java": rules_java.BODY_RULES,
+                                   "go": rules_go.BODY_RULES}).alias("found"),
+            F.when(lang == "go", rules_go.structs(F.col("found"))).alias("sts"),
             route_facts(content).alias("routes"),
-            _facts_for(lang, content, F.col("blank"), F.col("sts")).alias("facts"),
+            _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts")).alias("facts"),
         )
     return _BUILT[key]
 
@@ -94,10 +94,11 @@ def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``routes`` and ``facts`` (plus any ``keep`` columns). Narrow: one
     projection chain, no exchange."""
     keep = list(keep or [])
-    blank, sts, routes, facts = _columns()
+    ts, found, sts, routes, facts = _columns()
     f = files.select("repo", "path", "lang", "content", *keep)
-    # Stage 1: per-file derived texts computed once (TS blanking, Go structs).
-    f = f.select("repo", "path", "lang", "content", *keep, blank, sts)
+    # per-file values computed once: TypeScript facts and bodies, then Go structs from them
+    f = f.select("repo", "path", "lang", "content", *keep, ts, found)
+    f = f.select("repo", "path", "lang", "content", *keep, "ts", "found", sts)
     return f.select("repo", "path", "lang", *keep, routes, facts)
 
 
@@ -113,10 +114,6 @@ def facts_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return extracted.select("repo", "path", "lang", *(keep or []), F.inline("facts"))
 
 
-FLAT_SCHEMA = ("repo string, path string, lang string, ext string, side string, rule string, "
-               "name string, line int, role string, method string, url string")
-
-
 def flat_facts(extracted: DataFrame) -> DataFrame:
     """Routes and field facts as one flat table (ext = 'route' for routes and
     calls), so it can be written once, partitioned by ``ext``, and every

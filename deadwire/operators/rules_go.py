@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from deadwire.functions.noise import is_noise
 from deadwire.functions.scalars import json_tag_name
-from deadwire.functions.text import let, nl, openers, scan
+from deadwire.functions.text import let, nl, pick, scan
 from deadwire.operators.rules_py import fact, nz
 
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
@@ -36,10 +36,13 @@ def resolve_var_type(content: Column, var: Column) -> Column:
                         for p in pats])
 
 
-def structs(content: Column) -> Column:
+BODY_RULES = {"struct": (STRUCT_HEAD, "struct"), "gin.H": (GIN_H, "gin.H"), "map": (MAP_LITERAL, "map[string]")}
+
+
+def structs(found: Column) -> Column:
     """array<struct<name, fields: array<struct<json, line>>>> of every
     ``type X struct {..}`` declaration; json is null for ``json:"-"``."""
-    heads = openers(content, STRUCT_HEAD, ngroups=1, groups={"t": 1}, guard="struct")
+    heads = pick(found, "struct")
 
     def one(h):
         fl = scan(h["body"], STRUCT_FIELD, {"go": 1})
@@ -47,12 +50,12 @@ def structs(content: Column) -> Column:
             json_tag_name(f["go"], F.when(f["m"].rlike(JSON_TAG),
                                           F.regexp_extract(f["m"], JSON_TAG, 1))).alias("json"),
             (h["line"] + nl(h["m"]) + f["line"] - 1).alias("line")))
-        return F.struct(h["t"].alias("name"), F.filter(fs, lambda f: f["json"].isNotNull()).alias("fields"))
+        return F.struct(h["g"].alias("name"), F.filter(fs, lambda f: f["json"].isNotNull()).alias("fields"))
 
     return F.transform(heads, one)
 
 
-def go_defs(content: Column, sts: Column) -> Column:
+def go_defs(content: Column, found: Column, sts: Column) -> Column:
     """gin.H and map literals' string keys; struct fields of non-bound types."""
     noise = lambda n: is_noise(n, "go", "def")
 
@@ -63,8 +66,8 @@ def go_defs(content: Column, sts: Column) -> Column:
                                                   o["line"] + nl(o["m"]) + k["line"] - 1))
         return F.flatten(F.transform(bodies, per))
 
-    a = keys(openers(content, GIN_H, guard="gin.H"), "go_gin_h", 1)
-    b = keys(openers(content, MAP_LITERAL, guard="map[string]"), "go_map_literal", 2)
+    a = keys(pick(found, "gin.H"), "go_gin_h", 1)
+    b = keys(pick(found, "map"), "go_map_literal", 2)
     bound = F.transform(F.regexp_extract_all(content, F.lit(BIND_TARGET), 1),
                         lambda v: resolve_var_type(content, v))
     keep = let(bound, lambda bd: F.filter(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deadwire.functions.noise import is_noise
 from deadwire.functions.scalars import getter_to_field_name, strip_generics
-from deadwire.functions.text import let, match_lines, nl, openers, scan
+from deadwire.functions.text import let, match_lines, nl, pick, scan
 from deadwire.operators.rules_py import fact, nz
 
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
@@ -31,12 +31,15 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def java_defs(content: Column) -> Column:
+BODY_RULES = {"class": (CLASS_HEAD, "class")}
+
+
+def java_defs(content: Column, found: Column) -> Column:
     """DTO fields of classes not bound by @RequestBody, Map.of keys, .put keys."""
     noise = lambda n: is_noise(n, "java", "def")
     bound = F.transform(F.regexp_extract_all(content, F.lit(REQUEST_BODY_TYPE), 1), strip_generics)
-    classes = openers(content, CLASS_HEAD, ngroups=1, groups={"cls": 1}, guard="class")
-    classes = let(bound, lambda bd: F.filter(classes, lambda c: ~F.array_contains(bd, c["cls"])))
+    classes = let(bound, lambda bd: F.filter(
+        pick(found, "class"), lambda c: ~F.array_contains(bd, c["g"])))
 
     def fields_of(c):
         fs = scan(c["body"], ANNOTATIONS + FIELD_DECL, {"k": 1})
@@ -64,16 +67,14 @@ def java_defs(content: Column) -> Column:
     return F.concat(nz(a), nz(b), nz(c))
 
 
-def _dto_field_names(content: Column, type_name: Column) -> Column:
+def nz_names(names: Column) -> Column:
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
+def _dto_field_names(found: Column, type_name: Column) -> Column:
     """Field names (with @JsonProperty override) of in-file classes named
     ``type_name``."""
-    head = F.concat(F.lit(r"class\s+"), type_name,
-                    F.lit(r"\s*(?:extends\s+\w+\s*)?(?:implements[^{]+)?\{"))
-    from deadwire.functions.text import balanced, FAST_DEPTH, fold_body
-    pat = F.concat(head, F.lit(r"(?=(" + balanced(FAST_DEPTH) + r")\}|([\s\S]*+))"))
-    zz = F.arrays_zip(F.regexp_extract_all(content, pat, 1).alias("bal"),
-                      F.regexp_extract_all(content, pat, 2).alias("rest"))
-    bodies = F.transform(zz, lambda z: F.when(z["rest"] == "", z["bal"]).otherwise(fold_body(z["rest"])))
+    bodies = F.transform(F.filter(pick(found, "class"), lambda c: c["g"] == type_name), lambda c: c["body"])
     fre = F.lit("(" + ANNOTATIONS + ")" + FIELD_DECL)
 
     def names(b):
@@ -87,7 +88,7 @@ def _dto_field_names(content: Column, type_name: Column) -> Column:
     return F.flatten(F.transform(bodies, names))
 
 
-def java_reads(content: Column) -> Column:
+def java_reads(content: Column, found: Column) -> Column:
     """@RequestBody getters / direct fields (else all in-file DTO fields),
     @RequestParam names and request.getParameter."""
     noise = lambda n: is_noise(n, "java", "read")
@@ -106,7 +107,7 @@ def java_reads(content: Column) -> Column:
         explicit = F.concat(
             F.transform(g, lambda x: fact("request", "java_getter", 1, x["k"], x["line"])),
             F.transform(d, lambda x: fact("request", "java_direct", 2, x["k"], x["line"])))
-        fallback = F.transform(_dto_field_names(content, strip_generics(p["t"])),
+        fallback = F.transform(nz_names(_dto_field_names(found, strip_generics(p["t"]))),
                                lambda k: fact("request", "java_dto_all", 3, k, p["line"]))
         return F.when(F.size(g) + F.size(d) > 0, explicit).otherwise(fallback)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deadwire.functions.noise import is_noise
-from deadwire.functions.text import let, match_lines, nl, openers, scan
+from deadwire.functions.text import let, match_lines, nl, pick, scan
 
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
 # --- fixed values: Python rule patterns ---------------------------------------
@@ -89,16 +89,19 @@ def route_ranges(content: Column) -> Column:
                lambda lines: F.transform(decs, lambda d: rng(d, lines)))
 
 
-def py_defs(content: Column) -> Column:
+BODY_RULES = {"jsonify": (JSONIFY, "jsonify"), "return": (RETURN_DICT, "return"),
+              "JSONResponse": (JSON_RESPONSE, "JSONResponse")}
+
+
+def py_defs(content: Column, found: Column) -> Column:
     """Response dict keys (jsonify / return in a route function /
     JSONResponse) and request-model fields (BaseModel classes)."""
     noise = lambda n: is_noise(n, "py", "def")
-    a = openers(content, JSONIFY, guard="jsonify")
+    a = pick(found, "jsonify")
     ranges = route_ranges(content)
-    b = openers(content, RETURN_DICT, guard="return")
     b = let(ranges, lambda rg: F.filter(
-        b, lambda o: F.exists(rg, lambda r: (o["line"] >= r["s"]) & (o["line"] < r["e"]))))
-    c = openers(content, JSON_RESPONSE, guard="JSONResponse")
+        pick(found, "return"), lambda o: F.exists(rg, lambda r: (o["line"] >= r["s"]) & (o["line"] < r["e"]))))
+    c = pick(found, "JSONResponse")
     out_a = keys_in_bodies(a, DICT_KEY, "response", "py_jsonify", 1, noise)
     out_b = keys_in_bodies(b, DICT_KEY, "response", "py_return_dict", 2, noise)
     out_c = keys_in_bodies(c, DICT_KEY, "response", "py_json_response", 3, noise)

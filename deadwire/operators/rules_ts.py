@@ -1,179 +1,35 @@
-"""TypeScript/JavaScript rules: request-body definitions (E11-E14),
-response definitions of Node handlers (E15) and response reads (E16, E17).
+"""TypeScript/JavaScript rules: request-body definitions (E11-E14), response
+definitions of Node handlers (E15), response reads (E16, E17) and the dynamic-read flag.
 
-These rules see the file after ``blank_ts`` (comments dropped, string
-contents neutralised, template literals reduced to their expressions), so
-names inside comments and strings are not picked up.
+They need brackets paired at any depth, scopes and type positions, which regular
+expressions over whole files cannot give in linear time. ``functions.ts_scan`` reads a
+file once; here it runs over Arrow batches inside the scan stage (no shuffle), for
+TypeScript rows only: the text of other rows is not sent to Python.
 """
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deadwire.functions.noise import ts_read_candidate
-from deadwire.functions.text import balanced, FAST_DEPTH, let, nl, object_keys, openers, scan
-from deadwire.operators.rules_py import fact, nz
-
-JS_IDENT = r"[A-Za-z_$][\w$]*"
-# --- fixed values: TypeScript rule patterns -------------------------------------
-AXIOS_BODY = r"\baxios\.(?:post|put|patch)\s*\(\s*(?:[^,()]++|\([^()]*\))*+,\s*\{"
-OPTIONS_OBJECT = r"[(,]\s*\{"
-OPTIONS_END = r"\s*\)"
-WRITE_METHOD = (r"(?i)(?:^|,)\s*method\s*:\s*['\"`]?\s*(?:post|put|patch|delete)\s*['\"`]?\s*(?:,|$)")
-BODY_STRINGIFY_OBJ = r"(?:^|,)\s*body\s*:\s*JSON\.stringify\s*\(\s*\{"
-BODY_STRINGIFY_VAR = r"(?:^|,)\s*body\s*:\s*JSON\.stringify\s*\(\s*(" + JS_IDENT + r")\s*\)"
-STRINGIFY_OBJ = r"(\bbody\s*:\s*)?\bJSON\.stringify\s*\(\s*\{"
-VAR_OBJECT = r"\b(?:const|let|var)\s+(" + JS_IDENT + r")\s*(?::[^=;{}]+)?=\s*\{"
-RECEIVER = r"(?<![\w$.])(?:res|response|resp|reply|ctx)\s*(?:\.\s*" + JS_IDENT + r"\s*\([^()]*\)\s*)?"
-RESPONSE_OBJ = RECEIVER + r"\.\s*(?:json|send)\s*\(\s*\{"
-RESPONSE_VAR = RECEIVER + r"\.\s*(?:json|send)\s*\(\s*(" + JS_IDENT + r")\s*[,)]"
-PROPERTY_ACCESS = r"(?<=[\w$)\]}'\"`!])\s*(?:\?\.|\.)\s*(" + JS_IDENT + r")"
-OBJECT_PATTERN_DECL = r"\b(?:const|let|var)\s*\{"
-DECL_PATTERN_END = r"\s*(?::[^=;{}]+)?(?:=(?!=)|\bof\b|\bin\b)"
-OBJECT_PATTERN_PARAM = r"[(,]\s*\{"
-PARAM_PATTERN_END = (r"\s*(?::(?:[^(){},]|\{[^{}]*\})*)?(?:,(?:[^(){}]|\{[^{}]*\})*)?\)\s*"
-                     r"(?::[^=;{}()]+)?(?:=>|\{)")
-ARRAY_PATTERN_DECL = r"\b(?:const|let|var)\s*\[([^\[\]]*)\]\s*(?::[^=;]+)?=(?!=)"
-BINDING_KEY = r"(?:^|[{,\[])\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
-ARRAY_ELEMENT = r"(?:^|,)\s*(?:\.\.\.\s*)?(" + JS_IDENT + r")"
-DYNAMIC_ACCESS = r"[\w$\])]\s*\[\s*[A-Za-z_$][\w$]*\s*\]"
-
-_NESTED = r"\{" + balanced(FAST_DEPTH) + r"\}"
-
-
-def _object_facts(objs: Column, side: str, rule: str, order: int) -> Column:
-    """Depth-1 keys of each object literal in ``objs`` (opener structs)."""
-    def per(o):
-        return F.transform(object_keys(o["body"]), lambda k: fact(
-            side, rule, order, k["name"], o["line"] + nl(o["m"]) + k["rel"]))
-    return F.flatten(F.transform(objs, per))
-
-
-def _declared_objects(b: Column) -> Column:
-    """Variables declared exactly once in the file whose initializer is an
-    object literal: array<struct<var, line, m, body>>."""
-    decls = openers(b, VAR_OBJECT, ngroups=1, groups={"var": 1}, guard="=")
-    names = F.regexp_extract_all(b, F.lit(r"\b(?:const|let|var)\s+(" + JS_IDENT + r")\s*[:=]"), 1)
-    # names declared more than once: neighbours in sorted order (n log n)
-    dups = let(F.array_sort(names), lambda srt: F.array_distinct(F.filter(
-        srt, lambda x, i: (i > 0) & (F.element_at(srt, F.greatest(i, F.lit(1))) == x))))
-    return let(dups, lambda dp: F.filter(decls, lambda d: ~F.array_contains(dp, d["var"])))
-
-
-def _resolve(decls: Column, var: Column) -> Column:
-    return F.filter(decls, lambda d: d["var"] == var)
-
-
-def ts_request_defs(b: Column) -> Column:
-    """Request bodies: axios write calls, options objects with a write method
-    and ``body: JSON.stringify(..)``, and bare ``JSON.stringify({..})``."""
-    return let(F.when(b.contains("JSON.stringify"), _declared_objects(b)),
-               lambda decls: _ts_request_defs(b, decls))
-
-
-def _ts_request_defs(b: Column, decls: Column) -> Column:
-    r1 = _object_facts(openers(b, AXIOS_BODY, guard="axios."), "request", "ts_axios_body", 1)
-
-    opts = openers(b, OPTIONS_OBJECT, after=OPTIONS_END, guard="JSON.stringify")
-    opts = F.filter(opts, lambda o: o["ok"])
-
-    def from_options(o):
-        d1 = F.regexp_replace(o["body"], _NESTED, "{}")
-        good = d1.rlike(WRITE_METHOD)
-        inner = openers(o["body"], BODY_STRINGIFY_OBJ)
-        base = o["line"] + nl(o["m"])
-        lit_keys = F.flatten(F.transform(inner, lambda s: F.transform(
-            object_keys(s["body"]), lambda k: fact("request", "ts_options_body", 2, k["name"],
-                                                   base + s["line"] - 1 + nl(s["m"]) + k["rel"]))))
-        var = F.regexp_extract(d1, BODY_STRINGIFY_VAR, 1)
-        var_keys = _object_facts(_resolve(decls, var), "request", "ts_options_body_var", 2)
-        chosen = F.when(d1.rlike(r"(?:^|,)\s*body\s*:\s*JSON\.stringify\s*\(\s*\{\}\s*\)"), lit_keys) \
-                  .when(var != "", var_keys)
-        return F.when(good, chosen)
-
-    r2 = F.flatten(F.filter(F.transform(opts, from_options), lambda a: a.isNotNull()))
-    bare = openers(b, STRINGIFY_OBJ, ngroups=1, groups={"prefix": 1}, guard="JSON.stringify")
-    bare = F.filter(bare, lambda o: o["prefix"] == "")
-    r3 = _object_facts(bare, "request", "ts_stringify", 3)
-    return F.concat(nz(r1), nz(r2), nz(r3))
-
-
-def ts_response_defs(b: Column) -> Column:
-    """Objects passed to res/response/resp/reply/ctx .json()/.send(), one
-    chained call allowed; an identifier argument is resolved one hop."""
-    direct = _object_facts(openers(b, RESPONSE_OBJ), "response", "ts_res_json", 1)
-    vars_ = F.regexp_extract_all(b, F.lit(RESPONSE_VAR), 1)
-    via = let(F.when(F.size(vars_) > 0, _declared_objects(b)), lambda decls: F.flatten(F.transform(
-        vars_, lambda v: _object_facts(_resolve(decls, v), "response", "ts_res_json_var", 1))))
-    # direct and identifier forms interleave in call order; both are rule 1
-    return F.concat(nz(direct), nz(via))
-
-
-def chain_lines(acc: Column) -> Column:
-    """A property access is reported on the line where its whole chain starts.
-    An access whose dot begins a new line continues the chain of the access
-    that ended on the line before, and takes that chain's start line.
-    Linear when no chain spans lines; otherwise only the continuation links
-    are folded, in order."""
-    return let(acc, _chain_fix)
-
-
-def _chain_fix(a: Column) -> Column:
-    def is_cont(x, i):
-        prev = F.element_at(a, F.greatest(i, F.lit(1)))       # element i-1 (0-based i)
-        return ((i > 0) & x["m"].rlike(r"^[ \t]*\n")
-                & ((prev["line"] + nl(prev["m"])) == x["line"]))
-
-    def with_fixes(fl):
-        n = F.size(a)
-        idx = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: fl[i])
-        empty = F.array().cast("array<struct<i:int,s:int>>")
-        init = F.struct(F.lit(-2).alias("pi"), F.lit(0).alias("ps"), empty.alias("out"))
-
-        def step(st, i):
-            start = F.when(st["pi"] == i - 1, st["ps"]).otherwise(a[i - 1]["line"])
-            return F.struct(i.alias("pi"), start.alias("ps"),
-                            F.concat(st["out"], F.array(F.struct(i.alias("i"), start.alias("s")))).alias("out"))
-
-        fixes = F.aggregate(idx, init, step, lambda st: F.map_from_entries(st["out"]))
-        return let(fixes, lambda fx: F.transform(a, lambda x, i: F.struct(
-            F.when(fl[i], F.element_at(fx, i)).otherwise(x["line"]).alias("line"),
-            x["m"].alias("m"), x["k"].alias("k"))))
-
-    flags = F.transform(a, is_cont)
-    return let(flags, lambda fl: F.when(~F.exists(fl, lambda f: f), a).otherwise(with_fixes(fl)))
+from deadwire.functions.noise import is_ts_read
+from deadwire.functions.ts_scan import scan_file
 
+FACTS = "array<struct<ext:string,side:string,rule:string,name:string,line:int>>"
 
-def ts_reads(b: Column) -> Column:
-    """Property accesses (incl. optional chaining, JSX, templates) first, then
-    destructured keys at every depth (aliases keep the source key)."""
-    acc = chain_lines(scan(b, PROPERTY_ACCESS, {"k": 1}, guard="."))
-    p1 = F.transform(F.filter(acc, lambda x: ts_read_candidate(x["k"])),
-                     lambda x: fact("response", "ts_property", 1, x["k"], x["line"]))
 
-    def keys(pats):
-        def per(o):
-            ks = scan(o["body"], BINDING_KEY, {"k": 1})
-            return F.transform(ks, lambda k: fact(
-                "response", "ts_destructure", 2, k["k"],
-                o["line"] + nl(o["m"]) + k["line"] - 1 + nl(k["m"]) - nl(k["k"])))
-        return F.flatten(F.transform(F.filter(pats, lambda o: o["ok"]), per))
+@cache
+def _scanner():
+    @F.pandas_udf(FACTS)
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [dict(zip(("ext", "side", "rule", "name", "line"), f))
+                                                  for f in scan_file(x, is_ts_read)] for x in texts], dtype=object)
 
-    decl = keys(openers(b, OBJECT_PATTERN_DECL, after=DECL_PATTERN_END, guard="{"))
-    param = keys(openers(b, OBJECT_PATTERN_PARAM, after=PARAM_PATTERN_END, guard="{"))
-    arrs = scan(b, ARRAY_PATTERN_DECL, {"els": 1}, guard="[")
-    arr = F.flatten(F.transform(arrs, lambda a: F.transform(
-        scan(a["els"], ARRAY_ELEMENT, {"k": 1}),
-        lambda k: fact("response", "ts_destructure", 2, k["k"],
-                       a["line"] + nl(a["m"]) - nl(a["els"]) - nl(F.regexp_extract(a["m"], r"\][\s\S]*$", 0))
-                       + k["line"] - 1 + nl(k["m"])))))
-    p2 = F.filter(F.concat(nz(decl), nz(param), nz(arr)), lambda f: ts_read_candidate(f["name"]))
-    return F.concat(nz(p1), p2)
+    return scan
 
 
-def ts_dynamic(b: Column) -> Column:
-    """One flag fact per file that reads with a non-literal bracket key
-    (``obj[key]``), on the line of the first such read; used by the
-    ``protect_dynamic`` option."""
-    hits = scan(b, DYNAMIC_ACCESS, {}, guard="[")
-    return F.when(F.size(hits) > 0, F.array(fact("response", "ts_dynamic", 1, F.lit(""), hits[0]["line"])))
+def ts_facts(lang: Column, content: Column) -> Column:
+    """All facts of a TypeScript file, first one per dedup key; null for other files."""
+    return _scanner()(F.when(lang == "ts", content))

@@ -214,7 +214,13 @@ def q_incremental_rescan(spark, sf_dir):
     stale = F.regexp_replace("content", r"\n  (out\.push|const \{)[^\n]*", "")
     write_drop(files.withColumn("content", F.when(is_fe, stale).otherwise(F.col("content"))),
                f"{base}/landing", 1)
+    # a file that is gone in the end, saved and then deleted; its late older save changes nothing
+    gone = files.filter(is_fe).withColumn("path", F.concat(F.lit("gone/"), F.col("path")))
+    write_drop(gone, f"{base}/landing", 1)
+    write_drop(gone, f"{base}/landing", 3, deleted=True)
     write_drop(files.filter(is_fe), f"{base}/landing", 2)
+    write_drop(files.filter(is_fe), f"{base}/landing", 2)  # delivered twice
+    write_drop(gone, f"{base}/landing", 2)
     run_rescan(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
                max_files_per_trigger=8)
     return current_state(spark, f"{base}/state").dead_fields()

@@ -43,11 +43,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Read ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) point it at a fresh scratch folder. On a cluster this is the
-    shared folder the cluster names, never a machine-local one."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a local master (tests, benches) gets a
+    fresh scratch folder; on a cluster that is an error, since executors share no local folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="deadwire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from deadwire.streaming.rescan import current_state, run_rescan, write_drop
+from deadwire.streaming.rescan import compact, current_state, run_rescan, write_drop
 
 FRONT_V1 = "export async function f() {\n  const r = await fetch('/api/items');\n  const b = await r.json();\n  return [b.itemName, b.itemPrice];\n}\n"
 FRONT_V2 = "export async function f() {\n  const r = await fetch('/api/items');\n  const b = await r.json();\n  return [b.itemName];\n}\n"
@@ -33,3 +33,26 @@ def test_stream_latest_version_wins(spark):
     log = spark.read.parquet(os.path.join(state, "files_log"))
     assert log.filter(F.col("version") == 2).count() == 1
     assert st.files.count() == 2
+
+
+def test_stream_deletes_and_duplicates(spark):
+    base = tempfile.mkdtemp(prefix="deadwire-stream-test-")
+    landing, state, ckpt, small = (os.path.join(base, x) for x in ("landing", "state", "ckpt", "small"))
+    front = files(spark, [("shop", "web/f.ts", "ts", FRONT_V2)])
+    both = front.union(files(spark, [("shop", "api/app.py", "py", BACK), ("shop", "web/g.ts", "ts", FRONT_V1)]))
+    write_drop(both, landing, 1)
+    write_drop(both, landing, 1)
+    run_rescan(spark, landing, state, ckpt, max_files_per_trigger=1)
+    st = current_state(spark, state)
+    assert sorted(r.name for r in st.dead_fields().collect()) == ["itemSku"] and st.files.count() == 3
+    write_drop(front.withColumn("path", F.lit("web/g.ts")), landing, 2, deleted=True)
+    write_drop(both, landing, 1)  # late and older than the deletion
+    run_rescan(spark, landing, state, ckpt)
+    st = current_state(spark, state)
+    assert sorted(r.name for r in st.dead_fields().collect()) == ["itemPrice", "itemSku"] and st.files.count() == 2
+    compact(spark, state, small)
+    st = current_state(spark, small)
+    assert sorted(r.name for r in st.dead_fields().collect()) == ["itemPrice", "itemSku"] and st.files.count() == 2
+    assert spark.read.parquet(os.path.join(small, "files_log")).count() == 3
+    run_rescan(spark, landing, small, ckpt)  # nothing new
+    assert current_state(spark, small).files.count() == 2
