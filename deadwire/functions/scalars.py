@@ -18,27 +18,30 @@ KWH_PER_BYTE = 6e-11            # fixed-line network energy, kWh per byte
 CO2_GRAMS_PER_BYTE = 6.916e-8   # grams CO2e per byte shown in the dashboard
 
 # Byte tiers by field name, checked in this order; first hit wins.
-BOOL_PREFIXES = "is has can should was did enabled active visible deleted verified confirmed success failed done"
-BOOL_SUFFIXES = "enabled active visible"
-ID_SUFFIXES = "id uuid guid"
-COUNT_PREFIXES = "count total num number age score size length limit offset page rank index version code status"
-TIME_PREFIXES = "created updated deleted modified published expires started ended timestamp date time"
-TIME_SUFFIXES = "at date time timestamp"
-EMAIL_PARTS = "email mail"
-URL_PARTS = "url uri link href path"
-TOKEN_PARTS = "token hash secret key signature"
-NAME_PARTS = "name title label slug"
-TEXT_PARTS = "message description content body text bio"
-OBJECT_PARTS = "data meta info config settings options"
-LIST_PARTS = "list items array tags roles"
+BOOL_PREFIXES = ("is", "has", "can", "should", "was", "did", "enabled", "active", "visible", "deleted",
+                 "verified", "confirmed", "success", "failed", "done")
+BOOL_SUFFIXES = ("enabled", "active", "visible")
+ID_SUFFIXES = ("id", "uuid", "guid")
+COUNT_PREFIXES = ("count", "total", "num", "number", "age", "score", "size", "length", "limit", "offset",
+                  "page", "rank", "index", "version", "code", "status")
+TIME_PREFIXES = ("created", "updated", "deleted", "modified", "published", "expires", "started", "ended",
+                 "timestamp", "date", "time")
+TIME_SUFFIXES = ("at", "date", "time", "timestamp")
+EMAIL_PARTS = ("email", "mail")
+URL_PARTS = ("url", "uri", "link", "href", "path")
+TOKEN_PARTS = ("token", "hash", "secret", "key", "signature")
+NAME_PARTS = ("name", "title", "label", "slug")
+TEXT_PARTS = ("message", "description", "content", "body", "text", "bio")
+OBJECT_PARTS = ("data", "meta", "info", "config", "settings", "options")
+LIST_PARTS = ("list", "items", "array", "tags", "roles")
 BYTES = {"bool": 5, "id": 38, "count": 6, "time": 26, "email": 27, "url": 52,
          "token": 66, "name": 22, "text": 80, "object": 64, "list": 40, "default": 22}
 
 # Daily request tiers by endpoint pattern, checked in this order.
-HEALTH_SEGMENTS = "health ping status ready live"
-AUTH_SEGMENTS = "auth login logout signin signout session token refresh"
-ADMIN_SEGMENTS = "admin internal debug metrics _"
-WRITE_VERBS = "POST PUT PATCH DELETE"
+HEALTH_SEGMENTS = ("health", "ping", "status", "ready", "live")
+AUTH_SEGMENTS = ("auth", "login", "logout", "signin", "signout", "session", "token", "refresh")
+ADMIN_SEGMENTS = ("admin", "internal", "debug", "metrics", "_")
+WRITE_VERBS = ("POST", "PUT", "PATCH", "DELETE")
 REQUESTS = {"default": 10_000, "health": 100_000, "auth": 50_000, "admin": 500,
             "webhook": 1_000, "write": 5_000}
 
@@ -47,8 +50,8 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _alt(words: str) -> str:
-    return "|".join(words.split())
+def _alt(words: tuple[str, ...]) -> str:
+    return "|".join(words)
 
 
 # --- P1 / P2 / P4: URLs and patterns -----------------------------------------
@@ -79,20 +82,20 @@ def pattern_method(pattern) -> Column:
 
 # --- P14 / P15 / P16 / P17: scoring -------------------------------------------
 
-def _starts(n: Column, words: str) -> Column:
+def _starts(n: Column, words: tuple[str, ...]) -> Column:
     return n.rlike("^(" + _alt(words) + ")")
 
 
-def _ends(n: Column, words: str) -> Column:
+def _ends(n: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for w in words.split():
+    for w in words:
         out = out | n.endswith(w)
     return out
 
 
-def _has(n: Column, words: str) -> Column:
+def _has(n: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for w in words.split():
+    for w in words:
         out = out | n.contains(w)
     return out
 

@@ -109,25 +109,33 @@ def routes_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
             .withColumn("lang_rank", F.element_at(rank, F.col("lang"))))
 
 
+def _numbered(facts: Column) -> Column:
+    return F.transform(facts, lambda x, i: F.struct(*(x[c].alias(c) for c in ("ext", "side", "rule", "name", "line")),
+                                                    i.alias("pos")))
+
+
 def facts_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """fields(repo, path, lang, ext, side, rule, name, line)."""
-    return extracted.select("repo", "path", "lang", *(keep or []), F.inline("facts"))
+    """fields(repo, path, lang, ext, side, rule, name, line, pos); ``pos`` numbers a file's fields in
+    the order of extraction."""
+    return extracted.select("repo", "path", "lang", *(keep or []), F.inline(_numbered(F.col("facts"))))
 
 
 def flat_facts(extracted: DataFrame) -> DataFrame:
-    """Routes and field facts as one flat table (ext = 'route' for routes and
-    calls), so it can be written once, partitioned by ``ext``, and every
+    """Files (ext = 'file'), routes and calls ('route') and field facts as one flat table, so it can be written once, partitioned by ``ext``, and every
     query prunes to the partitions it needs."""
     null = lambda t: F.lit(None).cast(t)
     r = F.transform(F.col("routes"), lambda x: F.struct(
         F.lit("route").alias("ext"), null("string").alias("side"), x["rule"].alias("rule"),
-        null("string").alias("name"), null("int").alias("line"), x["role"].alias("role"),
+        null("string").alias("name"), null("int").alias("line"), null("int").alias("pos"), x["role"].alias("role"),
         x["method"].alias("method"), x["url"].alias("url")))
-    f = F.transform(F.col("facts"), lambda x: F.struct(
+    f = F.transform(_numbered(F.col("facts")), lambda x: F.struct(
         x["ext"].alias("ext"), x["side"].alias("side"), x["rule"].alias("rule"), x["name"].alias("name"),
-        x["line"].alias("line"), null("string").alias("role"), null("string").alias("method"),
+        x["line"].alias("line"), x["pos"].alias("pos"), null("string").alias("role"), null("string").alias("method"),
         null("string").alias("url")))
-    return extracted.select("repo", "path", "lang", F.inline(F.concat(r, f)))
+    one = F.array(F.struct(F.lit("file").alias("ext"), *(null("string").alias(c) for c in ("side", "rule", "name")),
+                           null("int").alias("line"), null("int").alias("pos"),
+                           *(null("string").alias(c) for c in ("role", "method", "url"))))
+    return extracted.select("repo", "path", "lang", F.inline(F.concat(one, r, f)))
 
 
 def routes_from_flat(flat: DataFrame) -> DataFrame:
@@ -138,5 +146,5 @@ def routes_from_flat(flat: DataFrame) -> DataFrame:
 
 
 def facts_from_flat(flat: DataFrame) -> DataFrame:
-    return (flat.filter(F.col("ext") != "route")
-            .select("repo", "path", "lang", "ext", "side", "rule", "name", "line"))
+    return (flat.filter(~F.col("ext").isin("route", "file"))
+            .select("repo", "path", "lang", "ext", "side", "rule", "name", "line", "pos"))

@@ -24,7 +24,8 @@ def project_facts(facts: DataFrame, files: DataFrame):
     """(defined, accessed) per repo from the fact table."""
     be_lang = (files.filter(F.col("path").contains("backend/"))
                .groupBy("repo").agg(F.min("lang").alias("be_lang")))
-    f = facts.join(be_lang, "repo")
+    # one row per name before the join on the repo, which is all that a score needs
+    f = facts.select("repo", "ext", "name").distinct().join(be_lang, "repo")
     is_java = F.col("be_lang") == "java"
     defined = f.filter((~is_java & F.col("ext").isin("py_defs", "go_defs", "ts_response_defs"))
                        | (is_java & (F.col("ext") == "ts_request_defs")))

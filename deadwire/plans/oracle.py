@@ -8,7 +8,6 @@ is parsed. Scalar queries restate the scoring and URL rules in SQL.
 from __future__ import annotations
 
 from deadwire.functions import noise as N
-from deadwire.functions import scalars as S
 from deadwire.sources.derived import BUCKET, NAME_PARTS, TIER_BYTES
 
 _name_case = " ".join(
@@ -47,7 +46,8 @@ f AS (SELECT *,
         CASE lang WHEN 'py' THEN (CASE style WHEN 0 THEN 'py_jsonify' WHEN 1 THEN 'py_return_dict'
                                  ELSE 'py_json_response' END)
                   WHEN 'go' THEN (CASE WHEN style % 2 = 0 THEN 'go_gin_h' ELSE 'go_struct' END)
-                  WHEN 'ts' THEN 'ts_res_json' END AS be_rule,
+                  WHEN 'ts' THEN (CASE style WHEN 2 THEN 'ts_res_json_var' ELSE 'ts_res_json' END) END AS be_rule,
+        CASE style WHEN 0 THEN 'ts_options_body' WHEN 1 THEN 'ts_options_body_var' ELSE 'ts_axios_body' END AS fe_rule,
         CAST(bytes AS BIGINT) * (CASE WHEN lang = 'java' THEN 5000 ELSE 10000 END) AS ep_waste,
         CAST(bytes AS BIGINT) * 10000 AS gl_waste
       FROM p),
@@ -57,7 +57,7 @@ ep_dead AS (
   FROM f WHERE lang <> 'java' AND has_fe AND NOT is_read
   UNION ALL
   SELECT repo, pattern, method, be_path AS backend_file, fe_path AS path, 'ts' AS lang, 'request' AS side,
-         'ts_options_body' AS rule, name, CAST(5 + pos AS INTEGER) AS line, ep_waste AS waste_score
+         fe_rule AS rule, name, CAST(5 + pos AS INTEGER) AS line, ep_waste AS waste_score
   FROM f WHERE lang = 'java' AND has_fe AND NOT is_read),
 gl_dead AS (
   SELECT repo, be_path AS path, lang, 'response' AS side, be_rule AS rule, name, be_line AS line,
@@ -79,54 +79,51 @@ def _with(sql: str) -> str:
     return "WITH " + BASE.strip() + "\n" + sql
 
 
-def _alt(words: str) -> str:
-    return "|".join(words.split())
+def _ends(n: str, *words: str) -> str:
+    return "(" + " OR ".join(f"ends_with({n}, '{w}')" for w in words) + ")"
 
 
-def _starts(n: str, words: str) -> str:
-    return f"regexp_matches({n}, '^({_alt(words)})')"
-
-
-def _ends(n: str, words: str) -> str:
-    return "(" + " OR ".join(f"ends_with({n}, '{w}')" for w in words.split()) + ")"
-
-
-def _has(n: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({n}, '{w}')" for w in words.split()) + ")"
+def _has(n: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({n}, '{w}')" for w in words) + ")"
 
 
 def tier_sql(word: str) -> str:
     n = f"lower({word})"
     return f"""CASE
-      WHEN {_starts(n, S.BOOL_PREFIXES)} OR {_ends(n, S.BOOL_SUFFIXES)} THEN 'bool'
-      WHEN {n} = 'id' OR {_ends(n, S.ID_SUFFIXES)} OR regexp_matches({n}, '[_-]id$') THEN 'id'
-      WHEN {_starts(n, S.COUNT_PREFIXES)} OR ends_with({n}, 'count') THEN 'count'
-      WHEN {_starts(n, S.TIME_PREFIXES)} OR {_ends(n, S.TIME_SUFFIXES)} THEN 'time'
-      WHEN {_has(n, S.EMAIL_PARTS)} THEN 'email'
-      WHEN {_has(n, S.URL_PARTS)} THEN 'url'
-      WHEN {_has(n, S.TOKEN_PARTS)} THEN 'token'
-      WHEN {_has(n, S.NAME_PARTS)} THEN 'name'
-      WHEN {_has(n, S.TEXT_PARTS)} THEN 'text'
-      WHEN {_has(n, S.OBJECT_PARTS)} THEN 'object'
-      WHEN {_has(n, S.LIST_PARTS)} OR ends_with({n}, 's') THEN 'list'
+      WHEN regexp_matches({n}, '^(is|has|can|should|was|did|enabled|active|visible|deleted|verified|confirmed|success|failed|done)')
+           OR {_ends(n, "enabled", "active", "visible")} THEN 'bool'
+      WHEN {n} = 'id' OR {_ends(n, "id", "uuid", "guid")} OR regexp_matches({n}, '[_-]id$') THEN 'id'
+      WHEN regexp_matches({n}, '^(count|total|num|number|age|score|size|length|limit|offset|page|rank|index|version|code|status)')
+           OR ends_with({n}, 'count') THEN 'count'
+      WHEN regexp_matches({n}, '^(created|updated|deleted|modified|published|expires|started|ended|timestamp|date|time)')
+           OR {_ends(n, "at", "date", "time", "timestamp")} THEN 'time'
+      WHEN {_has(n, "email", "mail")} THEN 'email'
+      WHEN {_has(n, "url", "uri", "link", "href", "path")} THEN 'url'
+      WHEN {_has(n, "token", "hash", "secret", "key", "signature")} THEN 'token'
+      WHEN {_has(n, "name", "title", "label", "slug")} THEN 'name'
+      WHEN {_has(n, "message", "description", "content", "body", "text", "bio")} THEN 'text'
+      WHEN {_has(n, "data", "meta", "info", "config", "settings", "options")} THEN 'object'
+      WHEN {_has(n, "list", "items", "array", "tags", "roles")} OR ends_with({n}, 's') THEN 'list'
       ELSE 'default' END"""
 
 
 def bytes_sql(tier: str) -> str:
-    return "CASE " + " ".join(f"WHEN {tier} = '{k}' THEN {v}" for k, v in S.BYTES.items()) + " END"
+    return (f"CASE {tier} WHEN 'bool' THEN 5 WHEN 'id' THEN 38 WHEN 'count' THEN 6 WHEN 'time' THEN 26 "
+            "WHEN 'email' THEN 27 WHEN 'url' THEN 52 WHEN 'token' THEN 66 WHEN 'name' THEN 22 WHEN 'text' THEN 80 "
+            "WHEN 'object' THEN 64 WHEN 'list' THEN 40 ELSE 22 END")
 
 
 def requests_sql(p: str) -> str:
     lp = f"lower({p})"
-    seg = lambda w: f"regexp_matches({lp}, '/({_alt(w)})(/|$)')"
+    seg = lambda w: f"regexp_matches({lp}, '/({w})(/|$)')"
     return f"""CAST(CASE
-      WHEN {p} IS NULL OR {p} = '' THEN {S.REQUESTS['default']}
-      WHEN {seg(S.HEALTH_SEGMENTS)} THEN {S.REQUESTS['health']}
-      WHEN {seg(S.AUTH_SEGMENTS)} THEN {S.REQUESTS['auth']}
-      WHEN {seg(S.ADMIN_SEGMENTS)} THEN {S.REQUESTS['admin']}
-      WHEN regexp_matches({lp}, '/webhook') THEN {S.REQUESTS['webhook']}
-      WHEN regexp_matches({p}, '^({_alt(S.WRITE_VERBS)})') THEN {S.REQUESTS['write']}
-      ELSE {S.REQUESTS['default']} END AS INTEGER)"""
+      WHEN {p} IS NULL OR {p} = '' THEN 10000
+      WHEN {seg("health|ping|status|ready|live")} THEN 100000
+      WHEN {seg("auth|login|logout|signin|signout|session|token|refresh")} THEN 50000
+      WHEN {seg("admin|internal|debug|metrics|_")} THEN 500
+      WHEN regexp_matches({lp}, '/webhook') THEN 1000
+      WHEN regexp_matches({p}, '^(POST|PUT|PATCH|DELETE)') THEN 5000
+      ELSE 10000 END AS INTEGER)"""
 
 
 def normalize_sql(x: str) -> str:
@@ -147,6 +144,17 @@ def words_sql(w: str) -> str:
       ELSE CAST({n} AS VARCHAR) || ' bytes' END"""
 
 
+def _ratio(num: str, den: str) -> str:
+    return f"CASE WHEN {den} = 0 THEN 1.0::DOUBLE ELSE CAST({num} AS DOUBLE) / ({den}) END"
+
+
+# The truth differs from what the sources show: a part of size 1 is read by a client outside
+# the corpus, and a read of a part of size 2 is a leftover that counts as dead.
+_SCORED = """SELECT repo, CAST(count(*) FILTER (NOT is_read AND p_size <> 1) AS BIGINT) AS tp,
+       CAST(count(*) FILTER (NOT is_read AND p_size = 1) AS BIGINT) AS fp,
+       CAST(count(*) FILTER (is_read AND p_size = 2) AS BIGINT) AS fn
+FROM f WHERE has_fe GROUP BY repo"""
+
 FACTS = "repo, {path} AS path, {lang} AS lang, '{side}' AS side, {rule} AS rule, name, {line} AS line"
 
 ORACLE = {
@@ -169,13 +177,16 @@ FROM f"""),
                                                        rule="be_rule", line="be_line")
                               + " FROM f WHERE lang = 'ts'"),
     "defs_ts_request": _with("SELECT " + FACTS.format(path="fe_path", lang="'ts'", side="request",
-                                                      rule="'ts_options_body'",
+                                                      rule="fe_rule",
                                                       line="CAST(5 + pos AS INTEGER)")
                              + " FROM f WHERE lang = 'java' AND has_fe"),
     "reads_ts": _with("SELECT " + FACTS.format(
         path="fe_path", lang="'ts'", side="response",
         rule="CASE WHEN p_partkey % 4 = 3 THEN 'ts_destructure' ELSE 'ts_property' END",
-        line="CAST(5 + rpos AS INTEGER)") + " FROM f WHERE lang <> 'java' AND has_fe AND is_read"),
+        line="CAST(5 + rpos AS INTEGER)") + " FROM f WHERE lang <> 'java' AND has_fe AND is_read"
+        " UNION ALL SELECT DISTINCT " + FACTS.format(path="be_path", lang="'ts'", side="response", rule="'ts_property'",
+                                                     line="5").replace(", name,", ", 'status' AS name,")
+        + " FROM f WHERE lang = 'ts' AND style = 0"),
     "defs_java": _with("SELECT " + FACTS.format(path="be_path", lang="lang", side="response", rule="'java_dto'",
                                                 line="dto_line") + " FROM f WHERE lang = 'java' AND is_read"),
     "reads_py": _with("""
@@ -235,10 +246,9 @@ FROM ledger"""),
 SELECT repo, path, CAST(count(*) AS BIGINT) AS n_findings, CAST(sum(waste_score) AS BIGINT) AS waste_score,
        min(line) AS first_line
 FROM ledger GROUP BY repo, path"""),
-    "accuracy": _with("""
-SELECT repo, CAST(count(DISTINCT name) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn,
-       1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall
-FROM f WHERE has_fe AND NOT is_read GROUP BY repo"""),
+    "accuracy": _with(f"""
+SELECT repo, tp, fp, fn, {_ratio("tp", "tp + fp")} AS precision, {_ratio("tp", "tp + fn")} AS recall
+FROM ({_SCORED}) t"""),
     "url_normalize": f"""
 WITH u AS (SELECT url AS href FROM pages
            UNION ALL
@@ -279,8 +289,20 @@ WHERE name = first_name GROUP BY repo, path, line, name""")
 # Streaming re-analysis ends in the same state as the batch job.
 ORACLE["incremental_rescan"] = ORACLE["dead_fields"]
 
-ORACLE["accuracy_overall"] = _with("""
-SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
-       CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS macro_precision, 1.0::DOUBLE AS macro_recall,
-       1.0::DOUBLE AS micro_precision, 1.0::DOUBLE AS micro_recall
-FROM (SELECT repo, count(DISTINCT name) AS tp FROM f WHERE has_fe AND NOT is_read GROUP BY repo) t""")
+ORACLE["accuracy_overall"] = _with(f"""
+SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
+       CAST(sum(fn) AS BIGINT) AS fn, avg({_ratio("tp", "tp + fp")}) AS macro_precision,
+       avg({_ratio("tp", "tp + fn")}) AS macro_recall,
+       coalesce(nullif(CAST(sum(tp) AS DOUBLE) / nullif(sum(tp) + sum(fp), 0), 0.0), 1.0) AS micro_precision,
+       coalesce(nullif(CAST(sum(tp) AS DOUBLE) / nullif(sum(tp) + sum(fn), 0), 0.0), 1.0) AS micro_recall
+FROM ({_SCORED}) t""")
+
+ORACLE["report_endpoints"] = _with("""
+SELECT DISTINCT repo, pattern, method, be_path AS backend_file, CAST(CASE WHEN has_fe THEN 1 ELSE 0 END AS BIGINT)
+       AS n_frontend,
+       CAST(CASE WHEN has_fe THEN n_parts ELSE 0 END AS BIGINT) AS n_defined,
+       CAST(CASE WHEN has_fe THEN n_read ELSE 0 END AS BIGINT) AS n_accessed,
+       CAST(CASE WHEN has_fe THEN n_parts - n_read ELSE 0 END AS BIGINT) AS n_dead,
+       CAST(CASE WHEN has_fe THEN sum(CASE WHEN is_read THEN 0 ELSE ep_waste END) OVER (PARTITION BY bn, bucket) ELSE 0
+            END AS BIGINT) AS waste_score
+FROM f""")

@@ -9,6 +9,7 @@ AQE splits any skewed partition that is left.
 """
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,27 +18,24 @@ from pyspark.sql import functions as F
 from deadwire.functions import scalars as S
 from deadwire.operators.diff import compute_diff
 from deadwire.operators.extract import extract, facts_from_flat, flat_facts, routes_from_flat
+from deadwire.session import ensure_checkpoint_dir
 
 GLOBAL_DEF_EXT = ["py_defs", "go_defs", "java_defs", "ts_response_defs"]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: str | None = None, sort_by: list[str] | None = None) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, sort_by: list[str] | None = None,
+                written: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint folder and read
     it back: cuts lineage so a lost executor does not redo the extraction,
-    and lets every downstream query reuse it."""
-    from deadwire.session import ensure_checkpoint_dir
-    import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/deadwire-{name}-{uuid.uuid4().hex[:12]}"
+    and lets every downstream query reuse it. ``written`` collects the path."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/deadwire-{name}-{uuid.uuid4().hex[:12]}"
     if sort_by:
         # local sort only (no shuffle): parquet min/max statistics per row
         # group then let filters on the leading column skip row groups
         df = df.sortWithinPartitions(*sort_by)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.parquet(path)
 
 
@@ -53,6 +51,7 @@ class Analysis:
                  persist: bool = True, protect_dynamic: bool = False):
         self.spark, self.files, self.routes, self.facts, self.persist = spark, files, routes, facts, persist
         self.protect_dynamic = protect_dynamic
+        self.written: list[str] = []
 
     @classmethod
     def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True,
@@ -60,15 +59,19 @@ class Analysis:
         """``protect_dynamic`` (D1): an endpoint any of whose frontend files
         reads with a non-literal bracket key reports no dead fields."""
         flat = flat_facts(extract(files))
+        written: list[str] = []
         if persist:
             # one file per task (no per-extractor directories, which would
             # multiply files by 14 at scale); sorted by ext inside each file
-            flat = materialize(spark, flat, "facts", sort_by=["ext", "repo", "path"])
-        return cls(spark, files.select("repo", "path", "lang"), routes_from_flat(flat),
-                   facts_from_flat(flat), persist, protect_dynamic)
+            flat = materialize(spark, flat, "facts", sort_by=["ext", "repo", "path"], written=written)
+        # the file rows written with the facts, so that counting files reads no source again
+        listed = flat.filter(F.col("ext") == "file").select("repo", "path", "lang")
+        out = cls(spark, listed, routes_from_flat(flat), facts_from_flat(flat), persist, protect_dynamic)
+        out.written = written
+        return out
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(self.spark, df, name) if self.persist else df
+        return materialize(self.spark, df, name, written=self.written) if self.persist else df
 
     # --- registry --------------------------------------------------------------
     def pattern_routes(self) -> DataFrame:
@@ -128,10 +131,11 @@ class Analysis:
         d_resp = (eps.filter(F.col("backend_lang") != "java")
                   .join(resp_defs.withColumnRenamed("path", "backend_file"), ["repo", "backend_file"])
                   .withColumn("path", F.col("backend_file")))
-        ts_reads = self._facts("ts_reads").select("repo", "path", "name")
-        resp_eps = eps.filter(F.col("backend_lang") != "java").select("repo", "pattern")
-        a_resp = (callers.join(resp_eps, ["repo", "pattern"], "left_semi")
-                  .join(ts_reads, ["repo", "path"]).select("repo", "pattern", "name"))
+        # only names that an endpoint defines can matter: pairs are made from its definitions, not from
+        # all reads of a caller times all its endpoints
+        reads = self._facts("ts_reads").select("repo", "path", "name").distinct()
+        a_resp = (d_resp.select("repo", "pattern", "name").distinct().join(callers, ["repo", "pattern"])
+                  .join(reads, ["repo", "path", "name"], "left_semi").select("repo", "pattern", "name"))
         java_eps = eps.filter(F.col("backend_lang") == "java")
         d_req = (java_eps.join(callers, ["repo", "pattern"])
                  .join(self._facts("ts_request_defs").drop("lang"), ["repo", "path"])
@@ -139,7 +143,7 @@ class Analysis:
         a_req = (java_eps.join(self._facts("java_reads").withColumnRenamed("path", "backend_file"),
                                ["repo", "backend_file"]).select("repo", "pattern", "name"))
         cols = ["repo", "pattern", "backend_file", "backend_lang", "path", "lang", "ext", "side",
-                "rule", "name", "line"]
+                "rule", "name", "line", "pos"]
         defined = d_resp.select(*cols).unionByName(d_req.select(*cols))
         accessed = a_resp.unionByName(a_req).distinct()
         return defined, accessed
@@ -160,7 +164,7 @@ class Analysis:
             guarded = self.callers().join(dyn, ["repo", "path"], "left_semi").select("repo", "pattern").distinct()
             dead = dead.join(guarded, ["repo", "pattern"], "left_anti")
         return dead.select("repo", "pattern", S.pattern_method(F.col("pattern")).alias("method"),
-                           "backend_file", "path", "lang", "side", "rule", "name", "line",
+                           "backend_file", "path", "lang", "side", "rule", "name", "line", "pos",
                            S.score_waste(F.col("name"), F.col("pattern")).alias("waste_score"))
 
     def global_defs(self) -> DataFrame:
@@ -177,17 +181,17 @@ class Analysis:
         """Response definitions of every file whose name no TypeScript file of
         the same repo reads (J4), default request tier."""
         dead = compute_diff(self.global_defs(), self._facts("ts_reads"), ["repo"])
-        return dead.select("repo", "path", "lang", "side", "rule", "name", "line",
+        return dead.select("repo", "path", "lang", "side", "rule", "name", "line", "pos",
                            S.score_waste(F.col("name")).alias("waste_score"))
 
     # --- rollups -----------------------------------------------------------------------
     def ledger(self) -> DataFrame:
         """Every finding (endpoint and global) with its message and units."""
         ep = self.dead_fields().select(F.lit("endpoint").alias("source"), "repo", "pattern", "path",
-                                       "lang", "side", "name", "line", "waste_score")
+                                       "lang", "side", "name", "line", "pos", "waste_score")
         gl = self.global_dead().select(F.lit("global").alias("source"), "repo",
                                        F.lit(None).cast("string").alias("pattern"), "path", "lang",
-                                       "side", "name", "line", "waste_score")
+                                       "side", "name", "line", "pos", "waste_score")
         both = ep.unionByName(gl)
         return both.select(
             "*", S.defined_at(F.col("path"), F.col("line")).alias("defined_at"),
@@ -243,10 +247,30 @@ class Analysis:
 
     def position_lookup(self, positions: DataFrame) -> DataFrame:
         """For each (repo, path, line) position, the first dead finding on
-        that line (by name)."""
-        dead = self.ledger().select("repo", "path", "line", "name", "waste_score")
+        that line, in the order in which the file's fields were extracted."""
+        dead = self.ledger().select("repo", "path", "line", "pos", "name", "waste_score")
         first = (dead.groupBy("repo", "path", "line")
-                 .agg(F.min(F.struct("name", "waste_score")).alias("f")))
+                 .agg(F.min(F.struct("pos", "name", "waste_score")).alias("f")))
         return (positions.join(first, ["repo", "path", "line"])
                 .select("repo", "path", "line", F.col("f.name").alias("name"),
                         F.col("f.waste_score").alias("waste_score")))
+
+    def report_endpoints(self) -> DataFrame:
+        """One row per endpoint with the sizes of its lists (S4): callers, defined, accessed and dead fields."""
+        defined, accessed = self.field_sets()
+        key = ["repo", "pattern"]
+        counts = [defined.groupBy(*key).agg(F.count("*").alias("n_defined")),
+                  accessed.groupBy(*key).agg(F.count("*").alias("n_accessed")),
+                  self.dead_fields().groupBy(*key).agg(F.count("*").alias("n_dead"),
+                                                       F.sum("waste_score").alias("waste_score"))]
+        out = self.endpoints().select("repo", "pattern", "method", "backend_file", "n_frontend")
+        for c in counts:
+            out = out.join(c, key, "left")
+        return out.na.fill(0, ["n_defined", "n_accessed", "n_dead", "waste_score"])
+
+    def close(self) -> None:
+        """Remove the tables that this analysis has written under the checkpoint folder."""
+        for path in self.written:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.written.clear()

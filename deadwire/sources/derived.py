@@ -130,7 +130,9 @@ def render(groups: DataFrame) -> DataFrame:
     ts_head = [_lit("import express from 'express';"), _lit("const app = express();"), _lit(""),
                F.concat(F.lit("app.get('"), url_tail, F.lit(":id', (req, res) => {"))]
     ts_key = each(fs, lambda f: F.concat(F.lit("    "), f["name"], F.lit(": 1,")))
-    ts0 = _lines(*ts_head, _lit("  res.json({"), ts_key, _lit("  });"), _lit("});"))
+    ts0 = _lines(*ts_head, _lit("  res.status(codeOf(req, pick(1))).json({"), ts_key, _lit("  });"), _lit("});"))
+    ts2 = _lines(*ts_head, _lit("  const out = {"), ts_key, _lit("  };"), _lit("  res.json(out);"), _lit("});"),
+                 _lit("export function other() { const out = { shadowed: 1 }; return out; }"))
     ts1 = _lines(*ts_head, _lit("  res.send({"), ts_key, _lit("  });"), _lit("});"))
     # java backend reads the fields by getter
     cap = lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1 << 20))
@@ -149,7 +151,8 @@ def render(groups: DataFrame) -> DataFrame:
     backend = (F.when(F.col("lang") == "py", F.when(F.col("style") == 0, py0)
                       .when(F.col("style") == 1, py1).otherwise(py2))
                .when(F.col("lang") == "go", F.when(F.pmod(F.col("style"), F.lit(2)) == 0, go0).otherwise(go1))
-               .when(F.col("lang") == "ts", F.when(F.pmod(F.col("style"), F.lit(2)) == 0, ts0).otherwise(ts1))
+               .when(F.col("lang") == "ts", F.when(F.col("style") == 0, ts0)
+                      .when(F.col("style") == 1, ts1).otherwise(ts2))
                .otherwise(java))
     # frontends
     fe_head = [F.concat(F.lit("// client for "), repo, F.lit(" b"), b)]
@@ -160,18 +163,25 @@ def render(groups: DataFrame) -> DataFrame:
         return (F.when(st == 0, F.concat(F.lit("  out.push(body."), n, F.lit(");")))
                 .when(st == 1, F.concat(F.lit("  out.push(body?."), n, F.lit(");")))
                 .when(st == 2, F.concat(F.lit("  out.push(`${body."), n, F.lit("}`);")))
+                .when(F.pmod(f["k"], F.lit(8)) == 3, F.concat(
+                    F.lit("  const { "), n, F.lit(" = pick(dflt, [/['\"]/]) }: api.Body = body; out.push("), n, F.lit(");")))
                 .otherwise(F.concat(F.lit("  const { "), n, F.lit(" } = body; out.push("), n, F.lit(");"))))
 
     fe_read = _lines(*fe_head, F.concat(F.lit("export async function loadB"), b, F.lit("(id: number) {")),
                      F.concat(F.lit("  const res = await fetch(`"), url_tail, F.lit("${id}`);")),
                      _lit("  const body = await res.json();"), _lit("  const out: unknown[] = [];"),
                      each(reads, access), _lit("  return out;"), _lit("}"))
-    fe_send = _lines(*fe_head, F.concat(F.lit("export async function saveB"), b, F.lit("(id: number) {")),
-                     F.concat(F.lit("  await fetch(`"), url_tail, F.lit("${id}`, {")),
-                     _lit("    method: 'POST',"), _lit("    body: JSON.stringify({"),
-                     each(fs, lambda f, i: F.concat(F.lit("      "), f["name"], F.lit(": "),
-                                                    (i + 1).cast("string"), F.lit(","))),
-                     _lit("    }),"), _lit("  });"), _lit("}"))
+    sent = each(fs, lambda f, i: F.concat(F.lit("      "), f["name"], F.lit(": "), (i + 1).cast("string"), F.lit(",")))
+    save = F.concat(F.lit("export async function saveB"), b, F.lit("(id: number) {"))
+    post = F.concat(F.lit("  await fetch(`"), url_tail, F.lit("${id}`, {"))
+    fe_inline = _lines(*fe_head, save, post, _lit("    method: 'POST',"), _lit("    body: JSON.stringify({"), sent,
+                       _lit("    }, null, 2),"), _lit("  });"), _lit("}"))
+    fe_var = _lines(*fe_head, save, _lit("  const other = () => { const payload = { shadowed: 1 }; return payload; };"),
+                    _lit("  other();"), _lit("  const payload: api.Payload = {"), sent, _lit("  };"), post,
+                    _lit("    method: 'POST',"), _lit("    body: JSON.stringify(payload),"), _lit("  });"), _lit("}"))
+    fe_axios = _lines(*fe_head, save, _lit("  // typed client"), _lit("  start();"),
+                      F.concat(F.lit("  await axios.post(`"), url_tail, F.lit("${id}`, {")), sent, _lit("  });"), _lit("}"))
+    fe_send = F.when(F.col("style") == 0, fe_inline).when(F.col("style") == 1, fe_var).otherwise(fe_axios)
     frontend = F.when(F.col("lang") == "java", fe_send).otherwise(fe_read)
     ext = F.element_at(F.create_map(*[x for k, v in EXT.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
     # both files of a group from one pass over the groups (no union of two

@@ -12,6 +12,9 @@
 """
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
                 include_dts: bool = True, exclude_dirs: list[str] | None = None) -> DataFrame:
     """files(repo, path, lang, content) for every source file under ``root``.
 
-    Paths are relative to ``root``. Each file is one row (``wholetext``), so a
+    Paths are relative to ``root`` (to its part before the first glob character, so ``/x/*`` gives the
+    paths and repos of ``/x``). Each file is one row (``wholetext``), so a
     task reads whole files and no file is split across tasks. For trees of
     many small files lower ``spark.sql.files.openCostInBytes`` so a task
     packs more of them; for a whole corpus prefer ``read_corpus_table``."""
@@ -47,8 +51,10 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
            .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}")
            .load(root)
            .select(F.col("_metadata.file_path").alias("abs"), F.col("value").alias("content")))
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("abs", "^file:", ""), "^" + _re_escape(base) + "/", "")
+    # the part of the root before any glob character; paths are relative to it
+    base = _local_path(re.split(r"[*?\[{]", root)[0].rpartition("/")[0] if re.search(r"[*?\[{]", root) else root)
+    plain = F.url_decode(F.replace(F.regexp_replace("abs", _SCHEME, ""), F.lit("+"), F.lit("%2B")))
+    rel = F.when(plain.startswith(base + "/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain)
     df = raw.select(rel.alias("path"), F.regexp_replace("content", MARK, "").alias("content"))
     if ex:
         df = df.filter(~F.col("path").rlike("(^|/)(" + "|".join(_re_escape(d) for d in ex) + ")/"))
@@ -70,8 +76,16 @@ def read_corpus_table(spark: SparkSession, path: str, content_col: str = "conten
             .filter(F.col("lang").isNotNull())
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _local_path(root: str) -> str:
+    """The root as it stands in file URIs: without scheme and authority, absolute, no slash at the end."""
+    bare = re.sub(_SCHEME, "", root)
+    return (bare if bare != root or root.startswith("/") else os.path.abspath(root)).rstrip("/")
+
+
 def _re_escape(s: str) -> str:
-    import re
     return re.escape(s)
 
 
@@ -101,25 +115,30 @@ def read_precomputed_fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(analysis, out_dir: str) -> None:
-    """Fact tables as parquet (partitioned by language where it has one)
-    and the JSON report as two line-delimited documents: one line per endpoint
-    with its dead fields, one line per (repo, language, file) of the global
-    fallback. Nesting happens only here, and each nested list is bounded by
-    one endpoint's or one file's definitions, never by the corpus size."""
+    """Fact tables as parquet (partitioned by language where it has one) and the report as
+    line-delimited JSON: ``endpoints`` (a line per endpoint with the sizes of its lists, in
+    locale-aware pattern order) and a child document per list: ``frontendFiles``, ``definedFields``,
+    ``accessedFields``, ``deadFields`` and, for the global fallback, ``global``. A list that grows with the
+    corpus (all callers of one hot endpoint, say) is rows of a child document, never one row."""
     a = analysis
     a.facts.write.mode("overwrite").partitionBy("lang").parquet(f"{out_dir}/facts")
     a.endpoints().write.mode("overwrite").parquet(f"{out_dir}/endpoints")
-    dead = a.dead_fields()
-    dead.write.mode("overwrite").parquet(f"{out_dir}/dead_fields")
+    a.dead_fields().write.mode("overwrite").parquet(f"{out_dir}/dead_fields")
     a.global_dead().write.mode("overwrite").partitionBy("lang").parquet(f"{out_dir}/global_dead")
-    field = lambda: F.struct("name", "side", F.concat_ws(":", "path", F.col("line").cast("string"))
-                             .alias("definedAt"), F.col("waste_score").alias("wasteScore"))
-    per_ep = dead.groupBy("repo", "pattern").agg(F.collect_list(field()).alias("deadFields"))
-    (a.endpoints_sorted().join(per_ep, ["repo", "pattern"], "left")
+    at = F.concat_ws(":", "path", F.col("line").cast("string")).alias("definedAt")
+    waste = F.col("waste_score").alias("wasteScore")
+    defined, accessed = a.field_sets()
+    lists = {
+        "frontendFiles": a.callers().select("repo", "pattern", "path"),
+        "definedFields": defined.select("repo", "pattern", "name", "side", at),
+        "accessedFields": accessed.select("repo", "pattern", "name"),
+        "deadFields": a.dead_fields().select("repo", "pattern", "name", "side", at, waste),
+        "global": a.global_dead().select("repo", "lang", "name", "side", at, waste),
+    }
+    for name, rows in lists.items():
+        rows.write.mode("overwrite").json(f"{out_dir}/report/{name}")
+    (a.report_endpoints().orderBy(F.collate(F.col("pattern"), "UNICODE"), "repo")
      .select("repo", "pattern", "method", F.coalesce("backend_file", F.lit("")).alias("backendFile"),
-             F.col("n_frontend").alias("frontendFiles"),
-             F.coalesce("deadFields", F.array().cast("array<struct<name:string,side:string,"
-                                                     "definedAt:string,wasteScore:bigint>>")).alias("deadFields"))
+             F.col("n_frontend").alias("frontendFiles"), F.col("n_defined").alias("definedFields"),
+             F.col("n_accessed").alias("accessedFields"), F.col("n_dead").alias("deadFields"), waste)
      .write.mode("overwrite").json(f"{out_dir}/report/endpoints"))
-    (a.global_dead().groupBy("repo", "lang", "path").agg(F.collect_list(field()).alias("deadFields"))
-     .write.mode("overwrite").json(f"{out_dir}/report/global"))

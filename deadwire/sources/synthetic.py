@@ -85,12 +85,21 @@ def generate(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
                   F.concat(lit("    public void handle(@RequestBody "), F.col("model_class"), lit(" "), param,
                            lit(") {")),
                   _many(java_reads), lit("    }"), lit("}")])
+    go = _join([lit("package main"), lit(""), lit('import "github.com/gin-gonic/gin"'), lit(""),
+                lit("func Register(r *gin.Engine) {"),
+                F.concat(lit("\tr."), F.upper(method), lit('("'), url, lit('", func(c *gin.Context) {')),
+                lit("\t\tc.JSON(200, gin.H{"),
+                _many(F.transform(allf, lambda f: F.concat(lit('\t\t\t"'), f, lit('": '),
+                                                           F.regexp_replace(dummy_value(f), "'", '"'), lit(",")))),
+                lit("\t\t})"), lit("\t})"), lit("}")])
     backend = (F.when(F.col("backend_lang") == "ts", ts_back)
                .when((F.col("backend_lang") == "python") & (F.col("python_pattern") == "pydantic"), py_model)
                .when(F.col("backend_lang") == "python", py_json)
-               .otherwise(java))
+               .when(F.col("backend_lang") == "java", java).when(F.col("backend_lang") == "go", go)
+               .otherwise(F.raise_error(F.concat(lit("unknown backend language "),
+                                                 F.coalesce("backend_lang", lit("null"))))))
     be_ext = F.when(F.col("backend_lang") == "ts", lit("ts")).when(F.col("backend_lang") == "python", lit("py")) \
-        .otherwise(lit("java"))
+        .otherwise(F.col("backend_lang"))
 
     # --- frontends ------------------------------------------------------------------
     head = [lit("export async function load(id: number) {"),

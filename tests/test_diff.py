@@ -1,4 +1,6 @@
 """Diff semantics and an end-to-end field set on the integration fixtures."""
+import json
+
 from pyspark.sql import functions as F
 
 from deadwire.operators.diff import compute_diff, run_diff
@@ -90,16 +92,25 @@ def test_global_fallback(spark, fixture_analysis):
 
 
 def test_report_sink(spark, fixture_analysis, tmp_path):
-    """Fact tables as parquet and the JSON report, one line per endpoint
-    and one per file of the global pass."""
+    """Fact tables as parquet and the JSON report: sorted endpoints and a child document per list."""
     from deadwire.sources.files import write_report
     out = str(tmp_path / "report")
     write_report(fixture_analysis, out)
-    eps = {r.pattern: r for r in spark.read.json(f"{out}/report/endpoints").collect()}
-    assert {d.name for d in eps["POST /accounts"].deadFields} == {"plan"}
-    assert eps["POST /accounts"].backendFile.endswith("AccountController.java")
-    glob = spark.read.json(f"{out}/report/global")
-    assert glob.filter(F.col("path").endswith("AccountDto.java")).count() == 1
+    eps = spark.read.json(f"{out}/report/endpoints").collect()
+    by = {r.pattern: r for r in eps}
+    assert by["POST /accounts"].deadFields == 1
+    assert by["POST /accounts"].backendFile.endswith("AccountController.java")
+    read = lambda name: spark.read.json(f"{out}/report/{name}")
+    of = lambda name: read(name).filter("pattern = 'POST /accounts'")
+    assert [r.name for r in of("deadFields").collect()] == ["plan"]
+    assert of("frontendFiles").count() == by["POST /accounts"].frontendFiles
+    assert of("definedFields").count() == by["POST /accounts"].definedFields
+    assert of("accessedFields").count() == by["POST /accounts"].accessedFields
+    assert read("global").filter(F.col("definedAt").contains("AccountDto.java:")).count() == 5
+    lines = []
+    for part in sorted((tmp_path / "report" / "report" / "endpoints").glob("part-*")):
+        lines += [json.loads(x)["pattern"] for x in part.read_text().splitlines()]
+    assert lines == [r.pattern for r in fixture_analysis.endpoints_sorted().collect()]
     facts = spark.read.parquet(f"{out}/facts")
     assert set(r.lang for r in facts.select("lang").distinct().collect()) == {"py", "java", "go", "ts"}
 
@@ -109,13 +120,15 @@ def test_scan_excludes_dirs_and_dts(spark, tmp_path):
     root = tmp_path / "corpus"
     for rel, text in [("shop/src/a.ts", "x.y"), ("shop/node_modules/lib/b.ts", "x.z"),
                       ("shop/types/c.d.ts", "declare const q: any"), ("blog/app.py", "pass"),
-                      ("blog/README.md", "# no"), ("blog/dist/out.js", "1")]:
+                      ("blog/a b+c%20/d e.py", "pass"), ("blog/README.md", "# no"), ("blog/dist/out.js", "1")]:
         p = root / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     got = {(r.repo, r.path, r.lang) for r in scan_corpus(spark, str(root)).collect()}
     assert got == {("shop", "shop/src/a.ts", "ts"), ("shop", "shop/types/c.d.ts", "ts"),
-                   ("blog", "blog/app.py", "py")}
+                   ("blog", "blog/app.py", "py"), ("blog", "blog/a b+c%20/d e.py", "py")}
+    glob = {(r.repo, r.path) for r in scan_corpus(spark, f"{root}/*").collect()}
+    assert glob == {(a, b) for a, b, _ in got}
     no_dts = {r.path for r in scan_corpus(spark, str(root), include_dts=False).collect()}
     assert "shop/types/c.d.ts" not in no_dts
 
@@ -126,3 +139,16 @@ def test_corpus_table_source(spark, tmp_path):
     spark.createDataFrame(rows, "repo string, path string, content string").write.parquet(str(tmp_path / "t"))
     got = {(r.repo, r.path, r.lang) for r in read_corpus_table(spark, str(tmp_path / "t")).collect()}
     assert got == {("shop", "web/a.ts", "ts")}
+
+
+def test_first_finding_on_a_line_is_the_first_by_position(spark):
+    """Not the first by name."""
+    from deadwire.plans.pipeline import Analysis
+    files = spark.createDataFrame([("r", "api/a.py", "py", "from flask import jsonify\n@app.route('/x')\ndef x():\n"
+                                    "    return jsonify({'zeta1': 1, 'alpha1': 2})\n")],
+                                  "repo string, path string, lang string, content string")
+    a = Analysis.of(spark, files)
+    got = a.position_lookup(spark.createDataFrame([("r", "api/a.py", 4)], "repo string, path string, line int")).collect()
+    assert [r.name for r in got] == ["zeta1"]
+    assert [(r.lang, r.n_files) for r in a.lang_file_counts().collect()] == [("py", 1)]
+    a.close()

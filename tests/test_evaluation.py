@@ -112,3 +112,17 @@ def test_protect_dynamic_in_pipeline(spark, project):
     assert plain.dead_fields().filter(F.col("pattern") == dyn_pattern).count() == 3
     assert guarded.dead_fields().filter(F.col("pattern") == dyn_pattern).count() == 0
     assert guarded.dead_fields().filter(F.col("pattern") == "GET /api/users/:param").count() == 2
+
+
+def test_go_projects_are_rendered_and_unknown_languages_are_an_error(spark):
+    row = ("go1", "go", "GET /api/items/:id", "ts", ["itemName", "itemSku"], ["itemName"], ["itemSku"], "direct", None, None,
+           None, None)
+    files, expected = generate(spark.createDataFrame([row], SPEC_SCHEMA))
+    paths = {r.path: r for r in files.collect()}
+    assert set(paths) == {"backend/server.go", "frontend/client.ts"} and paths["backend/server.go"].lang == "go"
+    from deadwire.operators.extract import extract, facts_of
+    ev = evaluate(facts_of(extract(files)), files, expected).first()
+    assert (ev.tp, ev.fp, ev.fn) == (1, 0, 0)
+    bad = spark.createDataFrame([("x", "cobol", *row[2:])], SPEC_SCHEMA)
+    with pytest.raises(Exception, match="unknown backend language"):
+        generate(bad)[0].collect()
