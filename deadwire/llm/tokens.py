@@ -27,7 +27,7 @@ import pyarrow as pa
 from deadwire.llm.words import SPACE, buffers, hash_spans, split_words, spread
 
 #: Units of each of the two generations that a worker holds.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 #: Longer units are not held.
 CACHE_UNIT_IDS = 64
 
