@@ -2,6 +2,8 @@
 intermediate tables in the shared folder, and bounded Arrow batches."""
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +50,18 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
         yield begin, len(sizes)
 
 
+def tidy(keep_encoders: bool = False) -> None:
+    """Give a reused Python worker's memory back: the encoders' caches (which only stages that encode
+    need) and what the allocators hold free."""
+    tokens = sys.modules.get("deadwire.llm.tokens")
+    if tokens is not None and not keep_encoders:
+        tokens._ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def prefix_sums(df: DataFrame, partition: str, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` over (partition, *order), where ``df`` is
     already numbered by a written ``partition`` column. Sums per partition are

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize, text_chunks
+from deadwire.llm.common import materialize, text_chunks, tidy
 from deadwire.llm.tokens import library_encoder, public_path
 
 MAX_TOKENS = 1024
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_encoders=True)
         task, slots = TaskContext.get().partitionId(), {}
         for batch in batches:
             for a, b in text_chunks(batch.column(1)):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import text_chunks
+from deadwire.llm.common import text_chunks, tidy
 from deadwire.llm.words import Words, hash_words, mix, split_words, window_ok
 
 _SYMBOL = np.zeros(256, bool)
@@ -149,9 +149,12 @@ def quality(docs: DataFrame, text: str = "text", rules: QualityRules | None = No
              *(f"dup_{n}gram_chars" for n in sorted(rules.ngrams))]
     rest = [c for c in docs.columns if (keep_text or c != text) and c not in {*names, "base_failed", "kept"}]
 
+    judged = rest.index(text) if keep_text else len(rest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
-            column = batch.column(len(rest))
+            column = batch.column(judged)
             for a, b in text_chunks(column):
                 found = measure(column.slice(a, b - a), rules)
                 yield pa.RecordBatch.from_arrays(
@@ -161,7 +164,7 @@ def quality(docs: DataFrame, text: str = "text", rules: QualityRules | None = No
     schema = docs.select(*rest).schema
     for x in names:
         schema = schema.add(x, "long")
-    out = docs.select(*rest, F.col(text).alias("_judged")).mapInArrow(run, schema)
+    out = docs.select(*rest, *([] if keep_text else [text])).mapInArrow(run, schema)
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     fits = 100 * F.col("dup_line_chars") <= rules.lines * F.col("word_chars")

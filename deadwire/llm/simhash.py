@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize, text_chunks
+from deadwire.llm.common import materialize, text_chunks, tidy
 from deadwire.llm.components import components
 from deadwire.llm.words import normalized, split_words
 
@@ -83,6 +83,7 @@ def simhash(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c not in (text, "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             column = batch.column(len(rest))
             for a, b in text_chunks(column):
@@ -219,6 +220,7 @@ def _compare(radius: int):
         return members[hung], members[root[hung]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[list[np.ndarray]] = []
 
         def flush(parts: list[list[np.ndarray]]):

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize, text_chunks
+from deadwire.llm.common import materialize, text_chunks, tidy
 from deadwire.llm.words import Words, hash_words, mix, normalized, rolling, spread, split_words
 
 SPAN, KMER = 20, 8
@@ -140,6 +140,7 @@ def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
     names = ["anchor", "run", "id", "th", "start", "size", "gone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b in text_chunks(batch.column(2)):
                 words = split_words(batch.column(2).slice(a, b - a))
@@ -169,6 +170,7 @@ def _blobs(keyed: DataFrame) -> DataFrame:
     schema = keyed.drop("text").schema.add("blob", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for a, b in text_chunks(batch.column(2)):
@@ -205,6 +207,7 @@ def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
     joined = _blobs(keyed).join(listed, ["id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, texts in _texts(batch.column(2)):
                 words = split_words(texts)
@@ -281,6 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     joined = _blobs(keyed).join(listed, ["id", "th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, texts in _texts(batch.column(2)):
                 words = split_words(texts)

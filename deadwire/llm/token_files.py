@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deadwire.llm.common import prefix_sums, text_chunks
+from deadwire.llm.common import prefix_sums, text_chunks, tidy
 from deadwire.llm.tokens import as_bytes, library_encoder, load_library, public_path
 
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 4096, 64 << 10
@@ -92,6 +92,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text: str =
     end = _narrow(np.uint32(end_id).tobytes(), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep_encoders=True)
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(content))
         encoder, file_no, block_no = library_encoder(path), TaskContext.get().partitionId(), 0
         ids: list = []
