@@ -8,8 +8,9 @@ the k-mers) still meets every repeated window. The windows around one anchor
 occurrence form a run, the unit of the graph here.
 
 1. ``_runs`` (Arrow stage): anchor hash, hash of all words of the run, source coordinates.
-   A run that is found again inside one batch is settled there (map-side combine, so a hot
-   passage gives a row per batch and not one per copy).
+   A run that is found again inside one batch is settled there, and so is an anchor that
+   branches inside one batch: it sends two marks, and its runs go straight to step 3 (map-side
+   combine, so a hot passage gives a row or two per batch and not one per copy).
 2. One shuffle by anchor. An anchor met once is dropped. If all its runs have the same
    words it is nonbranching: every run but the first in source order is gone as a whole.
    If not, its runs branch and go on window by window.
@@ -109,7 +110,17 @@ def _place(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarra
     return ids, text_hash, rank
 
 
-_RUN = "anchor bigint, run bigint, id bigint, th bigint, start bigint, size int, gone boolean"
+def _once(rank: np.ndarray) -> np.ndarray:
+    """The rows of a batch that are the first of their document; rows that repeat one add nothing."""
+    out = np.zeros(len(rank), bool)
+    out[np.unique(rank, return_index=True)[1]] = True
+    return out
+
+
+#: Kinds of rows of ``_runs``: a run whose anchor has no other words around it in its batch; the two outermost runs
+#: of an anchor that has; each run of such an anchor, under a key of its own; spans settled in the batch.
+ALONE, MARK, FORK, GONE = range(4)
+_RUN = "anchor bigint, run bigint, id bigint, th bigint, start bigint, size int, kind tinyint"
 
 
 def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -137,7 +148,7 @@ def _keyed(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...] = ())
 
 
 def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
-    names = ["anchor", "run", "id", "th", "start", "size", "gone"]
+    names = ["anchor", "run", "id", "th", "start", "size", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -149,17 +160,25 @@ def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
                     continue
                 ids, th, rank = _place(batch, a, b)
                 doc = np.searchsorted(words.first, first, side="right") - 1
+                own = _once(rank)[doc]
+                anchor, whole, first, size, doc = (x[own] for x in (anchor, whole, first, size, doc))
                 start = first - words.first[doc]
                 later = _leaders([anchor, whole], rank[doc], start)
-                on = np.flatnonzero(~later)
-                yield _batch([anchor[on].view(np.int64), whole[on].view(np.int64), ids[doc[on]], th[doc[on]],
-                              start[on], size[on].astype(np.int32), np.zeros(len(on), bool)], names)
-                off = np.flatnonzero(later)
+                on, off = np.flatnonzero(~later), np.flatnonzero(later)
+                on = on[np.lexsort((whole[on], anchor[on]))]
+                same = anchor[on[1:]] == anchor[on[:-1]]
+                lowest, highest = np.append(True, ~same)[:len(on)], np.append(~same, True)[:len(on)]
+                forks = ~(lowest & highest)  # of an anchor with other words around it in this batch
+                place = mix(ids[doc].view(np.uint64) ^ mix(start.astype(np.uint64)))
+                for kind, rows, key in ((ALONE, on[~forks], anchor), (MARK, on[forks & (lowest | highest)], anchor),
+                                        (FORK, on[forks], place)):
+                    yield _batch([key[rows].view(np.int64), whole[rows].view(np.int64), ids[doc[rows]], th[doc[rows]],
+                                  start[rows], size[rows].astype(np.int32), np.full(len(rows), kind, np.int8)], names)
                 d, s, e = _merge(doc[off], start[off], start[off] + size[off])
                 if len(d):
                     spot = mix(d.astype(np.uint64) ^ mix(ids[d].view(np.uint64))).view(np.int64)
-                    yield _batch([spot, spot, ids[d], th[d], s, (e - s).astype(np.int32), np.ones(len(d), bool)],
-                                 names)
+                    yield _batch([spot, spot, ids[d], th[d], s, (e - s).astype(np.int32),
+                                  np.full(len(d), GONE, np.int8)], names)
 
     return keyed.mapInArrow(run, _RUN)
 
@@ -203,7 +222,7 @@ def _lists(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
     """Branching runs window by window: (w1, w2, id, th, start, size, gone)."""
     names = ["w1", "w2", "id", "th", "start", "size", "gone"]
-    listed = mixed.groupBy("id", "th").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    listed = mixed.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     joined = _blobs(keyed).join(listed, ["id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +235,8 @@ def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
                 at = np.unique(spread(words.first[owner] + begin, count.astype(np.int64)))
                 ids, th, rank = _place(batch, a, b)
                 doc = np.searchsorted(words.first, at, side="right") - 1
+                own = _once(rank)[doc]
+                at, doc = at[own], doc[own]
                 start = at - words.first[doc]
                 w1, w2 = mix(rolling(hashes, span))[at], mix(rolling(hashes, span, _OTHER))[at]
                 later = _leaders([w1, w2], rank[doc], start)
@@ -239,13 +260,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keyed = _keyed(docs, id_col, text)
     same = Window.partitionBy("anchor")
     place = F.struct("id", "th", "start")
+    kind = F.col("kind")
     met = (_runs(keyed, span, kmer)
-           .withColumn("n", F.count(F.when(~F.col("gone"), 1)).over(same))
+           .withColumn("n", F.count(F.when(kind.isin(ALONE, MARK), 1)).over(same))
            .withColumn("low", F.min("run").over(same)).withColumn("high", F.max("run").over(same))
-           .withColumn("lead", F.min(F.when(~F.col("gone"), place)).over(same))
-           .where(F.col("gone") | (F.col("n") > 1))
-           .withColumn("mixed", ~F.col("gone") & (F.col("low") != F.col("high")))
-           .where(F.col("gone") | F.col("mixed") | (place != F.col("lead")))
+           .withColumn("lead", F.min(F.when(kind == ALONE, place)).over(same))
+           .where(kind.isin(FORK, GONE) | ((kind == ALONE) & (F.col("n") > 1)))
+           .withColumn("mixed", (kind == FORK) | ((kind == ALONE) & (F.col("low") != F.col("high"))))
+           .where((kind == GONE) | F.col("mixed") | (place != F.col("lead")))
            .select("id", "th", "start", "size", "mixed"))
     met = materialize(met, "runs")
     windows = _windows(keyed, met.where("mixed"), span)
@@ -280,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     for c, name in zip(carry, carried):
         schema += f", {name} {docs.schema[c].dataType.simpleString()}"
     spans = repeated_spans(docs, id_col, text, span, kmer)
-    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    listed = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     joined = _blobs(keyed).join(listed, ["id", "th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

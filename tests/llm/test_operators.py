@@ -391,6 +391,21 @@ def test_substring_in_small_batches(spark, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_substring_hot_phrase_that_branches(spark):
+    """A phrase of many documents with other words around it: a batch sends two rows of its anchor, whatever the
+    number of documents; rows that repeat a document are one."""
+    phrase = prose(24, "phrase")
+    made = [(i, prose(30, f"b{i}") + " " + phrase + " " + prose(30, f"a{i}")) for i in range(120)]
+    rows = made + [made[7]] * 40 + [(200, made[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sent = substring._runs(substring._keyed(df, "doc_id", "text"), 20, 8)
+    hot = sent.where(F.col("kind").isin(substring.ALONE, substring.MARK)).groupBy("anchor").count()
+    assert hot.agg(F.max("count")).first()[0] <= 2
+    for parts in (1, 7):
+        out = substring.remove_repeats(df.repartition(parts)).select("id", "n_words", "n_removed", F.sha2("text", 256))
+        assert bag(out) == Counter(brute.substring(rows))
+
+
 def test_substring_layout(spark):
     rows = [(1, "Start.\n" + PASSAGE), (2, "  keep this \n" + PASSAGE + "\n\tand that ")]
     df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
