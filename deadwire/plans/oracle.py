@@ -8,6 +8,7 @@ is parsed. Scalar queries restate the scoring and URL rules in SQL.
 from __future__ import annotations
 
 from deadwire.functions import noise as N
+from deadwire.plans.oracle_forms import FORMS_ORACLE
 from deadwire.sources.derived import BUCKET, NAME_PARTS, TIER_BYTES
 
 _name_case = " ".join(
@@ -75,6 +76,10 @@ ledger AS (
 """
 
 
+#: A whole word in any script that starts like an identifier.
+WORD = "[\\p{L}_][\\p{L}\\p{M}\\p{N}_]*"
+
+
 def _with(sql: str) -> str:
     return "WITH " + BASE.strip() + "\n" + sql
 
@@ -258,7 +263,7 @@ SELECT path, CAST(count(*) AS BIGINT) AS n, {requests_sql("'GET ' || path")} AS
        {requests_sql("'POST ' || path")} AS post_requests
 FROM n GROUP BY path""",
     "field_bytes_tiers": f"""
-WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0)) AS word FROM documents),
+WITH w AS (SELECT unnest(regexp_extract_all(text, '{WORD}', 0)) AS word FROM documents),
 t AS (SELECT word, {tier_sql('word')} AS tier FROM w)
 SELECT tier, CAST({bytes_sql('tier')} AS INTEGER) AS bytes, CAST(count(*) AS BIGINT) AS n_words,
        CAST(count(DISTINCT word) AS BIGINT) AS n_distinct
@@ -277,7 +282,7 @@ def _noise_values() -> str:
 
 ORACLE["noise_filter"] = f"""
 WITH nt(lang, kind, name) AS (VALUES {_noise_values()}),
-w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*', 0)) AS name FROM documents)
+w AS (SELECT unnest(regexp_extract_all(text, '{WORD}', 0)) AS name FROM documents)
 SELECT nt.lang, nt.kind, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT w.name) AS BIGINT) AS distinct_names
 FROM w JOIN nt ON w.name = nt.name GROUP BY nt.lang, nt.kind"""
 
@@ -306,3 +311,5 @@ SELECT DISTINCT repo, pattern, method, be_path AS backend_file, CAST(CASE WHEN h
        CAST(CASE WHEN has_fe THEN sum(CASE WHEN is_read THEN 0 ELSE ep_waste END) OVER (PARTITION BY bn, bucket) ELSE 0
             END AS BIGINT) AS waste_score
 FROM f""")
+
+ORACLE |= FORMS_ORACLE

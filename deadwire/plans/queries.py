@@ -14,6 +14,7 @@ from deadwire.functions import scalars as S
 from deadwire.functions.noise import noise_table
 from deadwire.plans.pipeline import Analysis
 from deadwire.sources.derived import derived_files, parts_with_truth, read_table
+from deadwire.sources.forms import form_files
 
 _CACHE: dict = {}
 
@@ -28,12 +29,12 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(out))
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    """Extraction runs once per (session, tables) and is persisted; every
+def analysis(spark: SparkSession, sf_dir: str, corpus=derived_files) -> Analysis:
+    """Extraction runs once per (session, tables, corpus) and is persisted; every
     corpus query reuses its fact tables."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    key = (id(spark), spark.sparkContext.applicationId, corpus.__name__, sf_dir, _stamp(spark, sf_dir))
     if key not in _CACHE:
-        _CACHE[key] = Analysis.of(spark, derived_files(spark, sf_dir))
+        _CACHE[key] = Analysis.of(spark, corpus(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -154,7 +155,8 @@ def q_url_normalize(spark, sf_dir):
                     S.estimate_daily_requests(F.concat(F.lit("POST "), F.col("path"))).alias("post_requests")))
 
 
-WORD = r"[A-Za-z_][A-Za-z0-9_]*"
+#: A whole word in any script that starts like an identifier.
+WORD = r"[\p{L}_][\p{L}\p{M}\p{N}_]*"
 
 
 def q_field_bytes_tiers(spark, sf_dir):
@@ -246,3 +248,28 @@ def q_accuracy_overall(spark, sf_dir):
 
 
 QUERIES["accuracy_overall"] = q_accuracy_overall
+
+
+def q_rule_forms(spark, sf_dir):
+    """Every extraction rule (E12-E26, J5-J8) over one file per part."""
+    return analysis(spark, sf_dir, form_files).facts.drop("pos")
+
+
+def q_route_forms(spark, sf_dir):
+    """Every route and call form (E1-E10, J6) over one file per part."""
+    return analysis(spark, sf_dir, form_files).routes.drop("lang_rank")
+
+
+def q_registry_forms(spark, sf_dir):
+    """The registry where endpoints have many backends and callers."""
+    return analysis(spark, sf_dir, form_files).endpoints()
+
+
+def q_dead_forms(spark, sf_dir):
+    """Dead fields of endpoints with many backends and callers."""
+    return analysis(spark, sf_dir, form_files).dead_fields().select(
+        "repo", "pattern", "backend_file", "side", "rule", "name", "line")
+
+
+QUERIES |= {"rule_forms": q_rule_forms, "route_forms": q_route_forms, "registry_forms": q_registry_forms,
+            "dead_forms": q_dead_forms}
