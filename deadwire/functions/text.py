@@ -114,12 +114,14 @@ BodyRules = dict[str, dict[str, tuple[str, str]]]
 BODIES = "array<struct<rule:string,line:int,m:string,g:string,body:string>>"
 
 
-def bodies(lang: Column, content: Column, rules: BodyRules) -> Column:
+def bodies(lang: Column, content: Column, rules: BodyRules, tests: dict | None = None) -> Column:
     """All matches of each rule's opener (a regex ending in an opening brace) of a file's language with the
     brace-balanced body that follows; ``g`` is the opener's group 1.
 
     Nested openers are all reported, since matching resumes right after each opening brace. Pairing braces
-    needs a stack, so this runs in Arrow batches inside the scan stage; text of other languages is not sent."""
+    needs a stack, so this runs in Arrow batches inside the scan stage; text of other languages is not sent.
+    ``tests``: rule -> function of (text, lines of its matches) that says which of them count."""
+    tests = tests or {}
     compiled = {lg: [(name, re.compile(opener, re.ASCII), guard) for name, (opener, guard) in of.items()]
                 for lg, of in rules.items()}
 
@@ -129,8 +131,13 @@ def bodies(lang: Column, content: Column, rules: BodyRules) -> Column:
         for lg, text in zip(langs, texts):
             hits = [x for x in compiled.get(lg, ()) if text is not None and x[2] in text]
             ends = body_ends(text) if hits else {}
-            out.append([dict(zip(("rule", "line", "m", "g", "body"), b))
-                        for name, opener, _ in hits for b in find_bodies(text, ends, name, opener)])
+            rows: list[tuple] = []
+            for name, opener, _ in hits:
+                got = find_bodies(text, ends, name, opener)
+                if name in tests and got:
+                    got = [b for b, ok in zip(got, tests[name](text, [b[1] for b in got])) if ok]
+                rows += got
+            out.append([dict(zip(("rule", "line", "m", "g", "body"), b)) for b in rows])
         return pd.Series(out, dtype=object)
 
     return find(lang, F.when(lang.isin(*rules), content))

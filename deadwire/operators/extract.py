@@ -81,7 +81,7 @@ def _columns():
         _BUILT[key] = (
             rules_ts.ts_facts(lang, content).alias("ts"),
             bodies(lang, content, {"py": rules_py.BODY_RULES, "java": rules_java.BODY_RULES,
-                                   "go": rules_go.BODY_RULES}).alias("found"),
+                                   "go": rules_go.BODY_RULES}, rules_py.BODY_TESTS).alias("found"),
             F.when(lang == "go", rules_go.structs(F.col("found"))).alias("sts"),
             route_facts(content).alias("routes"),
             _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts")).alias("facts"),

@@ -4,11 +4,14 @@ array<struct<side, rule, ord, name, line>>; ``ord`` orders rules for
 first-wins deduplication."""
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deadwire.functions.noise import is_noise
-from deadwire.functions.text import let, match_lines, nl, pick, scan
+from deadwire.functions.text import match_lines, nl, pick, scan
 
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
 # --- fixed values: Python rule patterns ---------------------------------------
@@ -28,6 +31,10 @@ FORM_GET = r"request\.form\.get\(\s*['\"](" + IDENT + r")['\"]\)"
 ARGS_GET = r"request\.args\.get\(\s*['\"](" + IDENT + r")['\"]\)"
 MODEL_PARAM = r"def\s+\w+\s*\([^)]*\b(\w+)\s*:\s*([A-Z]\w*)[^)]*\)"
 
+_DECORATOR = re.compile(ROUTE_DECORATOR, re.ASCII)
+_HEAD = re.compile("(?=(" + DEF_HEAD + "))", re.ASCII)  # heads inside one another too
+_SPACE = " \t\n\x0b\f\r"
+
 FACT = "struct<side:string,rule:string,ord:int,name:string,line:int>"
 
 
@@ -55,42 +62,63 @@ def keys_in_bodies(bodies: Column, key_re: str, side: str, rule: str, order: int
     return F.flatten(F.transform(bodies, per_body))
 
 
-def _blank(s: Column) -> Column:
-    return s.rlike(r"^\s*$")
-
-
-def _indent(s: Column) -> Column:
-    return F.length(F.regexp_extract(s, r"^(\s*)", 1))
-
-
-def route_ranges(content: Column) -> Column:
-    """array<struct<s:int, e:int>>: line span [s, e) of each route-decorated
-    function body, found by indentation after the first ``def ...:`` that
-    follows each decorator."""
-    pat = ROUTE_DECORATOR + r"(?=([\s\S]*?)(" + DEF_HEAD + r")([^\n]*))"
-    decs = scan(content, pat, {"between": 1, "head": 2, "first": 3}, guard="def")
-    def rng(d, lines):
-        n = F.size(lines)
-        s_line = d["line"] + nl(d["m"]) + nl(d["between"]) + nl(d["head"])
-        start = s_line + 1
-        idx = F.when(start <= n, F.sequence(start, n)).otherwise(F.array().cast("array<int>"))
-
-        def with_nonblank(nonblank):
-            exp = (F.when(~_blank(d["first"]), _indent(d["first"]))
-                   .when(F.size(nonblank) > 0, _indent(F.element_at(lines, nonblank[0])))
-                   .otherwise(F.lit(-1)))
-            brk = F.filter(nonblank, lambda i: _indent(F.element_at(lines, i)) < exp)
-            end = F.when(F.size(brk) > 0, brk[0]).otherwise(n + 1)
-            return F.struct(s_line.alias("s"), end.alias("e"))
-
-        return let(F.filter(idx, lambda i: ~_blank(F.element_at(lines, i))), with_nonblank)
-
-    return let(F.split(content, "\n", -1),
-               lambda lines: F.transform(decs, lambda d: rng(d, lines)))
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(_SPACE))
+
+
+def route_spans(text: str) -> list[tuple[int, int]]:
+    """Line spans [first, end) of the route-decorated function bodies of a file, merged and in order.
+
+    A body belongs to the first ``def ...:`` after a decorator and ends at the first later line that is indented less
+    than its first statement. One pass from the last line up keeps, for every line, the lines below it that
+    could end a body (their indents fall), so each decorator costs a binary search."""
+    marks = list(_DECORATOR.finditer(text))
+    if not marks:
+        return []
+    heads = [(m.start(), m.start() + len(m[1])) for m in _HEAD.finditer(text)]
+    starts = [h[0] for h in heads]
+    lines = text.split("\n")
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    asked: dict[int, list[str]] = {}  # line of a head's end (from 1) -> what follows the head on it
+    for m in marks:
+        i = bisect_left(starts, m.end())
+        if i < len(heads):
+            line = bisect_left(breaks, heads[i][1])
+            after = text[heads[i][1]:breaks[line] if line < len(breaks) else len(text)]
+            asked.setdefault(line + 1, []).append(after)
+    spans, below = [], []  # below: (indent, line) of lines that may end a body, the nearest last
+    for line in range(len(lines), 0, -1):
+        for after in asked.get(line, ()):
+            # the nearest written line below is the last one of ``below``
+            need = _indent(after) if after.strip(_SPACE) else below[-1][0] if below else -1
+            k = bisect_left(below, (need, 0))
+            spans.append((line, below[k - 1][1] if k else len(lines) + 1))
+        if lines[line - 1].strip(_SPACE):
+            here = _indent(lines[line - 1])
+            while below and below[-1][0] >= here:
+                below.pop()
+            below.append((here, line))
+    merged: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if merged and first <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((first, end))
+    return merged
+
+
+def in_routes(text: str, lines: list[int]) -> list[bool]:
+    """For each line number: whether it stands in a route function's body."""
+    spans = route_spans(text)
+    firsts = [s for s, _ in spans]
+    at = [bisect_right(firsts, line) - 1 for line in lines]
+    return [i >= 0 and line < spans[i][1] for i, line in zip(at, lines)]
 
 
 BODY_RULES = {"jsonify": (JSONIFY, "jsonify"), "return": (RETURN_DICT, "return"),
               "JSONResponse": (JSON_RESPONSE, "JSONResponse")}
+#: Rules whose matches count only where a test of (text, their lines) says so.
+BODY_TESTS = {"return": in_routes}
 
 
 def py_defs(content: Column, found: Column) -> Column:
@@ -98,9 +126,7 @@ def py_defs(content: Column, found: Column) -> Column:
     JSONResponse) and request-model fields (BaseModel classes)."""
     noise = lambda n: is_noise(n, "py", "def")
     a = pick(found, "jsonify")
-    ranges = route_ranges(content)
-    b = let(ranges, lambda rg: F.filter(
-        pick(found, "return"), lambda o: F.exists(rg, lambda r: (o["line"] >= r["s"]) & (o["line"] < r["e"]))))
+    b = pick(found, "return")  # those in route functions
     c = pick(found, "JSONResponse")
     out_a = keys_in_bodies(a, DICT_KEY, "response", "py_jsonify", 1, noise)
     out_b = keys_in_bodies(b, DICT_KEY, "response", "py_return_dict", 2, noise)

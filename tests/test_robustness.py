@@ -32,3 +32,39 @@ def test_large_file_scales(spark):
     got = _facts(spark, "huge.ts", "ts", src)
     assert len([1 for e, n in got if e == "ts_reads"]) == 20_000
     assert time.time() - t < 120
+
+
+def _spans_by_scan(text):
+    """Route bodies by the definition: scan every line after each decorated head."""
+    import re
+    from deadwire.operators.rules_py import DEF_HEAD, ROUTE_DECORATOR
+    out, lines = set(), text.split("\n")
+    indent = lambda s: len(s) - len(s.lstrip())
+    for m in re.finditer(ROUTE_DECORATOR + r"(?=[\s\S]*?(" + DEF_HEAD + r")([^\n]*))", text, re.ASCII):
+        at = text.count("\n", 0, m.end(1)) + 1
+        rest = [i for i in range(at + 1, len(lines) + 1) if lines[i - 1].strip()]
+        need = indent(m[2]) if m[2].strip() else indent(lines[rest[0] - 1]) if rest else -1
+        end = next((i for i in rest if indent(lines[i - 1]) < need), len(lines) + 1)
+        out |= set(range(at, end))
+    return out
+
+
+def test_route_bodies_against_a_scan():
+    import random
+    from deadwire.operators.rules_py import in_routes
+    rng = random.Random(5)
+    parts = ["@app.get('/a')", "def f(x):", "def g(a,\n   b):  return 1", "    return {", "        x", "", "  y", "z = 1",
+             "\t", "    @app.route('/b')", "    def h(self):", "# def k(", "    }"]
+    for _ in range(400):
+        text = "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        n = text.count("\n") + 1
+        want = _spans_by_scan(text)
+        assert in_routes(text, list(range(1, n + 1))) == [i in want for i in range(1, n + 1)], text
+
+
+def test_many_routes_in_one_file(spark):
+    src = "".join(f"@app.get('/r{i}')\ndef f{i}():\n    return {{\"k{i}\": 1}}\n\n" for i in range(8000))
+    t = time.time()
+    got = _facts(spark, "routes.py", "py", src)
+    assert len([1 for e, _ in got if e == "py_defs"]) == 8000
+    assert time.time() - t < 60
