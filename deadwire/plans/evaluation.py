@@ -81,6 +81,11 @@ def evaluate_sets(defined: DataFrame, accessed: DataFrame, expected: DataFrame,
         F.coalesce(F.try_divide(z("tp"), z("tp") + z("fn")), F.lit(1.0)).alias("recall"))
 
 
+def in_project_order(project_eval: DataFrame) -> DataFrame:
+    """One row per project in the order of their names (O-2)."""
+    return project_eval.orderBy("repo")
+
+
 def overall(project_eval: DataFrame) -> DataFrame:
     """Macro averages and micro ratios over projects."""
     micro = lambda num, den: F.coalesce(

@@ -20,7 +20,7 @@ _FACTS = """
 (2, 'java', 'java_defs', 'response', 'java_dto', 'alphaP%%', 4),
 (2, 'java', 'java_defs', 'response', 'java_dto', 'beta_%%', 5),
 (2, 'java', 'java_defs', 'response', 'java_put', 'gamma%%', 9),
-(2, 'java', 'java_defs', 'response', 'java_map_of', 'delta%%', 10),
+(2, 'java', 'java_defs', 'response', 'java_map_of', 'omega%%', 10),
 (2, 'java', 'java_defs', 'response', 'java_map_of', 'eps%%', 10),
 (2, 'java', 'java_reads', 'request', 'java_dto_all', 'zetaP%%', 20),
 (2, 'java', 'java_reads', 'request', 'java_param_named', 'eta%%', 24),
@@ -34,7 +34,7 @@ _FACTS = """
 (3, 'go', 'go_reads', 'request', 'go_decode', 'alpha%%', 15),
 (3, 'go', 'go_reads', 'request', 'go_query_get', 'delta%%', 16),
 (3, 'go', 'go_reads', 'request', 'go_form_value', 'eps%%', 17),
-(4, 'go', 'go_defs', 'response', 'go_gin_h', 'delta%%', 13),
+(4, 'go', 'go_defs', 'response', 'go_gin_h', 'omega%%', 13),
 (4, 'go', 'go_defs', 'response', 'go_gin_h', 'eps%%', 13),
 (4, 'go', 'go_reads', 'request', 'go_bind_json', 'alpha%%', 10),
 (4, 'go', 'go_reads', 'request', 'go_post_form', 'beta%%', 11),
@@ -69,6 +69,14 @@ _ROUTES = """
 (6, 'ts', 0, 'frontend', 'axios', 'PATCH', '/forms/x%%/k'),
 (6, 'ts', 0, 'frontend', 'do_fetch', 'PUT', '/api/v4/users/:param/x%%')"""
 
+# the first name of each line that defines response fields (lines 10 of Java and 13 of gin have another
+# alphabetical order)
+_FIRST = """
+(0, 'py', 12, 'delta%%'), (0, 'py', 19, 'eps%%'),
+(2, 'java', 4, 'alphaP%%'), (2, 'java', 5, 'beta_%%'), (2, 'java', 9, 'gamma%%'), (2, 'java', 10, 'omega%%'),
+(3, 'go', 8, 'beta%%'), (3, 'go', 10, 'gamma%%'), (3, 'go', 18, 'zeta%%'), (3, 'go', 20, 'eta%%'),
+(4, 'go', 13, 'omega%%'), (5, 'ts', 4, 'alpha%%')"""
+
 
 def _put(column: str) -> str:
     return f"replace(replace({column}, '%%', key), '##', block)"
@@ -104,4 +112,10 @@ FROM e JOIN f d ON d.repo = e.repo AND d.path = e.backend_file AND d.ext IN ('ts
 WHERE e.n_frontend > 0 AND NOT EXISTS (
     SELECT 1 FROM r c JOIN f u ON u.repo = c.repo AND u.path = c.path AND u.ext = 'ts_reads'
     WHERE c.role = 'frontend' AND c.repo = e.repo AND c.method || ' ' || c.url = e.pattern AND u.name = d.name)""",
+    "position_forms": f"""
+WITH first(form, lang, line, named) AS (VALUES {_FIRST})
+SELECT 'brand' || regexp_replace(p_brand, '[^0-9]', '', 'g') AS repo,
+       'forms/t' || form || '/p' || p_partkey || '.' || lang AS path, CAST(line AS INTEGER) AS line,
+       replace(named, '%%', CAST(p_partkey AS VARCHAR)) AS name
+FROM part JOIN first ON p_partkey % 7 = form""",
 }

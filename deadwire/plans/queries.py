@@ -126,12 +126,12 @@ def q_accuracy(spark, sf_dir):
     """Precision and recall of the endpoint diff per repo (G8; 0/0 counts as 1.0). The truth differs from the
     sources on purpose: parts of size 1 are read by a client outside the corpus (false
     positives), reads of parts of size 2 are leftovers that count as dead (misses)."""
-    from deadwire.plans.evaluation import evaluate_sets
+    from deadwire.plans.evaluation import evaluate_sets, in_project_order
     defined, accessed = analysis(spark, sf_dir).field_sets()
     parts = parts_with_truth(spark, sf_dir).filter("has_fe")
     dead = F.when(F.col("is_read"), F.col("p_size") == 2).otherwise(F.col("p_size") != 1)
     expected = parts.select("repo", F.array_compact(F.array(F.when(dead, F.col("name")))).alias("dead_fields"))
-    return evaluate_sets(defined, accessed, expected)
+    return in_project_order(evaluate_sets(defined, accessed, expected))
 
 
 def q_report_endpoints(spark, sf_dir):
@@ -271,5 +271,11 @@ def q_dead_forms(spark, sf_dir):
         "repo", "pattern", "backend_file", "side", "rule", "name", "line")
 
 
+def q_position_forms(spark, sf_dir):
+    """The first finding of every line, where lines hold several."""
+    a = analysis(spark, sf_dir, form_files)
+    return a.position_lookup(a.facts.select("repo", "path", "line").distinct()).drop("waste_score")
+
+
 QUERIES |= {"rule_forms": q_rule_forms, "route_forms": q_route_forms, "registry_forms": q_registry_forms,
-            "dead_forms": q_dead_forms}
+            "dead_forms": q_dead_forms, "position_forms": q_position_forms}

@@ -55,7 +55,7 @@ public class View%% {
 
     public Map<String, Object> extra() {
         m.put("gamma%%", 1);
-        return Map.of("delta%%", 1, "eps%%", 2);
+        return Map.of("omega%%", 1, "eps%%", 2);
     }
 }
 
@@ -115,7 +115,7 @@ func bind(r *gin.Engine) {
 		c.ShouldBindJSON(&req)
 		b := c.PostForm("beta%%")
 		d := c.Query("gamma%%")
-		c.JSON(200, gin.H{"delta%%": b, "eps%%": d})
+		c.JSON(200, gin.H{"omega%%": b, "eps%%": d})
 	})
 }
 """),
