@@ -126,3 +126,9 @@ def test_go_projects_are_rendered_and_unknown_languages_are_an_error(spark):
     bad = spark.createDataFrame([("x", "cobol", *row[2:])], SPEC_SCHEMA)
     with pytest.raises(Exception, match="unknown backend language"):
         generate(bad)[0].collect()
+
+
+def test_projects_in_name_order(spark):
+    from deadwire.plans.evaluation import in_project_order
+    df = spark.createDataFrame([(n,) for n in ("b", "a-2", "B", "a")], "repo string")
+    assert [r.repo for r in in_project_order(df).collect()] == ["B", "a", "a-2", "b"]
