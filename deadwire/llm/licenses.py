@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
-Candidate blocks (neighbouring lines with license wording) are compressed alone and once per
-template with the template as zstandard raw dictionary: the closer the wording, the fewer
-bytes are left. Templates are ranked by that reduction. The winners are then confirmed by an
-exact word comparison: the template must stand in the block with few word differences, none of
-which may touch a version, a number or a term that changes the license (NC, ND, SA, LGPL ...).
+Candidate blocks are neighbouring lines with license wording. A place of a block can hold a
+template only if one of the pieces the template falls into stands there unchanged (there is
+one piece more than words that may change), so every place with such a piece is looked at,
+whatever else its block holds. The words of the place are compressed alone and with the
+template as zstandard raw dictionary: the closer the wording, the more bytes are saved. That
+saving ranks the templates of a block and drops none. Each place is confirmed by an exact
+word comparison in that order: the template must stand there with few word differences, none
+of which may touch a version, a number or a term that changes the license (NC, ND, SA, LGPL ...).
 
 One Arrow stage per table, no shuffle: a document is judged by itself. Templates are a
 parameter; the defaults are short public notices.
@@ -12,8 +15,11 @@ parameter; the defaults are short public notices.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -48,7 +54,8 @@ _CUE = re.compile(r"licen[sc]|copyright|permission is hereby|redistribution and
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*|[-+]")
 #: Words whose presence or absence changes the license.
 CRITICAL = frozenset("nc nd sa by gpl lgpl agpl lesser affero gnu mit apache bsd mozilla cc not no only".split())
-MIN_GAIN, MAX_CHANGES, KEEP = 0.15, 0.1, 6
+#: Words that may be lacking, and as many that may be added, as a share of the template's words.
+MAX_CHANGES = 0.1
 
 
 def words_of(text: str) -> list[str]:
@@ -76,81 +83,159 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def gains(block: bytes, dictionaries: list[zstandard.ZstdCompressor], plain: zstandard.ZstdCompressor) -> list[float]:
-    """Share of the block's compressed size that each template saves."""
-    alone = len(plain.compress(block))
-    return [1 - len(c.compress(block)) / alone for c in dictionaries]
+def fixed(word: str) -> bool:
+    """Whether a change of the word changes the license."""
+    return word in CRITICAL or word[0].isdigit()
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int] | None:
-    """(words the block lacks, words it adds inside the notice, first, end word in the block)
-    of the best place of the template; None if hardly a word fits."""
-    matcher = SequenceMatcher(None, block, template, autojunk=False)
-    fits = [m for m in matcher.get_matching_blocks() if m.size]
-    if not fits:
+def pieces(template: list[str], changes: int) -> list[tuple[int, str]]:
+    """(first word, text) of 2 * changes + 1 pieces: ``changes`` lacking and as many added words
+    leave one of them whole."""
+    n = 2 * changes + 1
+    cuts = [len(template) * i // n for i in range(n + 1)]
+    return [(a, " " + " ".join(template[a:b]) + " ") for a, b in zip(cuts, cuts[1:])]
+
+
+def seeds(joined: str, starts: list[int], parts: list[tuple[int, str]]) -> list[int]:
+    """Where in the block (in words) the template would begin, by each piece that stands in it.
+    ``joined``: the words, each between single spaces; ``starts``: the space before each."""
+    out = set()
+    for first, part in parts:
+        at = joined.find(part)
+        while at >= 0:
+            out.add(bisect_left(starts, at) - first)
+            at = joined.find(part, at + 1)
+    return sorted(out)
+
+
+def _walk(block: list[str], template: list[str], start: int, head: int,
+          changes: int) -> tuple[list[str], list[str], int, int] | None:
+    """The template from its word ``head`` on (those before lack) with its first word on word ``start`` of the
+    block. A cell holds the fewest lacking words: place and lacking words together give the added ones."""
+    size = len(template)
+    rows: list[dict[int, tuple[int, int, str]]] = [{start: (head, start, "")}]  # end in the block: lacking, from, step
+    for i in range(head, size):
+        row, below = rows[-1], {}
+        for j in sorted(row) if i > head else []:  # an added word
+            while j < len(block) and not fixed(block[j]):
+                lost = row[j][0]
+                if (j + 1 in row and row[j + 1][0] <= lost) or j + 1 - start - i + lost > changes:
+                    break
+                row[j + 1] = (lost, j, "add")
+                j += 1
+        for j, (lost, _, _) in row.items():
+            if j < len(block) and block[j] == template[i] and (j + 1 not in below or lost < below[j + 1][0]):
+                below[j + 1] = (lost, j, "match")
+            if i > head and lost < changes and not fixed(template[i]) and (j not in below or lost + 1 < below[j][0]):
+                below[j] = (lost + 1, j, "lack")
+        if not below:
+            return None
+        rows.append(below)
+    at = min(rows[-1], key=lambda j: (2 * rows[-1][j][0] + j, j))
+    end, i, lacks, adds, tail = at, size, [], [], 0
+    while i > head or rows[i - head][at][2] == "add":
+        _, came, step = rows[i - head][at]
+        if step == "add":
+            adds.append(block[came])
+        else:
+            if step == "lack":
+                lacks.append(template[i - 1])
+                tail += len(lacks) == size - i + 1
+            i -= 1
+        at = came
+    # words that stand in place of lacking first or last words
+    if any(fixed(w) for w in [*block[max(0, start - head):start], *block[end:end + tail]]):
         return None
-    longest = max(fits, key=lambda m: m.size)
-    # only the stretch of the block that can hold the notice, so that another notice adds nothing
-    slack = max(2, len(template) // 4)
-    begin = max(0, longest.a - longest.b - slack)
-    end = min(len(block), longest.a - longest.b + len(template) + slack)
-    ops = SequenceMatcher(None, block[begin:end], template, autojunk=False).get_opcodes()
-    while ops and ops[0][0] == "delete":
-        ops = ops[1:]
-    while ops and ops[-1][0] == "delete":
-        ops = ops[:-1]
-    lacks = [w for tag, _, _, c, d in ops if tag in ("insert", "replace") for w in template[c:d]]
-    adds = [w for tag, a, b, _, _ in ops if tag in ("delete", "replace") for w in block[begin + a:begin + b]]
-    return lacks, adds, begin + ops[0][1], begin + ops[-1][2]
-
-
-def confirmed(lacks: list[str], adds: list[str], size: int) -> bool:
-    changed = [*lacks, *adds]
-    if any(w in CRITICAL or w[0].isdigit() for w in changed):
-        return False
-    return max(len(lacks), len(adds)) <= MAX_CHANGES * size
+    return template[:head] + lacks[::-1], adds[::-1], start, end
+
+
+def differences(block: list[str], template: list[str], begin: int,
+                changes: int) -> tuple[list[str], list[str], int, int] | None:
+    """(words the block lacks, words it adds inside the notice, first, end word in the block) where
+    the template stands near word ``begin`` with at most ``changes`` lacking and as many added words,
+    none of them ``fixed``; None if it does not."""
+    near = Counter(block[max(0, begin - changes):begin + len(template) + 2 * changes])
+    if sum(min(n, near[w]) for w, n in Counter(template).items()) < len(template) - changes:
+        return None
+    allowed = 0
+    while True:
+        made = []
+        for start in range(max(0, begin - allowed), min(len(block), begin + allowed + 1)):
+            for head in range(min(allowed + 1, len(template))):
+                if block[start] == template[head]:
+                    made.append(_walk(block, template, start, head, allowed))
+                if fixed(template[head]):
+                    break
+        made = [x for x in made if x]
+        if made or allowed == changes:
+            return min(made, key=lambda x: (len(x[0]) + len(x[1]), x[2], x[3]), default=None)
+        allowed = min(changes, max(1, 2 * allowed))
 
 
 def scan_text(text: str, prepared) -> tuple[int, list[dict]]:
     """(candidate blocks, findings) of one whole text."""
     if not text or _CUE.search(text.lower()) is None:
         return 0, []
-    templates, dictionaries, plain = prepared
+    templates, plain = prepared
     blocks, found = candidate_blocks(text), []
     for a, b in blocks:
         words = words_of(text[a:b])
-        score = gains(" ".join(words).encode(), dictionaries, plain)
-        ranked = sorted(range(len(templates)), key=lambda t: (-score[t], t))
+        joined = " " + " ".join(words) + " "
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+        places = []
+        for t, made in enumerate(templates):
+            size = len(made.words)
+            for at in seeds(joined, starts, made.parts):
+                held = " ".join(words[max(0, at):at + size]).encode()
+                saved = len(plain.compress(held)) - len(made.dictionary.compress(held))
+                places.append((-saved, t, at))
         taken: list[tuple[int, int]] = []
-        tried = 0
-        for t in ranked:
-            if score[t] < MIN_GAIN:
-                break
-            name, wording = templates[t]
-            diff = differences(words, wording)
-            tried += 1
-            if diff and confirmed(diff[0], diff[1], len(wording)):
-                if all(diff[3] <= x or diff[2] >= y for x, y in taken):
-                    taken.append((diff[2], diff[3]))
-                    found.append({"license": name, "start": a, "end": b, "gain": round(score[t], 4),
-                                  "lacks": diff[0], "adds": diff[1]})
+        for saved, t, at in sorted(places):
+            made = templates[t]
+            diff = differences(words, made.words, at, made.changes)
+            if diff is None:
+                continue
+            spot = bisect_left(taken, (diff[2], diff[3]))
+            if (spot and taken[spot - 1][1] > diff[2]) or (spot < len(taken) and taken[spot][0] < diff[3]):
+                continue
+            taken.insert(spot, (diff[2], diff[3]))
+            found.append({"license": made.name, "start": a, "end": b, "gain": round(-saved / made.alone, 4),
+                          "lacks": diff[0], "adds": diff[1]})
     return len(blocks), found
 
 
-def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES):
-    listed = [(name, words_of(text)) for name, text in templates]
-    return listed, [zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-        " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in listed], \
-        zstandard.ZstdCompressor(level=19, write_content_size=False)
+class Template(NamedTuple):
+    """A notice; ``alone`` are its compressed bytes without a dictionary."""
+    name: str
+    words: list[str]
+    changes: int
+    parts: list[tuple[int, str]]
+    dictionary: zstandard.ZstdCompressor
+    alone: int
+
+
+def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[Template], zstandard.ZstdCompressor]:
+    plain, out = zstandard.ZstdCompressor(level=19, write_content_size=False), []
+    for name, text in templates:
+        words = words_of(text)
+        raw = " ".join(words).encode()
+        if not words:
+            continue
+        changes = int(MAX_CHANGES * len(words))
+        made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append(Template(name, words, changes, pieces(words, changes), zstandard.ZstdCompressor(
+            level=19, write_content_size=False, dict_data=made), len(plain.compress(raw))))
+    return out, plain
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
          templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(id, n_blocks, findings): every document with its candidate blocks and confirmed licenses
-    (license, start, end in characters, gain, the words it lacks and adds).
+    """(id, n_blocks, findings): every document with its candidate blocks and the confirmed places of
+    licenses (license, start and end of the block in characters, gain, the words it lacks and adds). The
+    gain is the saving at the place as a share of the template's own compressed size.
 
     Null and empty texts have none; null ids and repeated rows come back as they are;
-    other columns are ignored. Equal gains rank in template order."""
+    other columns are ignored. Of places that overlap the one that saves more is taken, then in template order."""
     finding = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()),
                             T.StructField("end", T.LongType()), T.StructField("gain", T.DoubleType()),
                             T.StructField("lacks", T.ArrayType(T.StringType())),

@@ -302,6 +302,38 @@ def test_license_differences():
     assert [(x["license"], x["lacks"], x["adds"]) for x in found] == [("MIT", [], ["who", "is"])]
 
 
+MIT_NOTICE = "Released under the MIT License."
+
+
+@pytest.mark.parametrize("text,want", [
+    ("This tool was written over several long winters by a small group of friends who wanted a better way to sort "
+     "their photographs and share them with family members living far away. " + MIT_NOTICE, ["MIT"]),
+    ("".join(f"Copyright {2001 + i} Author{i}\n" for i in range(5)) + MIT_NOTICE, ["MIT"]),
+    (prose(3000, "line") + " Licensed under CC BY 4.0. " + prose(3000, "more"), ["CC-BY-4.0"]),
+    (prose(200, "gpl").replace("\n", " ") + " This work is licensed under the GNU General Public License, version 3.",
+     ["GPL-3.0"]),
+    ("\n".join(t.rstrip(".") for _, t in licenses.TEMPLATES), sorted(n for n, _ in licenses.TEMPLATES)),
+    (" ".join([MIT_NOTICE] * 3), ["MIT"] * 3),
+    ("word " * 300 + "Licensed under the Apache License, Version 1.1.", []),
+])
+def test_license_in_a_large_block(text, want):
+    """A notice is found whatever else its block holds, at every place."""
+    _, found = licenses.scan_text(text, licenses.prepare())
+    assert sorted(x["license"] for x in found) == want
+
+
+def test_license_changes_up_to_the_limit():
+    """Every notice with as many lacking and added words as may be is found inside a large block."""
+    r, prepared = random.Random(1), licenses.prepare()
+    for made in [x for x in prepared[0] if x.changes] * 40:
+        free = [i for i, w in enumerate(made.words) if not licenses.fixed(w)]
+        lost = set(r.sample(free, r.randint(0, made.changes)))
+        more = set(r.sample(range(1, len(made.words) - 1), r.randint(0, made.changes)))
+        words = [x for i, w in enumerate(made.words) for x in [w] * (i not in lost) + ["zz"] * (i in more)]
+        text = "license " + "pp " * r.randint(0, 60) + " ".join(words) + " qq" * r.randint(0, 60)
+        assert made.name in {x["license"] for x in licenses.scan_text(text, prepared)[1]}, text
+
+
 def test_licenses_table(spark, docs, rows, empty):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
              "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
