@@ -20,6 +20,9 @@ occurrence form a run, the unit of the graph here.
    adjacent ones merge into maximal nonbranching spans, are checked against the text's
    length, and removed in one go.
 
+A document is named by its id and 128 bits of hash of its text (``th``, ``tk``), in every join,
+group and order: many different texts may stand under one id (a null one, say).
+
 Order of occurrences: (id, text hash, start), null ids first. Rows with equal id and equal
 text are one document and share their fate.
 """
@@ -39,6 +42,8 @@ from deadwire.llm.words import Words, hash_words, mix, normalized, rolling, spre
 SPAN, KMER = 20, 8
 _BASE, _OTHER = 0x2545F4914F6CDD1B, 0xD6E8FEB86659FD93
 _NULL_ID = -(1 << 63)
+#: What names a document: its id and two hashes of its text.
+DOC = ("id", "th", "tk")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -101,13 +106,14 @@ def _leaders(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.n
     return out
 
 
-def _place(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, text hashes, rank of the row's (id, text hash) in the batch)."""
-    ids, text_hash = (np.asarray(batch.column(k).slice(a, b - a)) for k in (0, 1))
-    pair = np.zeros(len(ids), [("id", np.int64), ("th", np.int64)])
-    pair["id"], pair["th"] = ids, text_hash
-    _, rank = np.unique(pair, return_inverse=True)
-    return ids, text_hash, rank
+def _place(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, both text hashes, rank of the row's (id, text hashes) in the batch)."""
+    named = [np.asarray(batch.column(k).slice(a, b - a)) for k in range(3)]
+    rows = np.zeros(len(named[0]), [(c, np.int64) for c in DOC])
+    for c, values in zip(DOC, named):
+        rows[c] = values
+    _, rank = np.unique(rows, return_inverse=True)
+    return *named, rank
 
 
 def _once(rank: np.ndarray) -> np.ndarray:
@@ -120,7 +126,7 @@ def _once(rank: np.ndarray) -> np.ndarray:
 #: Kinds of rows of ``_runs``: a run whose anchor has no other words around it in its batch; the two outermost runs
 #: of an anchor that has; each run of such an anchor, under a key of its own; spans settled in the batch.
 ALONE, MARK, FORK, GONE = range(4)
-_RUN = "anchor bigint, run bigint, id bigint, th bigint, start bigint, size int, kind tinyint"
+_RUN = "anchor bigint, run bigint, id bigint, th bigint, tk bigint, start bigint, size int, kind tinyint"
 
 
 def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -141,24 +147,25 @@ def _merge(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    th = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    words = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID).cast("long")).alias("id"),
-                       th.alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       F.xxhash64(words).alias("th"), F.xxhash64(F.lit(_OTHER >> 1), words).alias("tk"),
+                       words.alias("text"),
                        *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
 
 def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
-    names = ["anchor", "run", "id", "th", "start", "size", "kind"]
+    names = ["anchor", "run", *DOC, "start", "size", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            for a, b in text_chunks(batch.column(2)):
-                words = split_words(batch.column(2).slice(a, b - a))
+            for a, b in text_chunks(batch.column(3)):
+                words = split_words(batch.column(3).slice(a, b - a))
                 anchor, whole, first, size = find_runs(words, span, kmer)
                 if not len(first):
                     continue
-                ids, th, rank = _place(batch, a, b)
+                ids, th, tk, rank = _place(batch, a, b)
                 doc = np.searchsorted(words.first, first, side="right") - 1
                 own = _once(rank)[doc]
                 anchor, whole, first, size, doc = (x[own] for x in (anchor, whole, first, size, doc))
@@ -173,11 +180,12 @@ def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
                 for kind, rows, key in ((ALONE, on[~forks], anchor), (MARK, on[forks & (lowest | highest)], anchor),
                                         (FORK, on[forks], place)):
                     yield _batch([key[rows].view(np.int64), whole[rows].view(np.int64), ids[doc[rows]], th[doc[rows]],
-                                  start[rows], size[rows].astype(np.int32), np.full(len(rows), kind, np.int8)], names)
+                                  tk[doc[rows]], start[rows], size[rows].astype(np.int32),
+                                  np.full(len(rows), kind, np.int8)], names)
                 d, s, e = _merge(doc[off], start[off], start[off] + size[off])
                 if len(d):
                     spot = mix(d.astype(np.uint64) ^ mix(ids[d].view(np.uint64))).view(np.int64)
-                    yield _batch([spot, spot, ids[d], th[d], s, (e - s).astype(np.int32),
+                    yield _batch([spot, spot, ids[d], th[d], tk[d], s, (e - s).astype(np.int32),
                                   np.full(len(d), GONE, np.int8)], names)
 
     return keyed.mapInArrow(run, _RUN)
@@ -185,21 +193,21 @@ def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
 
 def _blobs(keyed: DataFrame) -> DataFrame:
     """``keyed`` with its texts as zstandard frames, for the joins."""
-    carried = keyed.columns[3:]
+    carried = keyed.columns[4:]
     schema = keyed.drop("text").schema.add("blob", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for a, b in text_chunks(batch.column(2)):
-                part = batch.column(2).slice(a, b - a).cast(pa.binary()).to_pylist()
+            for a, b in text_chunks(batch.column(3)):
+                part = batch.column(3).slice(a, b - a).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(a, b - a) for k in (0, 1, *range(3, 3 + len(carried)))]
+                    [batch.column(k).slice(a, b - a) for k in (0, 1, 2, *range(4, 4 + len(carried)))]
                     + [pa.array([packer.compress(t) for t in part], pa.binary())],
-                    names=["id", "th", *carried, "blob"])
+                    names=[*DOC, *carried, "blob"])
 
-    return keyed.select("id", "th", "text", *carried).mapInArrow(run, schema)
+    return keyed.select(*DOC, "text", *carried).mapInArrow(run, schema)
 
 
 def _texts(blobs: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
@@ -220,20 +228,20 @@ def _lists(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 
 
 def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
-    """Branching runs window by window: (w1, w2, id, th, start, size, gone)."""
-    names = ["w1", "w2", "id", "th", "start", "size", "gone"]
-    listed = mixed.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
-    joined = _blobs(keyed).join(listed, ["id", "th"])
+    """Branching runs window by window: (w1, w2, id, th, tk, start, size, gone)."""
+    names = ["w1", "w2", *DOC, "start", "size", "gone"]
+    listed = mixed.groupBy(*DOC).agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    joined = _blobs(keyed).join(listed, list(DOC))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            for a, b, texts in _texts(batch.column(2)):
+            for a, b, texts in _texts(batch.column(3)):
                 words = split_words(texts)
                 hashes = hash_words(words)
-                owner, begin, count = _lists(batch.column(3).slice(a, b - a), ("start", "size"))
+                owner, begin, count = _lists(batch.column(4).slice(a, b - a), ("start", "size"))
                 at = np.unique(spread(words.first[owner] + begin, count.astype(np.int64)))
-                ids, th, rank = _place(batch, a, b)
+                ids, th, tk, rank = _place(batch, a, b)
                 doc = np.searchsorted(words.first, at, side="right") - 1
                 own = _once(rank)[doc]
                 at, doc = at[own], doc[own]
@@ -241,25 +249,25 @@ def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
                 w1, w2 = mix(rolling(hashes, span))[at], mix(rolling(hashes, span, _OTHER))[at]
                 later = _leaders([w1, w2], rank[doc], start)
                 on, off = np.flatnonzero(~later), np.flatnonzero(later)
-                yield _batch([w1[on].view(np.int64), w2[on].view(np.int64), ids[doc[on]], th[doc[on]], start[on],
-                              np.ones(len(on), np.int32), np.zeros(len(on), bool)], names)
+                yield _batch([w1[on].view(np.int64), w2[on].view(np.int64), ids[doc[on]], th[doc[on]], tk[doc[on]],
+                              start[on], np.ones(len(on), np.int32), np.zeros(len(on), bool)], names)
                 d, s, e = _merge(doc[off], start[off], start[off] + 1)
                 if len(d):
                     spot = mix(d.astype(np.uint64) ^ mix(ids[d].view(np.uint64))).view(np.int64)
-                    yield _batch([spot, s, ids[d], th[d], s, (e - s).astype(np.int32), np.ones(len(d), bool)],
+                    yield _batch([spot, s, ids[d], th[d], tk[d], s, (e - s).astype(np.int32), np.ones(len(d), bool)],
                                  names)
 
-    return joined.select("id", "th", "blob", "runs").mapInArrow(
-        run, "w1 bigint, w2 bigint, id bigint, th bigint, start bigint, size int, gone boolean")
+    return joined.select(*DOC, "blob", "runs").mapInArrow(
+        run, "w1 bigint, w2 bigint, id bigint, th bigint, tk bigint, start bigint, size int, gone boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN,
                    kmer: int = KMER) -> DataFrame:
-    """(id, th, start, size): windows start .. start + size - 1 (in words) of a document that also
-    stand earlier. ``id`` is the integer id (null: the smallest long), ``th`` its text's hash."""
+    """(id, th, tk, start, size): windows start .. start + size - 1 (in words) of a document that also
+    stand earlier. ``id`` is the integer id (null: the smallest long), ``th`` and ``tk`` its text's hashes."""
     keyed = _keyed(docs, id_col, text)
     same = Window.partitionBy("anchor")
-    place = F.struct("id", "th", "start")
+    place = F.struct(*DOC, "start")
     kind = F.col("kind")
     met = (_runs(keyed, span, kmer)
            .withColumn("n", F.count(F.when(kind.isin(ALONE, MARK), 1)).over(same))
@@ -268,13 +276,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
            .where(kind.isin(FORK, GONE) | ((kind == ALONE) & (F.col("n") > 1)))
            .withColumn("mixed", (kind == FORK) | ((kind == ALONE) & (F.col("low") != F.col("high"))))
            .where((kind == GONE) | F.col("mixed") | (place != F.col("lead")))
-           .select("id", "th", "start", "size", "mixed"))
+           .select(*DOC, "start", "size", "mixed"))
     met = materialize(met, "runs")
     windows = _windows(keyed, met.where("mixed"), span)
     same = Window.partitionBy("w1", "w2")
     later = (windows.withColumn("lead", F.min(F.when(~F.col("gone"), place)).over(same))
-             .where(F.col("gone") | (place != F.col("lead"))).select("id", "th", "start", "size"))
-    return met.where("not mixed").select("id", "th", "start", "size").unionByName(later)
+             .where(F.col("gone") | (place != F.col("lead"))).select(*DOC, "start", "size"))
+    return met.where("not mixed").select(*DOC, "start", "size").unionByName(later)
 
 
 def _removed(words: Words, owner: np.ndarray, start: np.ndarray, size: np.ndarray, span: int) -> np.ndarray:
@@ -290,38 +298,38 @@ def _removed(words: Words, owner: np.ndarray, start: np.ndarray, size: np.ndarra
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, kmer: int = KMER,
                    layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, th, text, n_words, n_removed, *carry): every document without the words that a window of
+    """(id, th, tk, text, n_words, n_removed, *carry): every document without the words that a window of
     ``span`` words covers which also stands earlier.
 
-    ``id`` and ``th`` as in ``repeated_spans``. The text is the kept words joined by one space; with ``layout``
+    ``id``, ``th`` and ``tk`` as in ``repeated_spans``. The text is the kept words joined by one space; with ``layout``
     it is the original text, each removed word taken out together with the white space
     after it. A null or empty text has no words and stays empty; an empty table gives no rows."""
     keyed = _keyed(docs, id_col, text, carry)
     carried = [f"carried_{i}" for i in range(len(carry))]
-    schema = "id bigint, th bigint, text string, n_words bigint, n_removed bigint"
+    schema = "id bigint, th bigint, tk bigint, text string, n_words bigint, n_removed bigint"
     for c, name in zip(carry, carried):
         schema += f", {name} {docs.schema[c].dataType.simpleString()}"
     spans = repeated_spans(docs, id_col, text, span, kmer)
-    listed = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    joined = _blobs(keyed).join(listed, ["id", "th"], "left")
+    listed = spans.groupBy(*DOC).agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    joined = _blobs(keyed).join(listed, list(DOC), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            for a, b, texts in _texts(batch.column(2)):
+            for a, b, texts in _texts(batch.column(3)):
                 words = split_words(texts)
-                gone = _removed(words, *_lists(batch.column(3).slice(a, b - a), ("start", "size")), span)
+                gone = _removed(words, *_lists(batch.column(4).slice(a, b - a), ("start", "size")), span)
                 out = _rebuilt(words, gone, layout)
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), out,
+                    [*(batch.column(k).slice(a, b - a) for k in range(3)), out,
                      pa.array(words.counts.astype(np.int64)),
                      pa.array((lost[words.first[1:]] - lost[words.first[:-1]]).astype(np.int64)),
-                     *(batch.column(4 + k).slice(a, b - a) for k in range(len(carried)))],
-                    names=["id", "th", "text", "n_words", "n_removed", *carried])
+                     *(batch.column(5 + k).slice(a, b - a) for k in range(len(carried)))],
+                    names=[*DOC, "text", "n_words", "n_removed", *carried])
 
-    out = joined.select("id", "th", "blob", "spans", *carried).mapInArrow(run, schema)
-    return out.select("id", "th", "text", "n_words", "n_removed", *(F.col(c).alias(n) for c, n in zip(carried, carry)))
+    out = joined.select(*DOC, "blob", "spans", *carried).mapInArrow(run, schema)
+    return out.select(*DOC, "text", "n_words", "n_removed", *(F.col(c).alias(n) for c, n in zip(carried, carry)))
 
 
 def _rebuilt(words: Words, gone: np.ndarray, layout: bool) -> pa.Array:

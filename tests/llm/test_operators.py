@@ -408,6 +408,17 @@ def test_substring_null_id_is_first(spark):
     assert bag(got) == Counter({(None, 45, 0): 1, (1, 45, 45): 2})
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_texts_of_one_id_with_equal_short_hash(spark, parts):
+    """Two texts under the null id whose xxhash64 agrees in its low 32 bits are two documents."""
+    one, two = (" ".join(f"w{j}x{i}" for j in range(25)) for i in (441, 96761))
+    rows = [(None, one), (None, two), (7, two), (8, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where("doc_id is null").agg(F.count_distinct(F.expr("xxhash64(text) & 4294967295"))).first()[0] == 1
+    got = substring.remove_repeats(df.repartition(parts)).select("id", "n_words", "n_removed", F.sha2("text", 256))
+    assert bag(got.withColumn("id", substring.restore_id("id"))) == Counter(brute.substring(rows))
+
+
 @pytest.mark.parametrize("batch", ["1", "7", "10000"])
 def test_substring_in_small_batches(spark, batch):
     r = random.Random(8)
