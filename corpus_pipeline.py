@@ -21,13 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 4 bits or fewer that with the smallest id stays (one row, if
-    rows repeat it). A document without an id names no group and stays."""
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, shingle=4, radius=4)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of documents linked by 4 bits or fewer one row stays: that with the smallest id, a row
+    without an id only if none has one; then by the hashes of the texts."""
+    key = ["unnamed", "id", "th", "tk"]  # equal keys are one document
+    docs = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                       F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tk"))
+    found = simhash.near_duplicates(docs, shingle=4, radius=4, carry=tuple(key))
+    keep = found.groupBy("root").agg(F.min(F.struct(*key)).alias("lead")).select("lead.*")
+    return docs.join(keep, key, "left_semi").dropDuplicates(key).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

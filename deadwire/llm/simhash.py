@@ -264,21 +264,21 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
-                    radius: int = 4) -> DataFrame:
-    """(id, fp long, component_id): every text's fingerprint and the smallest id that it
-    reaches through links of ``radius`` differing bits or fewer.
+                    radius: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, *carry, root, component_id): every text's fingerprint, the smallest fingerprint and the
+    smallest id that it reaches through links of ``radius`` differing bits or fewer.
 
     Null and empty texts have fingerprint 0 and link like any other. A null id has a
     row too, but names no component (component_id is null only if all ids that it
     reaches are null). Repeated rows each come back; an empty table gives no rows."""
-    rows = materialize(simhash(docs.select(id_col, text), shingle, text), "simhash")
+    rows = materialize(simhash(docs.select(id_col, text, *carry), shingle, text), "simhash")
     fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-fps")
     found = components(links(fps.select("fp"), radius))
     roots = fps.join(found, fps.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    fp_names = roots.join(named, "root").select("fp", "component_id")
-    return rows.join(fp_names, "fp").select(id_col, "fp", "component_id")
+    fp_names = roots.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(fp_names, "fp").select(id_col, "fp", *carry, "root", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -74,6 +74,17 @@ def test_stages_on_awkward_rows(spark):
     assert Counter(r.doc_id for r in deduped.collect())[1] == 1
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """One row stays of each group, whatever ids its rows have; two texts of one id are two groups."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    texts = [(None, a), (4, a), (3, a), (None, a), *[(None, b)] * 30, (None, b), (7, c), (7, d), (7, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.simhash_dedup(spark, docs, SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, a), (None, b), (7, c), (7, d)])
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
