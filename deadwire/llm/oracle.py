@@ -96,5 +96,65 @@ SELECT conv_id, count(*) AS n_turns,
            + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit (reflected polynomial 0xEDB88320)."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))"
+    return f"xor(list_reduce({bits}, lambda a, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _hashed(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_KEEP = " || ".join(map(_hashed, ("doc_id", "source", "lang", "n_chars")))
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_KEEP} || {_hashed("text")}) AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN sha256({_KEEP} || {_hashed("replace(text, chr(10), '')")})
+              ELSE sha256({_KEEP} || {_hashed("text")}) END AS shown,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents),
+low AS (
+  SELECT source, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM d
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (max(n) + 2) // 3
+  FROM low WHERE n > 1 GROUP BY source, level, i // 3),
+sub AS (SELECT source, node, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, i, node, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (max(n) + 2) // 3
+  FROM high WHERE n > 1 GROUP BY level, i // 3),
+lowside AS (
+  SELECT a.source, a.level, a.i, string_agg(b.node, '' ORDER BY b.i) AS both_sides,
+         coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM low a LEFT JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 3 = b.i // 3
+       AND a.i <> b.i WHERE a.n > 1 GROUP BY a.source, a.level, a.i),
+highside AS (
+  SELECT a.level, a.i, string_agg(b.node, '' ORDER BY b.i) AS both_sides,
+         coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM high a LEFT JOIN high b ON a.level = b.level AND a.i // 3 = b.i // 3 AND a.i <> b.i
+  WHERE a.n > 1 GROUP BY a.level, a.i),
+side AS (
+  SELECT source, level AS step, i, before, after, both_sides FROM lowside
+  UNION ALL
+  SELECT sub.source, sub.height + h.level, h.i, h.before, h.after, h.both_sides FROM sub CROSS JOIN highside h),
+path AS (
+  SELECT d.source, d.i AS first, 0 AS step, CASE WHEN sub.height = 0 THEN sub.i ELSE d.i END AS at, sub.height,
+         sub.i AS sub_at, d.shown AS node, '' AS proof
+  FROM d JOIN sub ON d.source IS NOT DISTINCT FROM sub.source
+  UNION ALL
+  SELECT p.source, p.first, p.step + 1, CASE WHEN p.step + 1 = p.height THEN p.sub_at ELSE p.at // 3 END,
+         p.height, p.sub_at, sha256(s.before || p.node || s.after), p.proof || coalesce(s.both_sides, '')
+  FROM path p JOIN side s ON p.source IS NOT DISTINCT FROM s.source AND s.step = p.step AND s.i = p.at),
+done AS (SELECT source, first, max_by(node, step) AS folded, max_by(proof, step) AS proof FROM path GROUP BY source, first)
+SELECT d.doc_id, d.leaf, sub.node AS subroot, top.node AS root, sha256(done.proof) AS proof_sha256,
+       done.folded AS folded_root, done.folded = top.node AS verified
+FROM d JOIN done ON d.source IS NOT DISTINCT FROM done.source AND d.i = done.first
+JOIN sub ON d.source IS NOT DISTINCT FROM sub.source JOIN (SELECT node FROM high WHERE n = 1) top ON true"""
+
 ORACLE: dict[str, str] = {"op1_warc": OP1, "op2_embedding_neardup": OP2, "op5_quality": _quality(),
-                          "op9_substring": OP9, "op10_chat": OP10}
+                          "op9_substring": OP9, "op10_chat": OP10, "op12_merkle": OP12}

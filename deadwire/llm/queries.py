@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deadwire.llm import bpe, chat, embeddings, licenses, packing, quality, simhash, substring, token_files, warc
+from deadwire.llm import (bpe, chat, embeddings, licenses, merkle, packing, quality, simhash, substring, token_files,
+                          warc)
 from deadwire.llm.common import materialize, table, work_dir
 
 
@@ -84,9 +85,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(written, "conv_id", ["turn", "seq", "segment"])
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents`` by source, with every row's proof. Rows whose id has an even crc32 are
+    checked with their line ends deleted (rows without an id as they are)."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    cut = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    changed = merkle.leaf(*map(F.col, fields[:-1]), F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", "source", merkle.leaf(*map(F.col, fields)).alias("leaf"),
+                       F.when(cut & F.contains("text", F.lit("\n")), changed).alias("changed"))
+    out = merkle.manifest(rows, "source", "doc_id")
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("steps"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc, "op2_embedding_neardup": op2_embedding_neardup, "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op6_packing": op6_packing,
     "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_substring": op9_substring,
-    "op10_chat": op10_chat,
+    "op10_chat": op10_chat, "op12_merkle": op12_merkle,
 }
