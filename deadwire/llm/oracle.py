@@ -103,6 +103,37 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce({bits}, lambda a, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, strlen(text) AS size,
+         array_agg(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM n
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+longest AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+g AS (
+  SELECT p.path, any_value(p.depth) AS depth, any_value(p.size) AS size, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (longest.depth = p.depth) AS ends
+  FROM p JOIN longest USING (conv_id) GROUP BY p.path),
+kids AS (SELECT a.path, count(b.path) AS n FROM g a LEFT JOIN g b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path
+         GROUP BY a.path),
+under AS (
+  SELECT a.path, sum((b.n_convs - 1) * b.size)::BIGINT AS saved, count(*) FILTER (kids.n = 0) AS leaves
+  FROM g a JOIN g b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path JOIN kids ON kids.path = b.path GROUP BY a.path)
+SELECT g.conv_id, g.depth, up.conv_id AS parent_conv_id, g.n_convs, kids.n AS n_children, under.leaves AS n_leaves,
+       under.saved AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN kids ON kids.path = g.path JOIN under ON under.path = g.path
+LEFT JOIN g up ON g.depth > 0 AND up.depth = g.depth - 1 AND up.path = g.path[1:g.depth - 1]"""
+
+
 def _hashed(column: str) -> str:
     return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
 
@@ -157,4 +188,5 @@ FROM d JOIN done ON d.source IS NOT DISTINCT FROM done.source AND d.i = done.fir
 JOIN sub ON d.source IS NOT DISTINCT FROM sub.source JOIN (SELECT node FROM high WHERE n = 1) top ON true"""
 
 ORACLE: dict[str, str] = {"op1_warc": OP1, "op2_embedding_neardup": OP2, "op5_quality": _quality(),
-                          "op9_substring": OP9, "op10_chat": OP10, "op12_merkle": OP12}
+                          "op9_substring": OP9, "op10_chat": OP10, "op11_prefix_trie": OP11,
+                          "op12_merkle": OP12}

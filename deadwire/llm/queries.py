@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deadwire.llm import (bpe, chat, embeddings, licenses, merkle, packing, quality, simhash, substring, token_files,
-                          warc)
+                          trie, warc)
 from deadwire.llm.common import materialize, table, work_dir
 
 
@@ -85,6 +85,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(written, "conv_id", ["turn", "seq", "segment"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of ``conversations``, each rebuilt: the first h turns of the conversation whose id is the next lower
+    multiple of 5, then its own turns after its first h. Turns stand by ``turn`` (null first), ties by digest; rows
+    without ``conv_id`` belong to no conversation."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null").select(
+        "conv_id", F.struct(F.col("turn").isNotNull().alias("at"), "turn", trie.turn_digest(F.col("role"), F.col("text")).alias("digest"),
+                            F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).alias("t"))
+    own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select(
+        "conv_id", F.transform("t", lambda t: F.struct(t["digest"].alias("digest"), t["size"].alias("size"))).alias("own"))
+    own = materialize(own, "conversations")
+    heads = own.select(F.col("conv_id").alias("base"), F.slice("own", 1, 8).alias("head"))
+    taken = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    none = F.array().cast("array<struct<digest: string, size: bigint>>")
+    rebuilt = (own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(heads, "base", "left")
+               .select("conv_id", F.concat(F.slice(F.coalesce("head", none), F.lit(1), taken),
+                                           F.slice("own", taken + 1, F.size("own"))).alias("turns")))
+    return trie.trie(rebuilt)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of ``documents`` by source, with every row's proof. Rows whose id has an even crc32 are
     checked with their line ends deleted (rows without an id as they are)."""
@@ -104,5 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc, "op2_embedding_neardup": op2_embedding_neardup, "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op6_packing": op6_packing,
     "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_substring": op9_substring,
-    "op10_chat": op10_chat, "op12_merkle": op12_merkle,
+    "op10_chat": op10_chat, "op11_prefix_trie": op11_prefix_trie, "op12_merkle": op12_merkle,
 }
