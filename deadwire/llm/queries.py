@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deadwire.llm import (bpe, chat, embeddings, licenses, merkle, packing, quality, simhash, substring, token_files,
-                          trie, warc)
+from deadwire.llm import (bpe, chat, embeddings, hashing, licenses, merkle, packing, quality, simhash, substring,
+                          token_files, trie, warc)
 from deadwire.llm.common import materialize, table, work_dir
 
 
@@ -119,9 +119,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector of ``embeddings`` whose id 20 divides, by inner product."""
+    found = hashing.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc, "op2_embedding_neardup": op2_embedding_neardup, "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op6_packing": op6_packing,
     "op7_licenses": op7_licenses, "op8_simhash": op8_simhash, "op9_substring": op9_substring,
     "op10_chat": op10_chat, "op11_prefix_trie": op11_prefix_trie, "op12_merkle": op12_merkle,
+    "op13_nearest": op13_nearest,
 }
