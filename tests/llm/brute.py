@@ -165,3 +165,84 @@ def chat(rows):
         named = role.replace("\\", "\\\\").replace("\n", "\\n")
         state[3] += len("<|im_start|>") + len(named) + len(re.findall(r"<\\*\|", named)) + 1 + shown + len("<|im_end|>\n")
     return {(c, n, sha(a), len(b), sha(b), f) for c, (n, a, b, f) in out.items()}
+
+
+def hashed(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def merkle(rows, arity=3):
+    """rows: (name of the group, order, leaf) -> per row (subroot, root, [(left, right), ...] up to the root)."""
+    def climb(nodes):
+        """(root, steps per leaf)"""
+        steps, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            runs = [nodes[i:i + arity] for i in range(0, len(nodes), arity)]
+            for k, i in enumerate(at):
+                run, place = runs[i // arity], i % arity
+                steps[k].append(("".join(run[:place]), "".join(run[place + 1:])))
+                at[k] = i // arity
+            nodes = [sha("".join(r)) for r in runs]
+        return nodes[0], steps
+
+    groups = {}
+    for i, (name, order, leaf) in enumerate(rows):
+        groups.setdefault(name, []).append((order is not None, order or 0, leaf, i))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: climb([r[2] for r in sorted(groups[g])]) for g in names}
+    root, tops = climb([trees[g][0] for g in names])
+    out = [None] * len(rows)
+    for g, top in zip(names, tops):
+        for r, steps in zip(sorted(groups[g]), trees[g][1]):
+            out[r[3]] = (trees[g][0], root, steps + top)
+    return out
+
+
+def trie(convs):
+    """convs: (id, [(turn, size), ...]) -> a row per distinct prefix."""
+    members = {}
+    for i, c in convs:
+        for k in range(len(c) + 1):
+            members.setdefault(tuple(c[:k]), []).append((i, len(c) == k))
+    kids, leaves, saved = ({p: 0 for p in members} for _ in range(3))
+    for p in members:
+        if p:
+            kids[p[:-1]] += 1
+    for p, m in members.items():
+        for k in range(len(p) + 1):
+            leaves[p[:k]] += not kids[p]
+            saved[p[:k]] += (len(m) - 1) * p[-1][1] if p else 0
+    low = {p: min(i for i, _ in m) for p, m in members.items()}
+    return [(low[p], len(p), low[p[:-1]] if p else None, len(m), kids[p], leaves[p], saved[p],
+             sha(",".join(str(i) for i in sorted(i for i, end in m if end)))) for p, m in members.items()]
+
+
+def rebuilt(rows):
+    """rows: (conv, turn, role, text) -> (conv, [((role, text), bytes), ...])"""
+    own = {}
+    for conv, turn, role, text in rows:
+        role, text = role or "", text or ""
+        digest = sha(f"{len(role.encode())}:{role}{text}")[:32]
+        own.setdefault(conv, []).append((turn is not None, turn or 0, digest, ((role, text), len(text.encode()))))
+    own = {c: [t[3] for t in sorted(ts)] for c, ts in own.items() if c is not None}
+    out = []
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(np.fmod(c, 5))
+        out.append((c, own.get(base, [])[:h] + ts[h:]))
+    return out
+
+
+def fits(v):
+    return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def nearest(rows, asked, k=20):
+    """rows: (id, vector) -> {(id, vector): [(score, id), ...]}, the true k nearest."""
+    rows = {(i, tuple(0.0 + x for x in v)) for i, v in rows if i is not None and fits(v)}
+    out = {}
+    for i, q in rows:
+        if asked(i):
+            found = [(-float(np.dot(q, v)), j) for j, v in rows if j != i and len(v) == len(q)]
+            out[i, q] = [(-s, j) for s, j in sorted(found)[:k]]
+    return out
