@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deadwire.functions.calls import calls
 from deadwire.functions.text import bodies, let
 from deadwire.operators import rules_go, rules_java, rules_py, rules_ts
 from deadwire.operators.routes import route_facts
@@ -83,7 +84,8 @@ def _columns():
             bodies(lang, content, {"py": rules_py.BODY_RULES, "java": rules_java.BODY_RULES,
                                    "go": rules_go.BODY_RULES}, rules_py.BODY_TESTS).alias("found"),
             F.when(lang == "go", rules_go.structs(F.col("found"))).alias("sts"),
-            route_facts(content).alias("routes"),
+            calls(content).alias("calls"),
+            route_facts(content, F.col("calls")).alias("routes"),
             _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts")).alias("facts"),
         )
     return _BUILT[key]
@@ -94,11 +96,11 @@ def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``routes`` and ``facts`` (plus any ``keep`` columns). Narrow: one
     projection chain, no exchange."""
     keep = list(keep or [])
-    ts, found, sts, routes, facts = _columns()
+    ts, found, sts, called, routes, facts = _columns()
     f = files.select("repo", "path", "lang", "content", *keep)
-    # per-file values computed once: TypeScript facts and bodies, then Go structs from them
-    f = f.select("repo", "path", "lang", "content", *keep, ts, found)
-    f = f.select("repo", "path", "lang", "content", *keep, "ts", "found", sts)
+    # per-file values computed once: TypeScript facts, bodies and calls, then Go structs from the bodies
+    f = f.select("repo", "path", "lang", "content", *keep, ts, found, called)
+    f = f.select("repo", "path", "lang", "content", *keep, "ts", "found", "calls", sts)
     return f.select("repo", "path", "lang", *keep, routes, facts)
 
 

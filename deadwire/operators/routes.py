@@ -9,22 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from deadwire.functions.calls import calls
 from deadwire.functions.scalars import method_from_options, normalize_url
-from deadwire.functions.text import let
+from deadwire.functions.text import let, pick
 
 # --- fixed values: detector patterns -----------------------------------------
 EXPRESS = r"(?:app|router)\.(get|post|put|delete|patch)\(['\"`](.*?)['\"`]"
-CHAINED = (r"(?:router|app)\.route\(['\"`](.*?)['\"`]\)\s*(?:\.[a-z]+\([^)]*\)\s*)*"
-           r"\.(get|post|put|delete|patch)\(")
 FLASK = r"@app\.route\(['\"`](.*?)['\"`]"
 SPRING = r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping)\(['\"`](.*?)['\"`]"
 GIN = r"(?:\w+)\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\(\s*\"([^\"]+)\""
 GORILLA = (r"\.Handle(?:Func)?\(\s*\"([^\"]+)\"[^)]*\)"
            r"(?:[^.]*\.Methods\(\s*(?:\"([A-Z]+)\"|http\.Method([A-Za-z]+))\))?")
 NET_HTTP = r"\bhttp\.Handle(?:Func)?\(\s*\"([^\"]+)\""
-FETCH = r"fetch\(['\"`](.*?)['\"`](?:\s*,\s*(\{[\s\S]*?\}))?\s*\)"
 AXIOS = r"axios\.(get|post|put|delete|patch)\(['\"`](.*?)['\"`]"
-DO_FETCH = r"this\.doFetch(?:WithResponse)?(?:<[^>]+>)?\(\s*([\s\S]*?),\s*(\{[\s\S]*?\})\s*\)"
 HELPER_CALL = r"^\$\{this\.([a-zA-Z]+)\([^)]*\)\}(.*)\z"
 
 # --- fixed values: route helpers of the client library (helper -> base) -------
@@ -70,13 +67,14 @@ def _jstrim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def backend_routes(content: Column) -> Column:
-    """E1-E7, deduplicated by (method, url) within the file (first kept)."""
+def backend_routes(content: Column, found: Column | None = None) -> Column:
+    """E1-E7, deduplicated by (method, url) within the file (first kept). ``found``: ``calls(content)``."""
+    found = calls(content) if found is None else found
     parts = [
         _rows("backend", "express", _all(content, EXPRESS, 1, 2),
               lambda z: F.upper(z["g1"]), lambda z: normalize_url(z["g2"])),
-        _rows("backend", "chained", _all(content, CHAINED, 1, 2),
-              lambda z: F.upper(z["g2"]), lambda z: normalize_url(z["g1"])),
+        _rows("backend", "chained", pick(found, "chained"),
+              lambda z: F.upper(z["rest"]), lambda z: normalize_url(z["url"])),
         _rows("backend", "flask", _all(content, FLASK, 1),
               lambda z: F.lit("GET"), lambda z: normalize_url(z["g1"])),
         _rows("backend", "spring", _all(content, SPRING, 1, 2),
@@ -109,19 +107,20 @@ def _helper_map() -> Column:
     return F.create_map(*kv)
 
 
-def frontend_calls(content: Column) -> Column:
-    """E8-E10 (no dedup: the registry keeps each file once per endpoint)."""
+def frontend_calls(content: Column, found: Column | None = None) -> Column:
+    """E8-E10 (no dedup: the registry keeps each file once per endpoint). ``found``: ``calls(content)``."""
+    found = calls(content) if found is None else found
     parts = [
-        _rows("frontend", "fetch", _all(content, FETCH, 1, 2),
-              lambda z: F.when(z["g2"] == "", F.lit("GET")).otherwise(method_from_options(z["g2"])),
-              lambda z: normalize_url(z["g1"])),
+        _rows("frontend", "fetch", pick(found, "fetch"),
+              lambda z: F.when(z["rest"] == "", F.lit("GET")).otherwise(method_from_options(z["rest"])),
+              lambda z: normalize_url(z["url"])),
         _rows("frontend", "axios", _all(content, AXIOS, 1, 2),
               lambda z: F.upper(z["g1"]), lambda z: normalize_url(z["g2"])),
     ]
     helpers = _helper_map()
 
     def url_of(z):
-        expr = _jstrim(z["g1"])
+        expr = _jstrim(z["url"])
         plain = F.regexp_extract(expr, r"^['\"]([^'\"]+)['\"]$", 1)
         tmpl_ok = expr.rlike(r"^`[\s\S]*?`$")
         tmpl = F.regexp_extract(expr, r"^`([\s\S]*?)`$", 1)
@@ -132,11 +131,11 @@ def frontend_calls(content: Column) -> Column:
                 .when(tmpl_ok & tmpl.rlike(HELPER_CALL) & base.isNotNull(),
                       normalize_url(F.concat(base, suffix))))
 
-    parts.append(_rows("frontend", "do_fetch", _all(content, DO_FETCH, 1, 2),
-                       lambda z: method_from_options(z["g2"]), url_of))
+    parts.append(_rows("frontend", "do_fetch", pick(found, "do_fetch"),
+                       lambda z: method_from_options(z["rest"]), url_of))
     return F.concat(*parts)
 
 
-def route_facts(content: Column) -> Column:
-    """All routes and calls of one file."""
-    return F.concat(backend_routes(content), frontend_calls(content))
+def route_facts(content: Column, found: Column) -> Column:
+    """All routes and calls of one file; ``found``: ``calls(content)``."""
+    return F.concat(backend_routes(content, found), frontend_calls(content, found))

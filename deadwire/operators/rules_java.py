@@ -14,9 +14,12 @@ IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
 # --- fixed values: Java rule patterns -----------------------------------------
 REQUEST_BODY_TYPE = r"@RequestBody\s+(\w+(?:<[^>]+>)?)\s+\w+"
 CLASS_HEAD = r"class\s+(\w+)\s*(?:extends\s+\w+\s*)?(?:implements[^{]+)?\{"
-ANNOTATIONS = r"(?:@\w+(?:\([^)]*\))?\s*)*"
+ANNOTATION = r"@\w+(?:\([^)]*\))?\s*"
 FIELD_DECL = (r"(?:private|public|protected)\s+(?:final\s+)?[\w<>\[\],\s]+\s+"
               r"([a-z][a-zA-Z0-9_]*)\s*[;=]")
+# A whole run of annotations is taken at once (possessive: no recursion per annotation, no second look at it) with
+# the field that follows, if one does: group 1 the annotations, group 2 the field's name or ''.
+FIELD = rf"((?:{ANNOTATION})++|(?=private|public|protected))(?:{FIELD_DECL})?"
 JSON_PROPERTY = r"@JsonProperty\(\s*[\"'](" + IDENT + r")[\"']\)"
 MAP_OF = r"Map\.of\(([^)]+)\)"
 MAP_KEY = r"^\"(" + IDENT + r")\"$"
@@ -42,8 +45,8 @@ def java_defs(content: Column, found: Column) -> Column:
         pick(found, "class"), lambda c: ~F.array_contains(bd, c["g"])))
 
     def fields_of(c):
-        fs = scan(c["body"], ANNOTATIONS + FIELD_DECL, {"k": 1})
-        fs = F.filter(fs, lambda f: ~noise(f["k"]))
+        fs = scan(c["body"], FIELD, {"k": 2})
+        fs = F.filter(fs, lambda f: (f["k"] != "") & ~noise(f["k"]))
         return F.transform(fs, lambda f: fact(
             "response", "java_dto", 1,
             F.coalesce(F.nullif(F.regexp_extract(f["m"], JSON_PROPERTY, 1), F.lit("")), f["k"]),
@@ -75,13 +78,13 @@ def _dto_field_names(found: Column, type_name: Column) -> Column:
     """Field names (with @JsonProperty override) of in-file classes named
     ``type_name``."""
     bodies = F.transform(F.filter(pick(found, "class"), lambda c: c["g"] == type_name), lambda c: c["body"])
-    fre = F.lit("(" + ANNOTATIONS + ")" + FIELD_DECL)
+    fre = F.lit(FIELD)
 
     def names(b):
         ann = F.regexp_extract_all(b, fre, 1)
         nm = F.regexp_extract_all(b, fre, 2)
         pairs = F.filter(F.arrays_zip(ann.alias("a"), nm.alias("n")),
-                         lambda p: ~is_noise(p["n"], "java", "read"))
+                         lambda p: (p["n"] != "") & ~is_noise(p["n"], "java", "read"))
         return F.transform(pairs, lambda p: F.coalesce(
             F.nullif(F.regexp_extract(p["a"], JSON_PROPERTY, 1), F.lit("")), p["n"]))
 

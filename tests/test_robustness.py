@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from deadwire.operators.extract import extract, facts_of
+from deadwire.operators.extract import extract, facts_of, routes_of
 
 
 def _facts(spark, path, lang, src):
@@ -68,3 +68,49 @@ def test_many_routes_in_one_file(spark):
     got = _facts(spark, "routes.py", "py", src)
     assert len([1 for e, _ in got if e == "py_defs"]) == 8000
     assert time.time() - t < 60
+
+
+def _routes(spark, path, lang, src):
+    df = spark.createDataFrame([("r", path, lang, src)], "repo string, path string, lang string, content string")
+    return [(r.rule, r.method, r.url) for r in routes_of(extract(df)).collect()]
+
+
+def test_calls_are_found_as_by_the_patterns():
+    """The linear search against the three patterns as they are stated."""
+    import random
+    import re
+    from deadwire.functions.calls import calls_of
+    q = "['\"`]"
+    stated = {
+        "chained": rf"(?:router|app)\.route\({q}(.*?){q}\)\s*(?:\.[a-z]+\([^)]*\)\s*)*\.(get|post|put|delete|patch)\(",
+        "fetch": rf"fetch\({q}(.*?){q}(?:\s*,\s*(\{{[\s\S]*?\}}))?\s*\)",
+        "do_fetch": r"this\.doFetch(?:WithResponse)?(?:<[^>]+>)?\(\s*([\s\S]*?),\s*(\{[\s\S]*?\})\s*\)"}
+    parts = ["app.route('", "router.route(`", "'", ")", "('", "')", ".get(", ".post(a)", ".all(x)", " ", "\n", "fetch('",
+             "fetch(`", ", {", "{", "}", "})", "} )", "this.doFetch(", "this.doFetchWithResponse<", "<T>(", ">", "(", "a",
+             "'x'", ",", "',{", "' )", ".x('q')", "\t", ".route("]
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 18)))
+        want = [(rule, m[1], m[2] or "") for rule, p in stated.items() for m in re.finditer(p, text, re.ASCII)]
+        assert calls_of(text) == want, text
+
+
+def test_long_chains_and_unclosed_calls_are_linear(spark):
+    _routes(spark, "warm.ts", "ts", "fetch('/a')")
+    cases = [("app.route('/x')" + ".all(a).get(b)" * 20_000, [("chained", "GET", "/x")]),
+             ("app.route('/x')" + ".x('b')" * 140_000, []), ("app.route('/x')\n" * 60_000, []),
+             ("fetch('a', {\n" * 80_000, []), ("fetch('a',{" * 90_000, []), ("this.doFetch(x, {\n" * 60_000, []),
+             ("this.doFetch<" * 70_000, []), ("fetch('/a', {\n" * 40_000 + "})", [("fetch", "GET", "/a")])]
+    for src, want in cases:
+        t = time.time()
+        assert _routes(spark, "web/a.ts", "ts", src) == want
+        assert time.time() - t < 15, src[:40]
+
+
+def test_many_annotations(spark):
+    body = "@X(1) " * 20_000 + '@JsonProperty("named") private String first;\n' + "@Y\n" * 20_000 + "int x() {}\n" \
+        + "@Z public int second = 1;\n"
+    src = "class A {\n" + body + "}\nvoid h(@RequestBody B b) { use(b); }\nclass B {" + "@X(1) " * 20_000 + "private int third;}\n"
+    t = time.time()
+    assert _facts(spark, "A.java", "java", src) == {("java_defs", "named"), ("java_defs", "second"), ("java_reads", "third")}
+    assert time.time() - t < 60
