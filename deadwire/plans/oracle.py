@@ -294,6 +294,24 @@ WHERE name = first_name GROUP BY repo, path, line, name""")
 # Streaming re-analysis ends in the same state as the batch job.
 ORACLE["incremental_rescan"] = ORACLE["dead_fields"]
 
+_NUMBER = "CAST(regexp_extract(repo, '[0-9]+') AS INTEGER)"
+
+# Every batch rewrites the repos whose files it changes: all, those of even number, the others.
+ORACLE["rescan_touched"] = _with(f"""
+SELECT 'finding' AS kind, CAST(NULL AS BIGINT) AS batch, repo, source, pattern, path, side, name, line, waste_score
+FROM ledger
+UNION ALL
+SELECT DISTINCT 'rewrite', CAST(0 AS BIGINT), repo, NULL, NULL, NULL, NULL, NULL, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT)
+FROM f
+UNION ALL
+SELECT DISTINCT 'rewrite', CAST(CASE WHEN {_NUMBER} % 2 = 0 THEN 1 ELSE 2 END AS BIGINT), repo, NULL, NULL, NULL, NULL, NULL,
+       CAST(NULL AS INTEGER), CAST(NULL AS BIGINT)
+FROM f WHERE has_fe""")
+
+ORACLE["edit_withdrawn"] = _with(f"""
+SELECT source, repo, pattern, path, side, name, line, waste_score FROM ledger
+WHERE path NOT LIKE '%/backend/%' OR ({_NUMBER} % 3 <> 2 AND {_NUMBER} % 5 <> 4)""")
+
 ORACLE["accuracy_overall"] = _with(f"""
 SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
        CAST(sum(fn) AS BIGINT) AS fn, avg({_ratio("tp", "tp + fp")}) AS macro_precision,

@@ -277,5 +277,67 @@ def q_position_forms(spark, sf_dir):
     return a.position_lookup(a.facts.select("repo", "path", "line").distinct()).drop("waste_score")
 
 
+def _scratch(spark, name):
+    import uuid
+
+    from deadwire.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def q_rescan_touched(spark, sf_dir):
+    """Findings kept up to date save by save. The corpus lands with stale frontends, then the real frontends of
+    the repos with an even number, then those of the others together with everything that had landed before. Returns
+    the final findings and, per batch, the repos it has rewritten."""
+    from deadwire.streaming.maintain import rewritten, run_maintained, view
+    from deadwire.streaming.rescan import write_drop
+
+    base = _scratch(spark, "maintained")
+    landing, state = f"{base}/landing", f"{base}/state"
+    files = derived_files(spark, sf_dir)
+    is_fe = F.col("path").contains("/frontend/")
+    stale = files.withColumn("content", F.when(is_fe, F.regexp_replace("content", r"\n  (out\.push|const \{)[^\n]*", ""))
+                             .otherwise(F.col("content")))
+    even = F.regexp_extract("repo", "[0-9]+", 0).cast("int") % 2 == 0
+    fronts = files.filter(is_fe)
+    for drops in ([(stale, 1)], [(fronts.filter(even), 2)], [(fronts.filter(even), 2), (stale, 1), (fronts.filter(~even), 2)]):
+        for rows, version in drops:
+            write_drop(rows, landing, version)
+        run_maintained(spark, landing, state, f"{base}/checkpoint")
+    null = F.lit(None)
+    found = view(spark, state, "findings").select(
+        F.lit("finding").alias("kind"), null.cast("long").alias("batch"), "repo", "source", "pattern", "path", "side", "name",
+        "line", "waste_score")
+    rows = rewritten(spark, state).select(
+        F.lit("rewrite").alias("kind"), "batch", "repo", *(null.cast("string").alias(c) for c in (
+            "source", "pattern", "path", "side", "name")), null.cast("int").alias("line"), null.cast("long").alias("waste_score"))
+    return found.unionByName(rows)
+
+
+def q_edit_withdrawn(spark, sf_dir):
+    """Findings of files that were edited or deleted after their scan are withdrawn. All files are scanned;
+    backends of two thirds of the repos are edited, half of those saved again, some deleted; the edits are delivered
+    once more after the saves."""
+    from deadwire.streaming.validity import file_states, run_validity, visible
+
+    base = _scratch(spark, "validity")
+    a = analysis(spark, sf_dir)
+    number = F.regexp_extract("repo", "[0-9]+", 0).cast("int")
+    backs = a.files.filter(F.col("path").contains("/backend/"))
+
+    def land(files, kind, seq):
+        (files.select("repo", "path", F.lit(kind).alias("kind"), F.lit(seq).cast("long").alias("seq"))
+         .write.mode("append").parquet(f"{base}/events"))
+
+    edited = backs.filter(number % 3 != 0)
+    for events in ([(a.files, "scan", 1)], [(edited, "edit", 2)],
+                   [(backs.filter(number % 3 == 1), "save", 3), (backs.filter(number % 5 == 4), "delete", 4)], [(edited, "edit", 2)]):
+        for files, kind, seq in events:
+            land(files, kind, seq)
+        run_validity(spark, f"{base}/events", f"{base}/log", f"{base}/checkpoint")
+    return visible(a.ledger(), file_states(spark, f"{base}/log")).select(
+        "source", "repo", "pattern", "path", "side", "name", "line", "waste_score")
+
+
+QUERIES |= {"rescan_touched": q_rescan_touched, "edit_withdrawn": q_edit_withdrawn}
 QUERIES |= {"rule_forms": q_rule_forms, "route_forms": q_route_forms, "registry_forms": q_registry_forms,
             "dead_forms": q_dead_forms, "position_forms": q_position_forms}
