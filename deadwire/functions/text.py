@@ -8,11 +8,16 @@ stays narrow (no shuffle) and no source text leaves the executor it was read on.
                   (the one helper in Python: pairing braces needs a stack).
 * ``nl``          number of newlines in a string.
 
-Line numbers: a match's line is 1 + the newlines before its start. Spark has no
-match-offset function, so ``scan`` inserts a private-use marker before every
+* ``match_offsets`` 0-based start of every match (P6).
+
+Line numbers: a match's line is 1 + the newlines before its start. ``scan`` inserts a marker before every
 match with one ``regexp_replace`` and counts markers per line. This is linear in
 the text and yields the same matches in the same order as ``regexp_extract_all``
-(both drive ``java.util.regex.Matcher.find`` from left to right).
+(both drive ``java.util.regex.Matcher.find`` from left to right). The marker is made of
+private-use characters, one more in a row than the text holds anywhere, so no text has to be changed.
+
+Offsets: Spark has no match-offset function. ``split`` gives the gaps between matches and
+``regexp_extract_all`` the matches; a match starts where the lengths of what stands before it add up to.
 """
 from __future__ import annotations
 
@@ -22,8 +27,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Marker inserted before matches. Sources strip it from file content on read.
-MARK = "\ue000"
+# Characters of the marker inserted before matches: a run of the first, closed by the second.
+MARK, MARK_END = "\ue000", "\ue001"
 
 
 def _c(x) -> Column:
@@ -50,10 +55,58 @@ def _pat(p) -> Column:
 def match_lines(text, pattern) -> Column:
     """array<int>: 1-based line of each match start, in match order."""
     text = _c(text)
-    marked = F.regexp_replace(text, _pat(pattern), F.lit(MARK + "$0"))
-    lines = F.split(marked, "\n", -1)
-    return F.flatten(F.transform(
-        lines, lambda l, i: F.array_repeat(i + 1, F.size(F.split(l, MARK, -1)) - 1)))
+
+    def marked(mark: Column) -> Column:
+        lines = F.split(F.regexp_replace(text, _pat(pattern), F.concat(mark, F.lit("$0"))), "\n", -1)
+        return F.flatten(F.transform(lines, lambda l, i: F.array_repeat(i + 1, F.size(F.split(l, mark, -1)) - 1)))
+
+    return let(_marker(text), marked)
+
+
+def _marker(text: Column) -> Column:
+    """A string that cannot be in ``text``, nor arise from putting it anywhere into it."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"{MARK}+"), 0), F.length)
+    return F.when(text.contains(MARK), F.concat(F.repeat(F.lit(MARK), F.array_max(runs) + 1), F.lit(MARK_END))) \
+        .otherwise(MARK + MARK_END)
+
+
+def running_totals(values: Column) -> Column:
+    """array<int>: sums of ``values`` up to and including each. Totals are made in blocks of about the square root of
+    their number, so that no array is copied once per element."""
+    def totals(block: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda a, x: F.struct(
+            (a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out")), lambda a: a["out"])
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))), F.lit(1)).cast("int")
+        last = F.greatest(F.ceil(F.size(v) / width), F.lit(1)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * width + 1, width))
+
+    def whole(parts: Column) -> Column:
+        sums = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return let(F.arrays_zip(parts.alias("part"), sums.alias("sum"), totals(sums, F.lit(0)).alias("to")),
+                   lambda z: F.flatten(F.transform(z, lambda x: totals(x["part"], x["to"] - x["sum"]))))
+
+    return let(values, lambda v: let(blocks(v), whole))
+
+
+def match_offsets(text, pattern) -> Column:
+    """array<struct<start:int, line:int, m:string>> of all matches (P6): 0-based offset in code points and 1-based line
+    of each match's start. ``pattern`` must not match the empty string."""
+    text, pat = _c(text), _pat(pattern)
+
+    def placed(z: Column) -> Column:
+        # what lies between the starts of two matches: the former match and the gap behind it
+        before = lambda size: F.transform(z, lambda x, i: size(x["gap"]) + F.when(
+            i > 0, size(F.element_at(z, F.greatest(i, F.lit(1)))["m"])).otherwise(0))
+        out = F.arrays_zip(running_totals(before(F.length)).alias("start"), running_totals(before(nl)).alias("nl"),
+                           F.transform(z, lambda x: x["m"]).alias("m"))
+        return F.transform(out, lambda x: F.struct(x["start"].alias("start"), (x["nl"] + 1).alias("line"), x["m"].alias("m")))
+
+    hits = F.regexp_extract_all(text, pat, 0)
+    gaps = F.split(text, pat, -1)
+    return let(F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("m")), F.lit(1), F.size(hits)), placed)
 
 
 def scan(text, pattern, groups: dict[str, int] | None = None, guard: str | None = None) -> Column:

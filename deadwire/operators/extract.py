@@ -54,12 +54,13 @@ def _first_wins(arr: Column, ext: str, by_line: bool) -> Column:
                                                x["f"]["line"].alias("line")))
 
 
-def _facts_for(lang: Column, content: Column, ts: Column, found: Column, sts: Column) -> Column:
+def _facts_for(lang: Column, content: Column, ts: Column, found: Column, sts: Column, types: Column) -> Column:
     per = {
         "py_defs": rules_py.py_defs(content, found), "py_reads": rules_py.py_reads(content),
         "java_defs": rules_java.java_defs(content, found),
         "java_reads": rules_java.java_reads(content, found),
-        "go_defs": rules_go.go_defs(content, found, sts), "go_reads": rules_go.go_reads(content, sts),
+        "go_defs": rules_go.go_defs(content, found, sts, types),
+        "go_reads": rules_go.go_reads(content, sts, types),
     }
     parts = []
     for ext, (lg, _kind, by_line) in EXTRACTORS.items():
@@ -84,9 +85,10 @@ def _columns():
             bodies(lang, content, {"py": rules_py.BODY_RULES, "java": rules_java.BODY_RULES,
                                    "go": rules_go.BODY_RULES}, rules_py.BODY_TESTS).alias("found"),
             F.when(lang == "go", rules_go.structs(F.col("found"))).alias("sts"),
+            F.when(lang == "go", rules_go.declared_types(content)).alias("types"),
             calls(content).alias("calls"),
             route_facts(content, F.col("calls")).alias("routes"),
-            _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts")).alias("facts"),
+            _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts"), F.col("types")).alias("facts"),
         )
     return _BUILT[key]
 
@@ -96,11 +98,11 @@ def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``routes`` and ``facts`` (plus any ``keep`` columns). Narrow: one
     projection chain, no exchange."""
     keep = list(keep or [])
-    ts, found, sts, called, routes, facts = _columns()
+    ts, found, sts, types, called, routes, facts = _columns()
     f = files.select("repo", "path", "lang", "content", *keep)
     # per-file values computed once: TypeScript facts, bodies and calls, then Go structs from the bodies
     f = f.select("repo", "path", "lang", "content", *keep, ts, found, called)
-    f = f.select("repo", "path", "lang", "content", *keep, "ts", "found", "calls", sts)
+    f = f.select("repo", "path", "lang", "content", *keep, "ts", "found", "calls", sts, types)
     return f.select("repo", "path", "lang", *keep, routes, facts)
 
 

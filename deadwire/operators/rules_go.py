@@ -26,14 +26,25 @@ POST_FORM = r"\.PostForm\s*\(\s*\"(" + IDENT + r")\"\s*\)"
 FORM_VALUE = r"\.FormValue\s*\(\s*\"(" + IDENT + r")\"\s*\)"
 
 
-def resolve_var_type(content: Column, var: Column) -> Column:
-    """Declared type of ``var``: ``var v T`` over ``v := T{`` over a parameter
-    ``v T``; the first match of each form in the file; null when unresolved."""
-    pats = [F.concat(F.lit(r"\bvar\s+"), var, F.lit(r"\s+([A-Z][a-zA-Z0-9_]*)\b")),
-            F.concat(F.lit(r"\b"), var, F.lit(r"\s*:=\s*([A-Z][a-zA-Z0-9_]*)\s*\{")),
-            F.concat(F.lit(r"\b"), var, F.lit(r"\s+([A-Z][a-zA-Z0-9_]*)\b"))]
-    return F.coalesce(*[F.nullif(F.call_function("regexp_extract", content, p, F.lit(1)), F.lit(""))
-                        for p in pats])
+# Declarations with name and type, in order of priority. What follows the name is looked at and not taken, so
+# that a type can be the next one's name.
+DECLARATIONS = (r"\bvar(?=\s+(" + IDENT + r")\s+([A-Z][a-zA-Z0-9_]*)\b)",
+                r"\b(" + IDENT + r")(?=\s*:=\s*([A-Z][a-zA-Z0-9_]*)\s*\{)",
+                r"\b(" + IDENT + r")(?=\s+([A-Z][a-zA-Z0-9_]*)\b)")
+
+
+def declared_types(content: Column) -> Column:
+    """map<variable, type> of a file (J8): ``var v T`` over ``v := T{`` over a parameter ``v T``, the first of each form.
+    Every form is searched once per file, whatever the number of variables."""
+    def of_form(form: int, pattern: str) -> Column:
+        both = F.arrays_zip(*(F.regexp_extract_all(content, F.lit(pattern), g).alias(n) for g, n in ((1, "v"), (2, "t"))))
+        return F.transform(both, lambda x, i: F.struct(
+            x["v"].alias("v"), F.lit(form).alias("form"), i.alias("i"), x["t"].alias("t")))
+
+    found = F.concat(*(of_form(i, p) for i, p in enumerate(DECLARATIONS)))
+    first = let(F.array_sort(found), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | (F.element_at(s, F.greatest(i, F.lit(1)))["v"] != x["v"])))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"))))
 
 
 BODY_RULES = {"struct": (STRUCT_HEAD, "struct"), "gin.H": (GIN_H, "gin.H"), "map": (MAP_LITERAL, "map[string]")}
@@ -55,8 +66,8 @@ def structs(found: Column) -> Column:
     return F.transform(heads, one)
 
 
-def go_defs(content: Column, found: Column, sts: Column) -> Column:
-    """gin.H and map literals' string keys; struct fields of non-bound types."""
+def go_defs(content: Column, found: Column, sts: Column, types: Column) -> Column:
+    """gin.H and map literals' string keys; struct fields of non-bound types. ``types``: ``declared_types``."""
     noise = lambda n: is_noise(n, "go", "def")
 
     def keys(bodies, rule, order):
@@ -69,7 +80,7 @@ def go_defs(content: Column, found: Column, sts: Column) -> Column:
     a = keys(pick(found, "gin.H"), "go_gin_h", 1)
     b = keys(pick(found, "map"), "go_map_literal", 2)
     bound = F.transform(F.regexp_extract_all(content, F.lit(BIND_TARGET), 1),
-                        lambda v: resolve_var_type(content, v))
+                        lambda v: F.element_at(types, v))
     keep = let(bound, lambda bd: F.filter(
         sts, lambda s: ~F.coalesce(F.array_contains(bd, s["name"]), F.lit(False))))
     c = F.flatten(F.transform(keep, lambda s: F.transform(
@@ -78,17 +89,16 @@ def go_defs(content: Column, found: Column, sts: Column) -> Column:
     return F.concat(nz(a), nz(b), nz(c))
 
 
-def go_reads(content: Column, sts: Column) -> Column:
-    """Bound structs' fields (all of them), query and form parameters."""
+def go_reads(content: Column, sts: Column, types: Column) -> Column:
+    """Bound structs' fields (all of them), query and form parameters. ``types``: ``declared_types``."""
     noise = lambda n: is_noise(n, "go", "read")
 
     def bound(pattern, rule, order, guard):
         calls = scan(content, pattern, {"v": 1}, guard=guard)
 
         def per(cl):
-            t = resolve_var_type(content, cl["v"])
-            names = F.flatten(F.transform(F.filter(sts, lambda s: s["name"] == t),
-                                          lambda s: F.transform(s["fields"], lambda f: f["json"])))
+            of_type = let(F.element_at(types, cl["v"]), lambda t: F.filter(sts, lambda s: s["name"] == t))
+            names = F.flatten(F.transform(of_type, lambda s: F.transform(s["fields"], lambda f: f["json"])))
             return F.transform(F.filter(names, lambda n: ~noise(n)),
                                lambda n: fact("request", rule, order, n, cl["line"]))
         return nz(F.flatten(F.transform(calls, per)))

@@ -18,8 +18,8 @@ ANNOTATION = r"@\w+(?:\([^)]*\))?\s*"
 FIELD_DECL = (r"(?:private|public|protected)\s+(?:final\s+)?[\w<>\[\],\s]+\s+"
               r"([a-z][a-zA-Z0-9_]*)\s*[;=]")
 # A whole run of annotations is taken at once (possessive: no recursion per annotation, no second look at it) with
-# the field that follows, if one does: group 1 the annotations, group 2 the field's name or ''.
-FIELD = rf"((?:{ANNOTATION})++|(?=private|public|protected))(?:{FIELD_DECL})?"
+# the field that follows, if one does: group 1 the annotations, group 2 or 3 the field's name, '' if there is none.
+FIELD = rf"((?:{ANNOTATION})++)(?:{FIELD_DECL})?|{FIELD_DECL}"
 JSON_PROPERTY = r"@JsonProperty\(\s*[\"'](" + IDENT + r")[\"']\)"
 MAP_OF = r"Map\.of\(([^)]+)\)"
 MAP_KEY = r"^\"(" + IDENT + r")\"$"
@@ -45,7 +45,8 @@ def java_defs(content: Column, found: Column) -> Column:
         pick(found, "class"), lambda c: ~F.array_contains(bd, c["g"])))
 
     def fields_of(c):
-        fs = scan(c["body"], FIELD, {"k": 2})
+        fs = F.transform(scan(c["body"], FIELD, {"after": 2, "bare": 3}), lambda f: F.struct(
+            f["line"].alias("line"), f["m"].alias("m"), F.concat(f["after"], f["bare"]).alias("k")))
         fs = F.filter(fs, lambda f: (f["k"] != "") & ~noise(f["k"]))
         return F.transform(fs, lambda f: fact(
             "response", "java_dto", 1,
@@ -82,8 +83,9 @@ def _dto_field_names(found: Column, type_name: Column) -> Column:
 
     def names(b):
         ann = F.regexp_extract_all(b, fre, 1)
-        nm = F.regexp_extract_all(b, fre, 2)
-        pairs = F.filter(F.arrays_zip(ann.alias("a"), nm.alias("n")),
+        named = F.arrays_zip(ann.alias("a"), F.regexp_extract_all(b, fre, 2).alias("after"),
+                             F.regexp_extract_all(b, fre, 3).alias("bare"))
+        pairs = F.filter(F.transform(named, lambda p: F.struct(p["a"].alias("a"), F.concat(p["after"], p["bare"]).alias("n"))),
                          lambda p: (p["n"] != "") & ~is_noise(p["n"], "java", "read"))
         return F.transform(pairs, lambda p: F.coalesce(
             F.nullif(F.regexp_extract(p["a"], JSON_PROPERTY, 1), F.lit("")), p["n"]))

@@ -312,6 +312,27 @@ ORACLE["edit_withdrawn"] = _with(f"""
 SELECT source, repo, pattern, path, side, name, line, waste_score FROM ledger
 WHERE path NOT LIKE '%/backend/%' OR ({_NUMBER} % 3 <> 2 AND {_NUMBER} % 5 <> 4)""")
 
+
+
+def _offsets(table: str, key: str, text: str, rule: str, pattern: str) -> str:
+    """Starts and lines of the matches: what precedes a match are the gaps up to it and the matches before it."""
+    return f"""
+SELECT '{table}/' || id AS path, '{rule}' AS rule,
+       CAST(sum(length(gap) + length(hit)) OVER w - length(hit) AS INTEGER) AS start,
+       CAST(1 + sum(length(gap) - length(replace(gap, chr(10), '')) + length(hit) - length(replace(hit, chr(10), ''))) OVER w
+            - (length(hit) - length(replace(hit, chr(10), ''))) AS INTEGER) AS line
+FROM (SELECT id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i
+      FROM (SELECT {key}::VARCHAR AS id, regexp_extract_all({text}, '{pattern}') AS hits,
+                   regexp_split_to_array({text}, '{pattern}') AS gaps FROM {table}))
+WINDOW w AS (PARTITION BY id ORDER BY i)"""
+
+
+ORACLE["match_offsets"] = " UNION ALL ".join((
+    _offsets("pages", "page_id", "html", "href", 'href="[^"]*"'),
+    _offsets("pages", "page_id", "html", "open_tag", "<[a-z][a-z0-9]*"),
+    _offsets("documents", "doc_id", "text", "long_word", "[A-Za-z]{8,}"),
+    _offsets("documents", "doc_id", "text", "line_end", "\\n")))
+
 ORACLE["accuracy_overall"] = _with(f"""
 SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
        CAST(sum(fn) AS BIGINT) AS fn, avg({_ratio("tp", "tp + fp")}) AS macro_precision,

@@ -338,6 +338,29 @@ def q_edit_withdrawn(spark, sf_dir):
         "source", "repo", "pattern", "path", "side", "name", "line", "waste_score")
 
 
+# Patterns of the offset query, by table; the oracle states the same.
+OFFSET_RULES = (("pages", "page_id", "html", {"href": r'href="[^"]*"', "open_tag": r"<[a-z][a-z0-9]*"}),
+                ("documents", "doc_id", "text", {"long_word": r"[A-Za-z]{8,}", "line_end": r"\n"}))
+
+
+def q_match_offsets(spark, sf_dir):
+    """Offset and line of every match of some patterns in whole pages and documents."""
+    from deadwire.functions.text import match_offsets
+
+    def placed(rule, found):
+        return F.transform(F.coalesce(found, F.array().cast("array<struct<start:int,line:int,m:string>>")), lambda m: F.struct(
+            F.lit(rule).alias("rule"), m["start"].alias("start"), m["line"].alias("line")))
+
+    out = None
+    for name, key, text, rules in OFFSET_RULES:
+        rows = read_table(spark, sf_dir, name).select(
+            F.concat(F.lit(f"{name}/"), F.col(key).cast("string")).alias("path"),
+            F.explode(F.concat(*(placed(rule, match_offsets(text, p)) for rule, p in rules.items()))).alias("x")).select("path", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES |= {"match_offsets": q_match_offsets}
 QUERIES |= {"rescan_touched": q_rescan_touched, "edit_withdrawn": q_edit_withdrawn}
 QUERIES |= {"rule_forms": q_rule_forms, "route_forms": q_route_forms, "registry_forms": q_registry_forms,
             "dead_forms": q_dead_forms, "position_forms": q_position_forms}

@@ -18,8 +18,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deadwire.functions.text import MARK
-
 # Included extensions and excluded directory names (the union of
 # the editor command's, the command-line scanner's and the package defaults).
 EXTENSIONS = ["ts", "tsx", "js", "jsx", "py", "java", "go"]
@@ -55,7 +53,7 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
     base = _local_path(re.split(r"[*?\[{]", root)[0].rpartition("/")[0] if re.search(r"[*?\[{]", root) else root)
     plain = F.url_decode(F.replace(F.regexp_replace("abs", _SCHEME, ""), F.lit("+"), F.lit("%2B")))
     rel = F.when(plain.startswith(base + "/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain)
-    df = raw.select(rel.alias("path"), F.regexp_replace("content", MARK, "").alias("content"))
+    df = raw.select(rel.alias("path"), "content")
     if ex:
         df = df.filter(~F.col("path").rlike("(^|/)(" + "|".join(_re_escape(d) for d in ex) + ")/"))
     if not include_dts:
@@ -72,7 +70,7 @@ def read_corpus_table(spark: SparkSession, path: str, content_col: str = "conten
     costs, not analysis, the bottleneck; a table is split by row groups."""
     t = spark.read.parquet(path)
     return t.select("repo", "path", lang_of(F.col("path")).alias("lang"),
-                    F.regexp_replace(F.col(content_col), MARK, "").alias("content")) \
+                    F.col(content_col).alias("content")) \
             .filter(F.col("lang").isNotNull())
 
 

@@ -27,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deadwire.functions.text import MARK
 from deadwire.operators.extract import extract, facts_of, routes_of
 from deadwire.plans.pipeline import Analysis
 from deadwire.sources.files import lang_of
@@ -50,7 +49,6 @@ def _saves(df: DataFrame) -> DataFrame:
     before a save and the larger text before the smaller, so a replay picks the same row."""
     best = F.max_by(F.struct("content", "deleted"), F.struct("version", "deleted", "content"))
     return (df.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-            .withColumn("content", F.regexp_replace("content", MARK, ""))
             .groupBy("repo", "path").agg(F.max("version").alias("version"), best.alias("best"))
             .select("repo", "path", lang_of(F.col("path")).alias("lang"), "best.content", "version", "best.deleted")
             .filter(F.col("lang").isNotNull()))

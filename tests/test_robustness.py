@@ -114,3 +114,45 @@ def test_many_annotations(spark):
     t = time.time()
     assert _facts(spark, "A.java", "java", src) == {("java_defs", "named"), ("java_defs", "second"), ("java_reads", "third")}
     assert time.time() - t < 60
+
+
+def test_many_go_binds(spark):
+    src = "package a\n" + "".join(f"type T{i} struct {{\n\tF string `json:\"k{i}\"`\n}}\n" for i in range(800)) \
+        + "func h(c *gin.Context) {\n" + "".join(f"\tvar v{i} T{i}\n\tc.BindJSON(&v{i})\n" for i in range(800)) + "}\n"
+    _facts(spark, "warm.go", "go", "package a\n")
+    t = time.time()
+    got = _facts(spark, "a.go", "go", src)
+    assert got == {("go_reads", f"k{i}") for i in range(800)}
+    assert time.time() - t < 20
+
+
+def test_go_types_by_priority(spark):
+    src = ("package a\ntype A struct {\n\tX string `json:\"aa\"`\n}\ntype B struct {\n\tX string `json:\"bb\"`\n}\n"
+           "type C struct {\n\tX string `json:\"cc\"`\n}\nfunc f(p A, q B) {\n\tq := C{}\n\tr := B{}\n\tvar r A\n"
+           "\tc.BindJSON(&p)\n\tc.BindJSON(&q)\n\tc.BindJSON(&r)\n\tc.BindJSON(&none)\n}\n")
+    df = spark.createDataFrame([("r", "a.go", "go", src)], "repo string, path string, lang string, content string")
+    got = [(r.name, r.line) for r in facts_of(extract(df)).collect() if r.ext == "go_reads"]
+    assert got == [("aa", 15), ("cc", 16), ("aa", 17)]
+
+
+def test_offsets_and_lines_of_matches(spark):
+    import random
+    import re
+    from deadwire.functions.text import MARK, MARK_END, match_lines, match_offsets
+    rng = random.Random(2)
+    texts = ["", "x", "aXb", "X\nX", MARK, f"{MARK}X{MARK_END}\n{MARK}{MARK}X\n{MARK_END}X", "é😀X\n\nXX"]
+    texts += ["".join(rng.choice(["X", "Xy", "a", "\n", MARK, MARK_END, "é", "😀"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern in ("X", "Xy?", f"[X{MARK}]", "X\n"):
+        for r in df.select("i", match_lines("t", pattern).alias("l"), match_offsets("t", pattern).alias("o")).collect():
+            text = texts[r.i]
+            want = [(m.start(), text.count("\n", 0, m.start()) + 1, m[0]) for m in re.finditer(pattern, text)]
+            assert [tuple(o) for o in r.o] == want and r.l == [w[1] for w in want], (pattern, text)
+
+
+def test_private_use_characters_stay_in_the_text(spark):
+    src = "const a = b.x;\nfetch('/ab')\nconst c = d.named;\n"
+    assert _routes(spark, "a.ts", "ts", src) == [("fetch", "GET", "/ab")]
+    lines = "\n{\n\"k\": 1}\n" + "def f():\n" + "x = jsonify({'kept': 1})\n"
+    df = spark.createDataFrame([("r", "a.py", "py", lines)], "repo string, path string, lang string, content string")
+    assert [(r.name, r.line) for r in facts_of(extract(df)).collect()] == [("kept", 5)]
