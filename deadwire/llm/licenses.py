@@ -1,16 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are neighbouring lines with license wording. A place of a block can hold a
-template only if one of the pieces the template falls into stands there unchanged (there is
-one piece more than words that may change), so every place with such a piece is looked at,
-whatever else its block holds. The words of the place are compressed alone and with the
+A template is looked for by its words, so line breaks, comment marks and indentation between them do not matter. It can
+stand at a place of a text only if one of the pieces it falls into stands there unchanged (there is
+one piece more than words that may change), so every place with such a piece is looked at, anywhere in the whole text;
+the words around these places are the candidate blocks. The words of the place are compressed alone and with the
 template as zstandard raw dictionary: the closer the wording, the more bytes are saved. That
-saving ranks the templates of a block and drops none. Each place is confirmed by an exact
+saving ranks the templates that want the same words and drops none. Each place is confirmed by an exact
 word comparison in that order: the template must stand there with few word differences, none
 of which may touch a version, a number or a term that changes the license (NC, ND, SA, LGPL ...).
 
 One Arrow stage per table, no shuffle: a document is judged by itself. Templates are a
-parameter; the defaults are short public notices.
+parameter; the defaults are short public notices, headers and SPDX lines. A text's words take some 100 bytes each
+while it is looked at, which is done only if it holds a word of some piece.
 """
 from __future__ import annotations
 
@@ -49,38 +50,33 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("LGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or"),
+    ("AGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")),
 )
-_CUE = re.compile(r"licen[sc]|copyright|permission is hereby|redistribution and use|public domain|\bcc0\b|\bcc by\b")
-_WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*|[-+]")
+_WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*|[-+]", re.ASCII | re.IGNORECASE)
 #: Words whose presence or absence changes the license.
 CRITICAL = frozenset("nc nd sa by gpl lgpl agpl lesser affero gnu mit apache bsd mozilla cc not no only".split())
 #: Words that may be lacking, and as many that may be added, as a share of the template's words.
 MAX_CHANGES = 0.1
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words and numbers; hyphens only count inside a term."""
-    return [w.strip("-+") for w in _WORD.findall(text.lower()) if w.strip("-+")]
+def placed_words(text: str) -> list[tuple[str, int, int]]:
+    """(lower-case word or number, start, end in characters); hyphens only count inside a term."""
+    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text) if m[0] not in "-+"]
 
 
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) in characters: runs of neighbouring lines, each of which has a cue or
-    follows directly on one without a blank line and without a sentence end before it."""
-    out: list[tuple[int, int]] = []
-    at, goes_on = 0, False
-    for line in text.split("\n"):
-        end = at + len(line)
-        cue = _CUE.search(line.lower()) is not None
-        if line.strip() and (cue or goes_on):
-            if out and out[-1][1] + 1 == at:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((at, end))
-            goes_on = not line.rstrip().endswith((".", ":", ";"))
-        else:
-            goes_on = False
-        at = end + 1
-    return out
+def words_of(text: str) -> list[str]:
+    return [w for w, _, _ in placed_words(text)]
 
 
 def fixed(word: str) -> bool:
@@ -174,34 +170,39 @@ def differences(block: list[str], template: list[str], begin: int,
 
 def scan_text(text: str, prepared) -> tuple[int, list[dict]]:
     """(candidate blocks, findings) of one whole text."""
-    if not text or _CUE.search(text.lower()) is None:
+    templates, plain, rare = prepared
+    if not text or rare.search(text) is None:
         return 0, []
-    templates, plain = prepared
-    blocks, found = candidate_blocks(text), []
-    for a, b in blocks:
-        words = words_of(text[a:b])
-        joined = " " + " ".join(words) + " "
-        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        places = []
-        for t, made in enumerate(templates):
-            size = len(made.words)
-            for at in seeds(joined, starts, made.parts):
-                held = " ".join(words[max(0, at):at + size]).encode()
-                saved = len(plain.compress(held)) - len(made.dictionary.compress(held))
-                places.append((-saved, t, at))
-        taken: list[tuple[int, int]] = []
-        for saved, t, at in sorted(places):
-            made = templates[t]
-            diff = differences(words, made.words, at, made.changes)
-            if diff is None:
-                continue
-            spot = bisect_left(taken, (diff[2], diff[3]))
-            if (spot and taken[spot - 1][1] > diff[2]) or (spot < len(taken) and taken[spot][0] < diff[3]):
-                continue
-            taken.insert(spot, (diff[2], diff[3]))
-            found.append({"license": made.name, "start": a, "end": b, "gain": round(-saved / made.alone, 4),
-                          "lacks": diff[0], "adds": diff[1]})
-    return len(blocks), found
+    placed = placed_words(text)
+    words = [w for w, _, _ in placed]
+    joined = " " + " ".join(words) + " "
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    places, around = [], []
+    for t, made in enumerate(templates):
+        size = len(made.words)
+        for at in seeds(joined, starts, made.parts):
+            held = " ".join(words[max(0, at):at + size]).encode()
+            saved = len(plain.compress(held)) - len(made.dictionary.compress(held))
+            places.append((-saved, t, at))
+            around.append((at - made.changes, at + size + 2 * made.changes))
+    blocks, reach = 0, None
+    for a, b in sorted(around):
+        blocks += reach is None or a > reach
+        reach = b if reach is None else max(reach, b)
+    found = []
+    taken: list[tuple[int, int]] = []
+    for saved, t, at in sorted(places):
+        made = templates[t]
+        diff = differences(words, made.words, at, made.changes)
+        if diff is None:
+            continue
+        spot = bisect_left(taken, (diff[2], diff[3]))
+        if (spot and taken[spot - 1][1] > diff[2]) or (spot < len(taken) and taken[spot][0] < diff[3]):
+            continue
+        taken.insert(spot, (diff[2], diff[3]))
+        found.append({"license": made.name, "start": placed[diff[2]][1], "end": placed[diff[3] - 1][2],
+                      "gain": round(-saved / made.alone, 4), "lacks": diff[0], "adds": diff[1]})
+    return blocks, found
 
 
 class Template(NamedTuple):
@@ -214,7 +215,8 @@ class Template(NamedTuple):
     alone: int
 
 
-def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[Template], zstandard.ZstdCompressor]:
+def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES):
+    """(templates, plain compressor, pattern that every text with a piece of a template matches)"""
     plain, out = zstandard.ZstdCompressor(level=19, write_content_size=False), []
     for name, text in templates:
         words = words_of(text)
@@ -225,14 +227,15 @@ def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[Te
         made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         out.append(Template(name, words, changes, pieces(words, changes), zstandard.ZstdCompressor(
             level=19, write_content_size=False, dict_data=made), len(plain.compress(raw))))
-    return out, plain
+    longest = {max(part.split(), key=len, default="") for made in out for _, part in made.parts}
+    return out, plain, re.compile("|".join(map(re.escape, sorted(longest, key=lambda w: (-len(w), w)))), re.ASCII | re.IGNORECASE)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
          templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(id, n_blocks, findings): every document with its candidate blocks and the confirmed places of
-    licenses (license, start and end of the block in characters, gain, the words it lacks and adds). The
-    gain is the saving at the place as a share of the template's own compressed size.
+    licenses (license, start and end of the notice in characters, gain, the words it lacks and adds), wherever they
+    stand and however their lines are broken. The gain is the saving at the place as a share of the template's own compressed size.
 
     Null and empty texts have none; null ids and repeated rows come back as they are;
     other columns are ignored. Of places that overlap the one that saves more is taken, then in template order."""

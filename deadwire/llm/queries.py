@@ -56,7 +56,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = F.aggregate("findings", F.lit(0).cast("long"),
                           lambda n, x: n + F.size(x["lacks"]) + F.size(x["adds"]))
     return found.select("doc_id", "n_blocks", F.size("findings").cast("long").alias("n_findings"),
-                        names.alias("licenses"), changes.alias("n_changed_words"))
+                        names.alias("licenses"), changes.alias("n_changed_words"),
+                        F.array_max(F.transform("findings", lambda x: x["gain"])).alias("best_gain"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

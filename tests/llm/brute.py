@@ -246,3 +246,31 @@ def nearest(rows, asked, k=20):
             found = [(-float(np.dot(q, v)), j) for j, v in rows if j != i and len(v) == len(q)]
             out[i, q] = [(-s, j) for s, j in sorted(found)[:k]]
     return out
+
+
+def license_places(words, templates, fixed, share=0.1):
+    """{(license, first word, last word)} of every place where a template stands, by word edits alone: at most a tenth of its
+    words lack, as many are added, no fixed word among either, nor in the place of lacking first or last words.
+    words: of the text; templates: (name, words)."""
+    out = set()
+    for name, want in templates:
+        limit = int(share * len(want))
+        for first in range(len(words)):
+            cells, seen = {(0, 0, 0, 0, 0)}, set()  # template words done, lacking, added, lacking at its head and its end
+            while cells:
+                i, lost, more, head, tail = cell = cells.pop()
+                if cell in seen:
+                    continue
+                seen.add(cell)
+                j = first + i - lost + more
+                if i == len(want):
+                    if not any(map(fixed, [*words[max(0, first - head):first], *words[j:j + tail]])):
+                        out.add((name, first, j))
+                    continue
+                if j < len(words) and words[j] == want[i]:
+                    cells.add((i + 1, lost, more, head, 0))
+                if lost < limit and not fixed(want[i]):
+                    cells.add((i + 1, lost + 1, more, head + (i == head), tail + 1))
+                if j < len(words) and i > head and more < limit and not fixed(words[j]):
+                    cells.add((i, lost, more + 1, head, tail))
+    return out
