@@ -250,9 +250,11 @@ def nearest(table: DataFrame, asked: Column, id_col: str = "vec_id", vector: str
     least = (rows.select(*key, "id").distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
              .groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids")))
     reps = rows.groupBy(*key).agg(F.any_value("vector").alias("vector"), F.bool_or("asked").alias("asked"))
-    big = F.array_max(F.transform("vector", F.abs))
-    norm = big * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + (v / big) * (v / big)))
-    reps = materialize(reps.join(least, key).withColumns({"dim": F.size("vector"), "norm": norm}), "distinct-vectors")
+    # the largest component is a column of its own: inside the sum it would be searched once per component
+    big = reps.withColumn("big", F.array_max(F.transform("vector", F.abs)))
+    norm = F.col("big") * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + (v / F.col("big")) * (v / F.col("big"))))
+    reps = materialize(big.join(least, key).withColumns({"dim": F.size("vector"), "norm": norm}).drop("big"),
+                       "distinct-vectors")
     facts = reps.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.count_if("asked").alias("asked"),
                                     F.sum(F.size("ids")).alias("named")).collect()
     found = [_of_length(reps.where(F.col("dim") == f["dim"]), f, k, target, shard_rows) for f in facts if f["asked"]]
