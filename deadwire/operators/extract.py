@@ -26,21 +26,10 @@ from pyspark.sql import functions as F
 
 from deadwire.functions.calls import calls
 from deadwire.functions.text import bodies, let
-from deadwire.operators import rules_go, rules_java, rules_py, rules_ts
+from deadwire.operators import rules_go, rules_py, rules_ts
+from deadwire.operators.registry import RULES, FileColumns, Rules
 from deadwire.operators.routes import route_facts
 
-LANG_RANK = {"ts": 0, "py": 1, "java": 2, "go": 3}
-# extractor -> (language, kind, dedup by line?)
-EXTRACTORS = {
-    "py_defs": ("py", "def", True), "py_reads": ("py", "read", True),
-    "java_defs": ("java", "def", True), "java_reads": ("java", "read", True),
-    "go_defs": ("go", "def", True), "go_reads": ("go", "read", True),
-    "ts_request_defs": ("ts", "def", True), "ts_response_defs": ("ts", "def", False),
-    "ts_reads": ("ts", "read", False),
-    "ts_dynamic": ("ts", "flag", False),
-}
-
-
 def _first_wins(arr: Column, ext: str, by_line: bool) -> Column:
     """Keep the first element per dedup key, in array order."""
     keyed = F.transform(arr, lambda x, i: F.struct(
@@ -54,18 +43,8 @@ def _first_wins(arr: Column, ext: str, by_line: bool) -> Column:
                                                x["f"]["line"].alias("line")))
 
 
-def _facts_for(lang: Column, content: Column, ts: Column, found: Column, sts: Column, types: Column) -> Column:
-    per = {
-        "py_defs": rules_py.py_defs(content, found), "py_reads": rules_py.py_reads(content),
-        "java_defs": rules_java.java_defs(content, found),
-        "java_reads": rules_java.java_reads(content, found),
-        "go_defs": rules_go.go_defs(content, found, sts, types),
-        "go_reads": rules_go.go_reads(content, sts, types),
-    }
-    parts = []
-    for ext, (lg, _kind, by_line) in EXTRACTORS.items():
-        if lg != "ts":  # the scanner has done that
-            parts.append(F.when(lang == lg, _first_wins(per[ext], ext, by_line)))
+def _facts_for(rules: Rules, lang: Column, file: FileColumns, ts: Column) -> Column:
+    parts = [F.when(lang == x.lang, _first_wins(x.fn(file), x.ext, x.by_line)) for x in rules.extractors if x.fn is not None]
     typed_empty = F.filter(_first_wins(rules_py.empty(), "x", True), lambda x: F.lit(False))
     return F.concat(*[F.coalesce(p, typed_empty) for p in (*parts, ts)])
 
@@ -73,32 +52,33 @@ def _facts_for(lang: Column, content: Column, ts: Column, found: Column, sts: Co
 _BUILT: dict = {}
 
 
-def _columns():
-    """The extraction expressions, built once per driver JVM: they depend only
+def _columns(rules: Rules):
+    """The extraction expressions, built once per driver JVM and registry: they depend only
     on column names, and building them costs thousands of driver calls."""
     from pyspark import SparkContext
-    key = id(SparkContext._gateway)
+    key = id(SparkContext._gateway), rules
     if key not in _BUILT:
         content, lang = F.col("content"), F.col("lang")
         _BUILT[key] = (
             rules_ts.ts_facts(lang, content).alias("ts"),
-            bodies(lang, content, {"py": rules_py.BODY_RULES, "java": rules_java.BODY_RULES,
-                                   "go": rules_go.BODY_RULES}, rules_py.BODY_TESTS).alias("found"),
+            bodies(lang, content, {x.name: x.bodies for x in rules.languages if x.bodies},
+                   {name: test for x in rules.languages for name, test in x.body_tests.items()}).alias("found"),
             F.when(lang == "go", rules_go.structs(F.col("found"))).alias("sts"),
             F.when(lang == "go", rules_go.declared_types(content)).alias("types"),
             calls(content).alias("calls"),
             route_facts(content, F.col("calls")).alias("routes"),
-            _facts_for(lang, content, F.col("ts"), F.col("found"), F.col("sts"), F.col("types")).alias("facts"),
+            _facts_for(rules, lang, FileColumns(content, F.col("found"), F.col("sts"), F.col("types")), F.col("ts"))
+            .alias("facts"),
         )
     return _BUILT[key]
 
 
-def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def extract(files: DataFrame, keep: list[str] | None = None, rules: Rules = RULES) -> DataFrame:
     """files(repo, path, lang, content) -> one row per file with two arrays:
     ``routes`` and ``facts`` (plus any ``keep`` columns). Narrow: one
-    projection chain, no exchange."""
+    projection chain, no exchange. ``rules``: the registry to look extractors up in."""
     keep = list(keep or [])
-    ts, found, sts, types, called, routes, facts = _columns()
+    ts, found, sts, types, called, routes, facts = _columns(rules)
     f = files.select("repo", "path", "lang", "content", *keep)
     # per-file values computed once: TypeScript facts, bodies and calls, then Go structs from the bodies
     f = f.select("repo", "path", "lang", "content", *keep, ts, found, called)
@@ -106,11 +86,10 @@ def extract(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return f.select("repo", "path", "lang", *keep, routes, facts)
 
 
-def routes_of(extracted: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def routes_of(extracted: DataFrame, keep: list[str] | None = None, rules: Rules = RULES) -> DataFrame:
     """routes(repo, path, lang, lang_rank, role, rule, method, url)."""
-    rank = F.create_map(*[x for k, v in LANG_RANK.items() for x in (F.lit(k), F.lit(v))])
     return (extracted.select("repo", "path", "lang", *(keep or []), F.inline("routes"))
-            .withColumn("lang_rank", F.element_at(rank, F.col("lang"))))
+            .withColumn("lang_rank", rules.rank_of(F.col("lang"))))
 
 
 def _numbered(facts: Column) -> Column:
@@ -142,11 +121,10 @@ def flat_facts(extracted: DataFrame) -> DataFrame:
     return extracted.select("repo", "path", "lang", F.inline(F.concat(one, r, f)))
 
 
-def routes_from_flat(flat: DataFrame) -> DataFrame:
-    rank = F.create_map(*[x for k, v in LANG_RANK.items() for x in (F.lit(k), F.lit(v))])
+def routes_from_flat(flat: DataFrame, rules: Rules = RULES) -> DataFrame:
     return (flat.filter(F.col("ext") == "route")
             .select("repo", "path", "lang", "role", "rule", "method", "url",
-                    F.element_at(rank, F.col("lang")).alias("lang_rank")))
+                    rules.rank_of(F.col("lang")).alias("lang_rank")))
 
 
 def facts_from_flat(flat: DataFrame) -> DataFrame:

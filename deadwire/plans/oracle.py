@@ -333,6 +333,29 @@ ORACLE["match_offsets"] = " UNION ALL ".join((
     _offsets("documents", "doc_id", "text", "long_word", "[A-Za-z]{8,}"),
     _offsets("documents", "doc_id", "text", "line_end", "\\n")))
 
+ORACLE["range_containment"] = f"""
+WITH links AS ({_offsets("pages", "page_id", "html", "href", 'href="[^"]*"')}),
+tags AS ({_offsets("pages", "page_id", "html", "open_tag", "<[a-z][a-z0-9]*")}),
+t AS (SELECT path, start, row_number() OVER (PARTITION BY path ORDER BY start) - 1 AS i FROM tags),
+r AS (SELECT a.path, a.start, b.start AS stop FROM t a JOIN t b ON a.path = b.path AND b.i = a.i + 1 + a.i % 3
+      WHERE a.i % 3 = 0 OR a.i % 7 = 0)
+SELECT CAST(replace(path, 'pages/', '') AS BIGINT) AS page_id, start AS at FROM links
+WHERE EXISTS (SELECT 1 FROM r WHERE r.path = links.path AND links.start >= r.start AND links.start < r.stop)"""
+
+# Blanks, then ':', '/', digits and letters, whatever their case (upper case occurs in methods only).
+ORACLE["endpoint_order"] = FORMS_ORACLE["registry_forms"].replace(
+    "SELECT repo, pattern, method, backend_file, backend_lang, n_frontend, first_frontend FROM e",
+    "SELECT repo, pattern, row_number() OVER (ORDER BY lower(translate(pattern, ' :/', '!\"#')), repo) AS rank FROM e")
+
+ORACLE["truth_accounting"] = _with("""
+SELECT repo, count(DISTINCT bucket) FILTER (bucket % 5 IN (0, 4)) AS n_parsed,
+       count(DISTINCT bucket) FILTER (bucket % 5 IN (1, 2, 3)) AS n_bad,
+       count(*) FILTER (bucket % 5 IN (0, 4) AND NOT is_read) AS n_dead_fields,
+       count(DISTINCT bucket) FILTER (bucket % 3 = 0) AS n_facts_parsed,
+       count(DISTINCT bucket) FILTER (bucket % 3 <> 0) AS n_facts_bad,
+       count(*) FILTER (bucket % 3 = 0) + count(*) FILTER (bucket % 3 = 0 AND is_read) AS n_facts
+FROM f GROUP BY repo""")
+
 ORACLE["accuracy_overall"] = _with(f"""
 SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
        CAST(sum(fn) AS BIGINT) AS fn, avg({_ratio("tp", "tp + fp")}) AS macro_precision,

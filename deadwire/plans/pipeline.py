@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from deadwire.functions import scalars as S
 from deadwire.operators.diff import compute_diff
 from deadwire.operators.extract import extract, facts_from_flat, flat_facts, routes_from_flat
+from deadwire.operators.order import global_rank
+from deadwire.operators.registry import RULES, Rules
 from deadwire.session import ensure_checkpoint_dir
 
-GLOBAL_DEF_EXT = ["py_defs", "go_defs", "java_defs", "ts_response_defs"]
-
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, sort_by: list[str] | None = None,
                 written: list[str] | None = None) -> DataFrame:
@@ -48,17 +48,18 @@ class Analysis:
     reads them instead of recomputing their lineage."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, routes: DataFrame, facts: DataFrame,
-                 persist: bool = True, protect_dynamic: bool = False):
+                 persist: bool = True, protect_dynamic: bool = False, rules: Rules = RULES):
+        self.rules = rules
         self.spark, self.files, self.routes, self.facts, self.persist = spark, files, routes, facts, persist
         self.protect_dynamic = protect_dynamic
         self.written: list[str] = []
 
     @classmethod
     def of(cls, spark: SparkSession, files: DataFrame, persist: bool = True,
-           protect_dynamic: bool = False) -> "Analysis":
+           protect_dynamic: bool = False, rules: Rules = RULES) -> "Analysis":
         """``protect_dynamic`` (D1): an endpoint any of whose frontend files
         reads with a non-literal bracket key reports no dead fields."""
-        flat = flat_facts(extract(files))
+        flat = flat_facts(extract(files, rules=rules))
         written: list[str] = []
         if persist:
             # one file per task (no per-extractor directories, which would
@@ -66,7 +67,7 @@ class Analysis:
             flat = materialize(spark, flat, "facts", sort_by=["ext", "repo", "path"], written=written)
         # the file rows written with the facts, so that counting files reads no source again
         listed = flat.filter(F.col("ext") == "file").select("repo", "path", "lang")
-        out = cls(spark, listed, routes_from_flat(flat), facts_from_flat(flat), persist, protect_dynamic)
+        out = cls(spark, listed, routes_from_flat(flat, rules), facts_from_flat(flat), persist, protect_dynamic, rules)
         out.written = written
         return out
 
@@ -104,6 +105,11 @@ class Analysis:
         """Endpoints in locale-aware pattern order (O-1), for reports."""
         return self.endpoints().orderBy(F.collate(F.col("pattern"), "UNICODE"), "repo")
 
+    def endpoints_ranked(self) -> DataFrame:
+        """Endpoints with their ``rank`` in that order, over range partitions (O-1)."""
+        return global_rank(self.endpoints(), [F.collate(F.col("pattern"), "UNICODE"), F.col("repo")],
+                           lambda df, name: materialize(self.spark, df, name, written=self.written))
+
     def callers(self) -> DataFrame:
         return self._callers
 
@@ -124,10 +130,7 @@ class Analysis:
         eps = (self.endpoints().filter(F.col("backend_file").isNotNull() & (F.col("n_frontend") > 0))
                .select("repo", "pattern", "backend_file", "backend_lang"))
         callers = self.callers()
-        resp_defs = self.facts.filter(
-            ((F.col("lang") == "py") & (F.col("ext") == "py_defs"))
-            | ((F.col("lang") == "go") & (F.col("ext") == "go_defs"))
-            | ((F.col("lang") == "ts") & (F.col("ext") == "ts_response_defs")))
+        resp_defs = self._facts(*(ext for _, ext in self.rules.endpoint_defs()))
         d_resp = (eps.filter(F.col("backend_lang") != "java")
                   .join(resp_defs.withColumnRenamed("path", "backend_file"), ["repo", "backend_file"])
                   .withColumn("path", F.col("backend_file")))
@@ -168,7 +171,7 @@ class Analysis:
                            S.score_waste(F.col("name"), F.col("pattern")).alias("waste_score"))
 
     def global_defs(self) -> DataFrame:
-        return self._facts(*GLOBAL_DEF_EXT).filter(F.col("side") == "response")
+        return self._facts(*self.rules.global_defs()).filter(F.col("side") == "response")
 
     def global_dead(self) -> DataFrame:
         return self._global_dead

@@ -360,7 +360,52 @@ def q_match_offsets(spark, sf_dir):
     return out
 
 
-QUERIES |= {"match_offsets": q_match_offsets}
+def q_range_containment(spark, sf_dir):
+    """The links of every page that lie in ranges of one to three tags, which begin at every third tag and overlap
+    or nest where a longer one begins before."""
+    from deadwire.functions.text import match_offsets
+    from deadwire.operators.ranges import contained
+
+    pages = read_table(spark, sf_dir, "pages").where("html is not null")
+    tags = F.transform(match_offsets("html", OFFSET_RULES[0][3]["open_tag"]), lambda m: m["start"])
+    tags = pages.select("page_id", tags.alias("tags"))
+    ranges = tags.select("page_id", F.posexplode("tags").alias("i", "start"), "tags").where("i % 3 = 0 or i % 7 = 0").select(
+        "page_id", "start", F.coalesce(F.get("tags", F.col("i") + 1 + F.col("i") % 3), F.col("start")).alias("end"))
+    links = pages.select("page_id", F.explode(match_offsets("html", OFFSET_RULES[0][3]["href"])).alias("m"))
+    return contained(links.select("page_id", F.col("m.start").alias("at")), ranges, ["page_id"])
+
+
+def q_endpoint_order(spark, sf_dir):
+    """O-1: rank of every endpoint in the order of the UNICODE collation."""
+    return analysis(spark, sf_dir, form_files).endpoints_ranked().select("repo", "pattern", "rank")
+
+
+def q_truth_accounting(spark, sf_dir):
+    """A truth document and a document of precomputed facts per endpoint, some cut off, some with a field of
+    the wrong type, empty or without what they need: what each repo's documents hold, and how many are bad."""
+    from deadwire.sources.derived import groups_of
+    from deadwire.sources.files import accounting, parse_expected, parse_precomputed
+
+    groups = groups_of(parts_with_truth(spark, sf_dir)).withColumn("path", F.concat("repo", F.lit("/b"), F.col("bucket").cast("string")))
+    named = lambda fs: F.transform(fs, lambda f: f["name"])
+    truth = F.to_json(F.struct(F.col("path").alias("endpoint"), named(F.filter("fs", lambda f: ~f["is_read"])).alias("deadFields")))
+    kind = F.col("bucket") % 5
+    truth = (F.when(kind == 1, F.substring(truth, F.lit(1), F.length(truth) - 2)).when(kind == 2, F.lit('{"endpoint": "x", "deadFields": 7}'))
+             .when(kind == 3, F.lit('{"endpoint": "x"}')).otherwise(truth))
+    field = lambda f: F.struct(f["name"].alias("name"), F.lit("response").alias("side"), F.lit("a.ts:1").alias("definedAt"))
+    facts = F.to_json(F.struct(F.transform("fs", field).alias("defined"),
+                               F.transform(F.filter("fs", lambda f: f["is_read"]), field).alias("accessed")))
+    facts = F.when(F.col("bucket") % 3 == 1, F.lit("")).when(F.col("bucket") % 3 == 2, F.lit("{}")).otherwise(facts)
+    expected = parse_expected(groups.select("repo", "path", truth.alias("content")))
+    computed = parse_precomputed(groups.select("repo", "path", facts.alias("content")))
+    held = expected.groupBy("repo").agg(F.sum(F.coalesce(F.size("dead_fields"), F.lit(0))).alias("n_dead_fields"))
+    listed = computed.groupBy("repo").agg(F.sum(F.size("facts")).alias("n_facts"))
+    both = accounting(computed).select("repo", F.col("n_parsed").alias("n_facts_parsed"), F.col("n_bad").alias("n_facts_bad"))
+    return accounting(expected).join(held, "repo").join(both, "repo").join(listed, "repo")
+
+
+QUERIES |= {"match_offsets": q_match_offsets, "range_containment": q_range_containment, "endpoint_order": q_endpoint_order,
+            "truth_accounting": q_truth_accounting}
 QUERIES |= {"rescan_touched": q_rescan_touched, "edit_withdrawn": q_edit_withdrawn}
 QUERIES |= {"rule_forms": q_rule_forms, "route_forms": q_route_forms, "registry_forms": q_registry_forms,
             "dead_forms": q_dead_forms, "position_forms": q_position_forms}

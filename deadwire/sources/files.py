@@ -15,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from deadwire.operators.registry import RULES, Rules
+
 # Included extensions and excluded directory names (the union of
 # the editor command's, the command-line scanner's and the package defaults).
 EXTENSIONS = ["ts", "tsx", "js", "jsx", "py", "java", "go"]
@@ -25,17 +27,16 @@ EXCLUDED_DIRS = ["node_modules", "dist", "build", ".git", "coverage", "target",
                  "__pycache__", "vendor", ".venv", "venv"]
 
 
-def lang_of(path: Column) -> Column:
+def lang_of(path: Column, rules: Rules = RULES) -> Column:
     """Language tag from the extension; null for anything else."""
-    return (F.when(path.endswith(".py"), "py")
-            .when(path.endswith(".java"), "java")
-            .when(path.endswith(".go"), "go")
-            .when(path.rlike(r"\.[jt]sx?$"), "ts"))
+    return rules.lang_of(path)
 
 
 def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
-                include_dts: bool = True, exclude_dirs: list[str] | None = None) -> DataFrame:
-    """files(repo, path, lang, content) for every source file under ``root``.
+                include_dts: bool = True, exclude_dirs: list[str] | None = None, rules: Rules = RULES,
+                extensions: list[str] | None = None) -> DataFrame:
+    """files(repo, path, lang, content) for every source file under ``root``; ``extensions`` and
+    ``rules`` where languages were added.
 
     Paths are relative to ``root`` (to its part before the first glob character, so ``/x/*`` gives the
     paths and repos of ``/x``). Each file is one row (``wholetext``), so a
@@ -46,7 +47,7 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
     raw = (spark.read.format("text")
            .option("wholetext", True)
            .option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}")
+           .option("pathGlobFilter", "*.{" + ",".join(extensions or EXTENSIONS) + "}")
            .load(root)
            .select(F.col("_metadata.file_path").alias("abs"), F.col("value").alias("content")))
     # the part of the root before any glob character; paths are relative to it
@@ -59,7 +60,7 @@ def scan_corpus(spark: SparkSession, root: str, repo: str | None = None,
     if not include_dts:
         df = df.filter(~F.col("path").endswith(".d.ts"))
     repo_col = F.lit(repo) if repo else F.split_part(F.col("path"), F.lit("/"), F.lit(1))
-    return df.select(repo_col.alias("repo"), "path", lang_of(F.col("path")).alias("lang"), "content") \
+    return df.select(repo_col.alias("repo"), "path", lang_of(F.col("path"), rules).alias("lang"), "content") \
              .filter(F.col("lang").isNotNull())
 
 
@@ -87,29 +88,73 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
+def _documents(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """docs(repo, path, content): whole files ``<repo>/<name>``."""
+    raw = spark.read.format("text").option("wholetext", True).load(path)
+    file = F.col("_metadata.file_path")
+    return raw.select(F.regexp_extract(file, rf"([^/]+)/{re.escape(name)}$", 1).alias("repo"), file.alias("path"),
+                      F.col("value").alias("content"))
+
+
+def _parsed(docs: DataFrame, schema: str, needed: list[str]) -> DataFrame:
+    """``docs`` with the struct ``doc`` and ``bad``: a document that is no JSON, has a field of another type than it should,
+    or lacks a needed one (D16: bad documents yield nothing and are counted)."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    doc = F.from_json(F.col("content"), f"{schema}, _corrupt string", options)
+    lacks = F.coalesce(*(F.when(F.col(f"doc.{c}").isNull(), True) for c in needed), F.lit(False))
+    return docs.select("repo", "path", doc.alias("doc")).withColumn(
+        "bad", F.col("doc").isNull() | F.col("doc._corrupt").isNotNull() | lacks)
+
+
+def parse_expected(docs: DataFrame) -> DataFrame:
+    """docs(repo, path, content) -> (repo, path, bad, endpoint, dead_fields), a row per document."""
+    made = _parsed(docs, "endpoint string, deadFields array<string>", ["endpoint", "deadFields"])
+    good = lambda c: F.when(~F.col("bad"), F.col(c))
+    return made.select("repo", "path", "bad", good("doc.endpoint").alias("endpoint"), good("doc.deadFields").alias("dead_fields"))
+
+
+_FIELD = "struct<name:string, side:string, definedAt:string, wasteScore:double>"
+
+
+def parse_precomputed(docs: DataFrame) -> DataFrame:
+    """docs(repo, path, content) -> (repo, path, bad, facts: array<struct<kind, name, side, path, line>>), a row per
+    document (S6); ``definedAt`` is split at its last ':'. A list may be missing, not both."""
+    made = _parsed(docs, f"defined array<{_FIELD}>, accessed array<{_FIELD}>", []).withColumn(
+        "bad", F.col("bad") | (F.col("doc.defined").isNull() & F.col("doc.accessed").isNull()))
+    place = r"^(.*):([0-9]+)$"
+
+    def facts(column: str, kind: str) -> Column:
+        listed = F.coalesce(F.col(f"doc.{column}"), F.array().cast(f"array<{_FIELD}>"))
+        return F.transform(listed, lambda f: F.struct(
+            F.lit(kind).alias("kind"), f["name"].alias("name"), f["side"].alias("side"),
+            F.nullif(F.regexp_extract(f["definedAt"], place, 1), F.lit("")).alias("path"),
+            F.nullif(F.regexp_extract(f["definedAt"], place, 2), F.lit("")).cast("int").alias("line")))
+
+    none = F.array().cast("array<struct<kind:string,name:string,side:string,path:string,line:int>>")
+    return made.select("repo", "path", "bad", F.when(F.col("bad"), none).otherwise(
+        F.concat(facts("defined", "def"), facts("accessed", "read"))).alias("facts"))
+
+
+def accounting(parsed: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """(repo, n_parsed, n_bad): documents of each repo that could and could not be used (D16). ``observation`` gets both
+    totals of the run that reads ``parsed``, without a pass of its own."""
+    good, bad = F.count_if(~F.col("bad")).alias("n_parsed"), F.count_if("bad").alias("n_bad")
+    if observation is not None:
+        parsed = parsed.observe(observation, good, bad)
+    return parsed.groupBy("repo").agg(good, bad)
+
+
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    """expected(repo, endpoint, dead_fields) from ``<repo>/expected.json`` files."""
-    schema = "endpoint string, deadFields array<string>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    repo = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/expected\.json$", 1)
-    return df.select(repo.alias("repo"), "endpoint", F.col("deadFields").alias("dead_fields"))
+    """expected(repo, endpoint, dead_fields) from ``<repo>/expected.json`` files; bad files are left out (see
+    ``parse_expected`` and ``accounting`` for their number)."""
+    return parse_expected(_documents(spark, path, "expected.json")).where("not bad").select("repo", "endpoint", "dead_fields")
 
 
 def read_precomputed_fields(spark: SparkSession, path: str) -> DataFrame:
-    """facts(repo, kind, name, path, line) from ``<repo>/fields.json`` files with
-    ``{defined: [Field], accessed: [Field]}``; ``definedAt`` is split at its
-    last ':'."""
-    field = "struct<name:string, side:string, definedAt:string, wasteScore:double>"
-    df = (spark.read.schema(f"defined array<{field}>, accessed array<{field}>")
-          .option("multiLine", True).json(path))
-    repo = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/fields\.json$", 1)
-    d = df.select(repo.alias("repo"), F.lit("def").alias("kind"), F.explode("defined").alias("f"))
-    a = df.select(repo.alias("repo"), F.lit("read").alias("kind"), F.explode("accessed").alias("f"))
-    both = d.unionByName(a)
-    loc = F.regexp_extract(F.col("f.definedAt"), r"^(.*):([0-9]+)$", 1)
-    line = F.regexp_extract(F.col("f.definedAt"), r"^(.*):([0-9]+)$", 2)
-    return both.select("repo", "kind", F.col("f.name").alias("name"), F.col("f.side").alias("side"),
-                       F.nullif(loc, F.lit("")).alias("path"), F.nullif(line, F.lit("")).cast("int").alias("line"))
+    """facts(repo, kind, name, side, path, line) from ``<repo>/fields.json`` files with
+    ``{defined: [Field], accessed: [Field]}``; bad files yield none."""
+    made = parse_precomputed(_documents(spark, path, "fields.json"))
+    return made.select("repo", F.inline("facts"))
 
 
 def write_report(analysis, out_dir: str) -> None:
