@@ -12,8 +12,8 @@ holds only headers and names the record that has the same payload.
 Writing costs one shuffle of the distinct payloads: SHA-256 is taken map-side, ``max`` of
 the id and the payload are combined before the shuffle, so thousands of copies of a page
 leave a map task as one row. Reading verifies each stored payload against the digest it is
-stored under, once, where it is scanned; only its facts then join the records, on a
-digest whose hot values adaptive execution may split. ``rebuild`` joins the bytes.
+stored under, once, where it is scanned, and joins its bytes to the records on the
+digest, whose hot values adaptive execution may split (``rebuild``).
 """
 from __future__ import annotations
 
@@ -92,21 +92,23 @@ def records(spark: SparkSession, out: str) -> DataFrame:
                        _field("WARC-Type").alias("record_type"), named.cast(kind).alias("refers_to"))
 
 
-def read_archive(spark: SparkSession, out: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, from
-    the verified payload that it joins; ``payload_digest`` is SHA-1 in hex."""
-    payload = _verified(F.col("payload"), F.col("digest"))
-    facts = spark.read.parquet(f"{out}/payloads").select("digest", payload.alias("payload")).select(
-        "digest", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    return records(spark, out).join(facts, "digest").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
 def rebuild(spark: SparkSession, out: str) -> DataFrame:
-    """(page_id, record_type, record, payload): the original record bytes and the full payload."""
-    stored = spark.read.parquet(f"{out}/payloads").select("digest", "payload")
+    """(page_id, record_type, record, payload, refers_to, header_bytes): the original record bytes, by joining headers and
+    payloads, and the full payload, of a revisit too. Each stored payload is verified once, before the join."""
+    stored = spark.read.parquet(f"{out}/payloads").select("digest", _verified(F.col("payload"), F.col("digest")).alias("payload"))
     end = F.lit(_EOL + _EOL).cast("binary")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     return records(spark, out).join(stored, "digest").select(
-        "page_id", "record_type", F.concat("header", body, end).alias("record"),
-        _verified(F.col("payload"), F.col("digest")).alias("payload"))
+        "page_id", "record_type", F.concat("header", body, end).alias("record"), "payload", "refers_to",
+        F.length("header").alias("header_bytes"))
+
+
+def read_archive(spark: SparkSession, out: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, from the rebuilt records: the
+    payload is cut out of a response and is that of the record referred to for a revisit; ``payload_digest`` is SHA-1 in hex."""
+    size = F.length("record") - F.col("header_bytes") - len(_EOL + _EOL)
+    payload = F.when(F.col("record_type") == "response", F.substring(F.col("record"), F.col("header_bytes") + 1, size)) \
+        .otherwise(F.col("payload"))
+    return rebuild(spark, out).withColumn("held", payload).select(
+        "page_id", F.length("held").cast("long").alias("payload_bytes"), F.sha1("held").alias("payload_digest"),
+        "record_type", "refers_to")
