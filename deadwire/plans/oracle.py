@@ -356,6 +356,17 @@ SELECT repo, count(DISTINCT bucket) FILTER (bucket % 5 IN (0, 4)) AS n_parsed,
        count(*) FILTER (bucket % 3 = 0) + count(*) FILTER (bucket % 3 = 0 AND is_read) AS n_facts
 FROM f GROUP BY repo""")
 
+ORACLE["report_documents"] = _with("""
+, items AS (
+  SELECT DISTINCT repo, 'endpoints' AS section, '' AS pattern, pattern AS name, CAST(NULL AS VARCHAR) AS side, be_path AS path,
+         CAST(NULL AS INTEGER) AS line, CAST(NULL AS BIGINT) AS waste_score, lower(translate(pattern, ' :/', '!"#')) AS first_key
+  FROM f
+  UNION ALL
+  SELECT repo, CASE source WHEN 'endpoint' THEN 'deadFieldAnalysis' ELSE 'globalDeadFieldAnalysis' END, coalesce(pattern, ''),
+         name, side, path, line, waste_score, path FROM ledger),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo, section, pattern ORDER BY first_key, line, lower(name)) AS place FROM items)
+SELECT repo, section, pattern, (place - 1) // 50 AS chunk, place, name, side, path, line, waste_score FROM n""")
+
 ORACLE["accuracy_overall"] = _with(f"""
 SELECT CAST(count(*) AS BIGINT) AS projects, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
        CAST(sum(fn) AS BIGINT) AS fn, avg({_ratio("tp", "tp + fp")}) AS macro_precision,

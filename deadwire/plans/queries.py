@@ -404,6 +404,15 @@ def q_truth_accounting(spark, sf_dir):
     return accounting(expected).join(held, "repo").join(both, "repo").join(listed, "repo")
 
 
+def q_report_documents(spark, sf_dir):
+    """The report of every repo, written in chunks of 50 items and read back."""
+    from deadwire.sources.report import read_documents, write_documents
+    out = _scratch(spark, "report")
+    write_documents(analysis(spark, sf_dir), out, chunk=50)
+    return read_documents(spark, out).withColumnRenamed("wasteScore", "waste_score")
+
+
+QUERIES |= {"report_documents": q_report_documents}
 QUERIES |= {"match_offsets": q_match_offsets, "range_containment": q_range_containment, "endpoint_order": q_endpoint_order,
             "truth_accounting": q_truth_accounting}
 QUERIES |= {"rescan_touched": q_rescan_touched, "edit_withdrawn": q_edit_withdrawn}

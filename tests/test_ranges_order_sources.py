@@ -71,3 +71,30 @@ def test_files_with_a_broken_one_among_them(spark, tmp_path):
         (d / "fields.json").write_text(json.dumps(fields, indent=2) if fields else "")
     assert [tuple(r) for r in read_expected(spark, str(tmp_path / "*" / "expected.json")).collect()] == [("p1", "e", ["x"])]
     assert read_precomputed_fields(spark, str(tmp_path / "*" / "fields.json")).count() == 0
+
+
+def test_report_documents_in_chunks_and_order(spark, tmp_path):
+    import glob
+    from deadwire.plans.pipeline import Analysis
+    from deadwire.sources.report import read_documents, write_documents
+    keys = "".join(f"        'key{i:02}': 1,\n" for i in range(23))
+    back = "from flask import jsonify\n@app.route('/api/b-x')\ndef f():\n    return jsonify({\n" + keys + "    })\n"
+    routes = "app.get('/api/B', h)\napp.get('/api/a_y', h)\n"
+    front = "fetch('/api/b-x').then(r => r.key03)\n"
+    files = spark.createDataFrame([(r, p, lang, c) for r in ("one", "two") for p, lang, c in (
+        ("api.py", "py", back), ("routes.ts", "ts", routes), ("web.ts", "ts", front))], "repo string, path string, lang string, content string")
+    a = Analysis.of(spark, files)
+    out = str(tmp_path / "report")
+    write_documents(a, out, chunk=5)
+    got = read_documents(spark, out)
+    assert [r.name for r in got.where("repo = 'one' and section = 'endpoints'").orderBy("place").collect()] == [
+        "GET /api/a_y", "GET /api/B", "GET /api/b-x"]
+    dead = got.where("repo = 'two' and section = 'deadFieldAnalysis'").orderBy("place").collect()
+    assert [(r.place, r.chunk, r.name) for r in dead] == [
+        (i + 1, i // 5, n) for i, n in enumerate(f"key{i:02}" for i in range(23) if i != 3)]
+    lines = [json.loads(x) for f in sorted(glob.glob(f"{out}/part-*")) for x in open(f)]
+    assert [(x["repo"], x["section"], x["chunk"]) for x in lines] == [
+        (r, s, c) for r in ("one", "two") for s, n in (("deadFieldAnalysis", 5), ("endpoints", 1), ("globalDeadFieldAnalysis", 5))
+        for c in range(n)]
+    assert max(len(x["items"]) for x in lines) == 5
+    a.close()
