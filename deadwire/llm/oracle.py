@@ -53,10 +53,12 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 def _quality() -> str:
     """Base counts and, per n, the characters in n-grams that stand earlier in the text."""
     sizes = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
+    # an n-gram is put together from its words' rows; unnesting positions beside the word list would copy it per row
     grams = ",\n".join(f"""
-g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {n - 1}], ' ') ORDER BY i)
-         > 1 AS later, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {n - 1}], ' ')) > 1 AS twice
-        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w WHERE len(ws) >= {n})),
+s{n} AS (SELECT doc_id, i, size, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW
+         AND {n - 1} FOLLOWING) AS gram FROM u),
+g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS later,
+         count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM s{n} WHERE i + {n - 1} <= size),
 c{n} AS (SELECT u.doc_id, sum(length(u.word))::BIGINT AS chars FROM u SEMI JOIN
         (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE later) x
         ON x.doc_id = u.doc_id AND x.i = u.i GROUP BY u.doc_id)""" for n in sizes)
@@ -65,7 +67,7 @@ c{n} AS (SELECT u.doc_id, sum(length(u.word))::BIGINT AS chars FROM u SEMI JOIN
     fits = " AND ".join(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in sizes.items())
     return f"""
 WITH {_WORDS.strip()},
-u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS size FROM w),
 {grams.strip()},
 rep AS (SELECT doc_id, count(*)::BIGINT AS n FROM
         (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM g8 WHERE twice) GROUP BY doc_id),
