@@ -8,7 +8,8 @@ the k-mers) still meets every repeated window. The windows around one anchor
 occurrence form a run, the unit of the graph here.
 
 1. ``_runs`` (Arrow stage): anchor hash, hash of all words of the run, source coordinates.
-   A run that is found again inside one batch is settled there, and so is an anchor that
+   A run that is found again inside one batch is settled there (``_agreeing`` chains such runs into paths and compares
+   their words with those of the earlier place), and so is an anchor that
    branches inside one batch: it sends two marks, and its runs go straight to step 3 (map-side
    combine, so a hot passage gives a row or two per batch and not one per copy).
 2. One shuffle by anchor. An anchor met once is dropped. If all its runs have the same
@@ -16,9 +17,14 @@ occurrence form a run, the unit of the graph here.
    If not, its runs branch and go on window by window.
 3. Branching runs are joined to their documents; their windows are compared by 128 bits
    of hash, again with a combine per batch and one shuffle.
-4. Compaction: the gone edges are joined to their document by source coordinates, where
-   adjacent ones merge into maximal nonbranching spans, are checked against the text's
-   length, and removed in one go.
+4. Compaction (``_paths``): a gone edge carries the source coordinates of the place it repeats. A node where one
+   such edge ends and the next begins, in both documents, is inner; the nodes left are the ends of the maximal
+   nonbranching paths, and a join pairs them. Paths are cut where the earlier place's word number is a multiple
+   of ``PIECE``, so that copies with ragged edges share their inner pieces.
+5. Verification (``_digests``): each distinct earlier piece is read from its document through the coordinates and its
+   words are hashed by SHA-256, once however often it is repeated. The digest is joined to the pieces that repeat it;
+   these are joined to their documents, and only a piece whose own words have the same digest is cut out. A piece that
+   differs (its 128 bits of hash met by chance) stays.
 
 A document is named by its id and 128 bits of hash of its text (``th``, ``tk``), in every join,
 group and order: many different texts may stand under one id (a null one, say).
@@ -28,6 +34,7 @@ text are one document and share their fate.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +51,10 @@ _BASE, _OTHER = 0x2545F4914F6CDD1B, 0xD6E8FEB86659FD93
 _NULL_ID = -(1 << 63)
 #: What names a document: its id and two hashes of its text.
 DOC = ("id", "th", "tk")
+#: The place that a gone edge repeats.
+LEAD = ("lid", "lth", "ltk", "lstart")
+#: Windows of a piece of a path.
+PIECE = 1024
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -93,16 +104,38 @@ def find_runs(words: Words, span: int, kmer: int) -> tuple[np.ndarray, ...]:
 
 
 def _leaders(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which items repeat an item with equal keys of a strictly smaller (doc, start)."""
+    """For each item the one with equal keys and the smallest (doc, start); itself if it has that place."""
     order = np.lexsort((start, doc, *keys))
     same = np.ones(len(order), bool)
     same[:1] = False
     for k in keys:
         same[1:] &= k[order[1:]] == k[order[:-1]]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    lead = order[head]
-    out = np.zeros(len(order), bool)
-    out[order] = (doc[order] != doc[lead]) | (start[order] != start[lead])
+    out = np.zeros(len(order), np.int64)
+    out[order] = order[head]
+    moved = (doc != doc[out]) | (start != start[out])
+    return np.where(moved, out, np.arange(len(out)))
+
+
+def _agreeing(words: Words, first: np.ndarray, size: np.ndarray, lead: np.ndarray, doc: np.ndarray,
+              span: int) -> np.ndarray:
+    """Which items (windows first .. first + size - 1 of a text ``doc``) have a lead other than themselves and the same
+    words as it. Items that follow one another as their leads do are compared as one path."""
+    out = np.zeros(len(first), bool)
+    at = np.flatnonzero(lead != np.arange(len(first)))
+    if not len(at):
+        return out
+    at = at[np.argsort(first[at], kind="stable")]
+    data, starts, ends = normalized(words)
+    begin, shift, stop = first[at], first[lead[at]] - first[at], first[at] + size[at]
+    new = np.ones(len(at), bool)
+    new[1:] = ((begin[1:] != stop[:-1]) | (shift[1:] != shift[:-1]) | (doc[at[1:]] != doc[at[:-1]])
+               | (doc[lead[at[1:]]] != doc[lead[at[:-1]]]))
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(at)) - 1
+    for h, t in zip(heads.tolist(), tails.tolist()):
+        a, b, d = begin[h], stop[t] + span - 2, shift[h]
+        out[at[h:t + 1]] = np.array_equal(data[starts[a]:ends[b]], data[starts[a + d]:ends[b + d]])
     return out
 
 
@@ -170,7 +203,7 @@ def _runs(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
                 own = _once(rank)[doc]
                 anchor, whole, first, size, doc = (x[own] for x in (anchor, whole, first, size, doc))
                 start = first - words.first[doc]
-                later = _leaders([anchor, whole], rank[doc], start)
+                later = _agreeing(words, first, size, _leaders([anchor, whole], rank[doc], start), doc, span)
                 on, off = np.flatnonzero(~later), np.flatnonzero(later)
                 on = on[np.lexsort((whole[on], anchor[on]))]
                 same = anchor[on[1:]] == anchor[on[:-1]]
@@ -247,7 +280,7 @@ def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
                 at, doc = at[own], doc[own]
                 start = at - words.first[doc]
                 w1, w2 = mix(rolling(hashes, span))[at], mix(rolling(hashes, span, _OTHER))[at]
-                later = _leaders([w1, w2], rank[doc], start)
+                later = _agreeing(words, at, np.ones(len(at), np.int64), _leaders([w1, w2], rank[doc], start), doc, span)
                 on, off = np.flatnonzero(~later), np.flatnonzero(later)
                 yield _batch([w1[on].view(np.int64), w2[on].view(np.int64), ids[doc[on]], th[doc[on]], tk[doc[on]],
                               start[on], np.ones(len(on), np.int32), np.zeros(len(on), bool)], names)
@@ -261,14 +294,13 @@ def _windows(keyed: DataFrame, mixed: DataFrame, span: int) -> DataFrame:
         run, "w1 bigint, w2 bigint, id bigint, th bigint, tk bigint, start bigint, size int, gone boolean")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN,
-                   kmer: int = KMER) -> DataFrame:
-    """(id, th, tk, start, size): windows start .. start + size - 1 (in words) of a document that also
-    stand earlier. ``id`` is the integer id (null: the smallest long), ``th`` and ``tk`` its text's hashes."""
-    keyed = _keyed(docs, id_col, text)
+def _edges(keyed: DataFrame, span: int, kmer: int) -> DataFrame:
+    """(id, th, tk, start, size, *LEAD): edges that also stand earlier, at the place LEAD (null where their batch has
+    settled them)."""
     same = Window.partitionBy("anchor")
     place = F.struct(*DOC, "start")
     kind = F.col("kind")
+    from_lead = [F.when(F.col("led"), F.col(f"lead.{c}")).alias(n) for c, n in zip((*DOC, "start"), LEAD)]
     met = (_runs(keyed, span, kmer)
            .withColumn("n", F.count(F.when(kind.isin(ALONE, MARK), 1)).over(same))
            .withColumn("low", F.min("run").over(same)).withColumn("high", F.max("run").over(same))
@@ -276,28 +308,111 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
            .where(kind.isin(FORK, GONE) | ((kind == ALONE) & (F.col("n") > 1)))
            .withColumn("mixed", (kind == FORK) | ((kind == ALONE) & (F.col("low") != F.col("high"))))
            .where((kind == GONE) | F.col("mixed") | (place != F.col("lead")))
-           .select(*DOC, "start", "size", "mixed"))
+           .withColumn("led", (kind == ALONE) & ~F.col("mixed"))
+           .select(*DOC, "start", "size", "mixed", *from_lead))
     met = materialize(met, "runs")
     windows = _windows(keyed, met.where("mixed"), span)
     same = Window.partitionBy("w1", "w2")
     later = (windows.withColumn("lead", F.min(F.when(~F.col("gone"), place)).over(same))
-             .where(F.col("gone") | (place != F.col("lead"))).select(*DOC, "start", "size"))
-    return met.where("not mixed").select(*DOC, "start", "size").unionByName(later)
+             .where(F.col("gone") | (place != F.col("lead"))).withColumn("led", ~F.col("gone"))
+             .select(*DOC, "start", "size", *from_lead))
+    return met.where("not mixed").drop("mixed").unionByName(later)
+
+
+def _paths(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The edges with a lead as maximal nonbranching paths, in pieces: (id, th, tk, start, size, *LEAD).
+
+    Edges of one document do not overlap, so the ends of its paths along one lead alternate: the n-th
+    beginning belongs to the n-th end. Repeated edges count once."""
+    line = [*DOC, *LEAD[:3], "shift"]
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("opens")),
+                   F.struct((F.col("start") + F.col("size")).alias("at"), F.lit(False).alias("opens")))
+    nodes = (edges.where(F.col("lid").isNotNull()).withColumn("shift", F.col("lstart") - F.col("start"))
+             .select(*line, F.explode(ends).alias("node")).groupBy(*line, F.col("node.at").alias("at"))
+             .agg(F.min("node.opens").alias("opens"), F.max("node.opens").alias("some"))
+             .where("opens = some")  # an inner node both ends and begins an edge
+             .withColumn("n", F.row_number().over(Window.partitionBy(*line, "opens").orderBy("at"))))
+    whole = (nodes.where("opens").select(*line, "n", F.col("at").alias("begin"))
+             .join(nodes.where("not opens").select(*line, "n", F.col("at").alias("stop")), [*line, "n"]))
+    low, high = F.col("begin") + F.col("shift"), F.col("stop") + F.col("shift")
+    cuts = F.sequence((low / piece).cast("long"), ((high - 1) / piece).cast("long"))
+    return (whole.withColumn("low", low).withColumn("high", high).withColumn("cut", F.explode(cuts))
+            .withColumn("lstart", F.greatest("low", F.col("cut") * piece))
+            .withColumn("size", (F.least("high", (F.col("cut") + 1) * piece) - F.col("lstart")).cast("int"))
+            .select(*DOC, (F.col("lstart") - F.col("shift")).alias("start"), "size", *LEAD))
+
+
+def _digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, n: int) -> bytes:
+    """SHA-256 of the words first .. first + n - 1 of ``normalized`` text, one space between them."""
+    return hashlib.sha256(data[starts[first]:ends[first + n - 1]]).digest()
+
+
+def _check(words: Words, owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+    if len(owner) and (start.min() < 0 or np.any(stop > words.counts[owner])):
+        raise ValueError("a span lies outside its document")
+
+
+def _digests(keyed: DataFrame, pieces: DataFrame, span: int) -> DataFrame:
+    """(*LEAD, size, digest): the words of each distinct earlier place, read from its document."""
+    wanted = (pieces.select(*(F.col(a).alias(b) for a, b in zip(LEAD, DOC)), F.struct(F.col("lstart").alias("start"), "size").alias("p"))
+              .groupBy(*DOC).agg(F.collect_set("p").alias("places")))
+    joined = _blobs(keyed).join(wanted, list(DOC))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for batch in batches:
+            for a, b, texts in _texts(batch.column(3)):
+                words = split_words(texts)
+                owner, start, size = _lists(batch.column(4).slice(a, b - a), ("start", "size"))
+                ids, th, tk, rank = _place(batch, a, b)
+                own = _once(rank)[owner]
+                owner, start, size = owner[own], start[own], size[own].astype(np.int64)
+                _check(words, owner, start, start + size + span - 1)
+                data, starts, ends = normalized(words)
+                found = [_digest(data, starts, ends, f, n) for f, n in
+                         zip((words.first[owner] + start).tolist(), (size + span - 1).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (ids[owner], th[owner], tk[owner], start, size.astype(np.int32))]
+                    + [pa.array(found, pa.binary())], names=[*LEAD, "size", "digest"])
 
+    schema = "lid bigint, lth bigint, ltk bigint, lstart bigint, size int, digest binary"
+    out = joined.select(*DOC, "blob", "places").mapInArrow(run, schema)
+    return out.groupBy(*LEAD, "size").agg(F.min("digest").alias("digest"))
 
-def _removed(words: Words, owner: np.ndarray, start: np.ndarray, size: np.ndarray, span: int) -> np.ndarray:
-    """For each word: whether a gone window covers it. Coordinates outside a text are an error."""
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN,
+                   kmer: int = KMER, piece: int = PIECE) -> DataFrame:
+    """(id, th, tk, start, size, digest): windows start .. start + size - 1 (in words) of a document that also
+    stand earlier, and the SHA-256 of the words there (null where the batch that found the span has compared them).
+    ``id`` is the integer id (null: the smallest long), ``th`` and ``tk`` its text's hashes."""
+    keyed = _keyed(docs, id_col, text)
+    edges = materialize(_edges(keyed, span, kmer), "edges")
+    pieces = materialize(_paths(edges, piece), "paths")
+    led = pieces.join(_digests(keyed, pieces, span), [*LEAD, "size"]).select(*DOC, "start", "size", "digest")
+    return led.unionByName(edges.where(F.col("lid").isNull())
+                           .select(*DOC, "start", "size", F.lit(None).cast("binary").alias("digest")))
+
+
+def _removed(words: Words, owner: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray,
+             span: int) -> np.ndarray:
+    """For each word: whether a gone window covers it whose words are those of the earlier place. Coordinates outside a
+    text are an error."""
     stop = start + size + span - 1
-    if len(owner) and (start.min() < 0 or np.any(stop > words.counts[owner])):
-        raise ValueError("a span lies outside its document")
+    _check(words, owner, start, stop)
+    first, told = words.first[owner], np.array([x is not None for x in digest.tolist()], bool)
+    same = np.ones(len(owner), bool)
+    if told.any():
+        data, starts, ends = normalized(words)
+        for i in np.flatnonzero(told).tolist():
+            same[i] = _digest(data, starts, ends, first[i] + start[i], int(stop[i] - start[i])) == digest[i]
     edge = np.zeros(len(words.starts) + 1, np.int64)
-    np.add.at(edge, words.first[owner] + start, 1)
-    np.add.at(edge, words.first[owner] + stop, -1)
+    np.add.at(edge, (first + start)[same], 1)
+    np.add.at(edge, (first + stop)[same], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, kmer: int = KMER,
-                   layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+                   layout: bool = False, carry: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
     """(id, th, tk, text, n_words, n_removed, *carry): every document without the words that a window of
     ``span`` words covers which also stands earlier.
 
@@ -309,8 +424,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     schema = "id bigint, th bigint, tk bigint, text string, n_words bigint, n_removed bigint"
     for c, name in zip(carry, carried):
         schema += f", {name} {docs.schema[c].dataType.simpleString()}"
-    spans = repeated_spans(docs, id_col, text, span, kmer)
-    listed = spans.groupBy(*DOC).agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    spans = repeated_spans(docs, id_col, text, span, kmer, piece)
+    listed = spans.groupBy(*DOC).agg(F.collect_set(F.struct("start", "size", "digest")).alias("spans"))
     joined = _blobs(keyed).join(listed, list(DOC), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +433,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             for a, b, texts in _texts(batch.column(3)):
                 words = split_words(texts)
-                gone = _removed(words, *_lists(batch.column(4).slice(a, b - a), ("start", "size")), span)
+                gone = _removed(words, *_lists(batch.column(4).slice(a, b - a), ("start", "size", "digest")), span)
                 out = _rebuilt(words, gone, layout)
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 yield pa.RecordBatch.from_arrays(

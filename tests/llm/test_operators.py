@@ -428,8 +428,9 @@ def test_substring_in_small_batches(spark, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        got = substring.remove_repeats(df).select("id", "n_words", "n_removed", F.sha2("text", 256))
-        assert bag(got) == Counter(brute.substring(rows))
+        for piece in (3, substring.PIECE):
+            got = substring.remove_repeats(df, piece=piece).select("id", "n_words", "n_removed", F.sha2("text", 256))
+            assert bag(got) == Counter(brute.substring(rows))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
@@ -449,6 +450,37 @@ def test_substring_hot_phrase_that_branches(spark):
         assert bag(out) == Counter(brute.substring(rows))
 
 
+def test_substring_paths(spark):
+    """Edges that follow one another in both documents are one path, cut at the multiples of a piece; another lead or
+    another distance begins a new path; a repeated edge counts once."""
+    edges = [(9, 0, 0, 10, 4, 1, 0, 0, 100), (9, 0, 0, 14, 6, 1, 0, 0, 104), (9, 0, 0, 14, 6, 1, 0, 0, 104),
+             (9, 0, 0, 20, 2, 1, 0, 0, 300), (9, 0, 0, 22, 1, 2, 0, 0, 302), (9, 0, 0, 30, 1, 1, 0, 0, 120),
+             (9, 0, 0, 50, 5, None, None, None, None)]
+    df = spark.createDataFrame(edges, "id long, th long, tk long, start long, size int, lid long, lth long, ltk long, lstart long")
+    names = ["start", "size", "lid", "lstart"]
+    rest = {(20, 2, 1, 300), (22, 1, 2, 302), (30, 1, 1, 120)}
+    assert bag(substring._paths(df).select(names)) == Counter({(10, 10, 1, 100), *rest})
+    cut = {(10, 4, 1, 100), (14, 6, 1, 104)}
+    assert bag(substring._paths(df, 8).select(names)) == Counter({*cut, *rest})
+
+
+def test_substring_verifies_words(spark):
+    """Spans whose hashes agree by chance are kept: their words are compared."""
+    import numpy as np
+    import pyarrow as pa
+    from deadwire.llm.words import split_words
+    same, other = (" ".join(prose(30, x).split()) for x in ("same", "other"))
+    words = split_words(pa.array([same, same.replace(" ", "\n "), other]))
+    first, size = words.first[:3], np.full(3, 11)
+    for lead, agree in (([0, 0, 0], [False, True, False]), ([0, 1, 2], [False] * 3)):
+        found = substring._agreeing(words, first, size, np.array(lead), np.arange(3), 20)
+        assert found.tolist() == agree
+    told = np.array([substring.hashlib.sha256(same.encode()).digest()] * 2 + [None], object)
+    where = np.array([1, 2, 2]), np.array([0, 0, 0]), np.array([11, 11, 1])
+    gone = substring._removed(words, *where, told, 20)
+    assert [int(gone[words.doc_of() == d].sum()) for d in range(3)] == [0, 30, 20]
+
+
 def test_substring_layout(spark):
     rows = [(1, "Start.\n" + PASSAGE), (2, "  keep this \n" + PASSAGE + "\n\tand that ")]
     df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
