@@ -6,10 +6,12 @@ merge. The root is then the leftmost pair of the lowest rank. A merge changes
 the pair at i, the pair before it and the dead pair after it: three leaves, so three
 paths of logarithmic length. It goes on until the root is infinite.
 
-Pieces of similar length share one array of trees and are stepped together, one merge
-per tree and step, so numpy does the work of thousands of pieces per call; a finished
-piece leaves the step. A piece of n bytes takes O(n log n) point updates whatever its
-length.
+Pieces of similar length share one array of trees and are stepped together, so numpy does the work of
+thousands of pieces per call; a finished piece leaves the step. In pieces of more than ``BATCHED`` bytes a step
+takes all places of the root's rank that do not overlap, from the left: they are found from the root down, through
+the nodes of that rank. This gives the merges one by one would give, as long as no pair that holds the merged symbol
+ranks lower than the merge; where one does, the step takes the root's place alone. A piece of n bytes takes O(n log n)
+point updates whatever its length, in no more steps than the table has ranks.
 
 The Spark side is a scan and one Arrow stage: each text is encoded whole, decoded from
 its ids, and nothing is shuffled.
@@ -31,6 +33,8 @@ from deadwire.llm.common import text_chunks
 from deadwire.llm.tokens import as_bytes, public_path, tree_encoder
 
 _NONE = np.int64(2 ** 62)
+#: Longest pieces (a power of two) that merge one place a step; results are the same on both sides of it.
+BATCHED = 32
 
 #: The pre-tokenizer's split (a fixed value) with the library's white space: Python's \\s would add
 #: U+001C to U+001F; and the same for texts of ASCII characters only.
@@ -54,12 +58,13 @@ def _byte_chars() -> dict[str, int]:
 @dataclass
 class Vocabulary:
     """``byte_ids``: id of each single byte; ``pairs`` (sorted left << 32 | right), ``ranks``
-    and ``merged``: the merge table; ``strings``: bytes of each id; ``added``: ids of special tokens;
+    and ``merged``: the merge table; ``safe``: by rank, whether all pairs with the merged symbol rank higher; ``strings``: bytes of each id; ``added``: ids of special tokens;
     ``split``: cuts a text around them."""
     byte_ids: np.ndarray
     pairs: np.ndarray
     ranks: np.ndarray
     merged: np.ndarray
+    safe: np.ndarray
     strings: list[bytes]
     added: dict[str, bytes]
     split: Callable[[str], list[str]]
@@ -70,7 +75,7 @@ class Vocabulary:
             spec = json.load(f)
         vocab, chars = spec["model"]["vocab"], _byte_chars()
         byte_ids = np.zeros(256, np.int64)
-        strings = [b""] * (max(max(vocab.values()), *(t["id"] for t in spec["added_tokens"])) + 1)
+        strings = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for token, i in vocab.items():
             strings[i] = bytes(chars[c] for c in token)
             if len(token) == 1:
@@ -83,9 +88,12 @@ class Vocabulary:
         merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         pairs = left << 32 | right
         order = np.argsort(pairs, kind="stable")
+        lowest = np.full(len(strings), len(pairs), np.int64)
+        np.minimum.at(lowest, np.concatenate([left, right]), np.tile(np.arange(len(pairs)), 2))
         added = {t["content"]: np.uint32(t["id"]).tobytes() for t in spec["added_tokens"]}
-        split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
-        return cls(byte_ids, pairs[order], order.astype(np.int64), merged[order], strings, added, split)
+        split = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")").split
+        return cls(byte_ids, pairs[order], order.astype(np.int64), merged[order], lowest[merged] > np.arange(len(pairs)), strings, added,
+                   split)
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank or -1, merged id) of each pair."""
@@ -116,7 +124,7 @@ def _encode_group(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, sizes
         tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
         level //= 2
 
-    def set_leaf(rows: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+    def set_leaves(rows: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
         node = at + width
         tree[rows, node] = key
         while node[0] > 1:
@@ -128,23 +136,42 @@ def _encode_group(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, sizes
         rank, _ = vocab.look(sym[rows, at], sym[rows, np.maximum(after, 0)])
         return np.where((after >= 0) & (rank >= 0), rank << 32 | at, _NONE)
 
+    def places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the merges of one step, from left to right in each row."""
+        rank = tree[rows, 1] >> 32
+        many = vocab.safe[rank]
+        if width <= BATCHED or not many.any():
+            return rows, tree[rows, 1] & 0xFFFFFFFF
+        r, node, rank = rows[many], np.ones(int(many.sum()), np.int64), rank[many]
+        for _ in range(width.bit_length() - 1):
+            r, rank = np.repeat(r, 2), np.repeat(rank, 2)
+            node = (2 * node[:, None] + np.arange(2)).ravel()
+            on = tree[r, node] >> 32 == rank
+            r, node, rank = r[on], node[on], rank[on]
+        at = node - width
+        linked = np.zeros(len(at), bool)  # shares a symbol with the place before it
+        linked[1:] = (r[1:] == r[:-1]) & (nxt[r[:-1], at[:-1]] == at[1:])
+        i = np.arange(len(at))
+        free = (i - np.maximum.accumulate(np.where(linked, 0, i))) % 2 == 0
+        alone = rows[~many]
+        return np.concatenate([r[free], alone]), np.concatenate([at[free], tree[alone, 1] & 0xFFFFFFFF])
+
     rows = np.flatnonzero(tree[:, 1] < _NONE)
     while len(rows):
-        at = tree[rows, 1] & 0xFFFFFFFF
-        gone = nxt[rows, at]
-        _, merged = vocab.look(sym[rows, at], sym[rows, gone])
-        sym[rows, at] = merged
-        sym[rows, gone] = -1
-        after = nxt[rows, gone]
-        nxt[rows, at] = after
+        r, at = places(rows)
+        gone = nxt[r, at]
+        _, merged = vocab.look(sym[r, at], sym[r, gone])
+        sym[r, at] = merged
+        sym[r, gone] = -1
+        after = nxt[r, gone]
+        nxt[r, at] = after
         some = after >= 0
-        prv[rows[some], after[some]] = at[some]
-        set_leaf(rows, gone, np.full(len(rows), _NONE))
-        set_leaf(rows, at, pair_key(rows, at))
-        before = prv[rows, at]
+        prv[r[some], after[some]] = at[some]
+        before = prv[r, at]
         some = before >= 0
-        if some.any():
-            set_leaf(rows[some], before[some], pair_key(rows[some], before[some]))
+        r_set, at_set = np.concatenate([r, r[some]]), np.concatenate([at, before[some]])
+        set_leaves(np.concatenate([r, r_set]), np.concatenate([gone, at_set]),
+                   np.concatenate([np.full(len(r), _NONE), pair_key(r_set, at_set)]))
         rows = rows[tree[rows, 1] < _NONE]
     kept = sym >= 0
     ids = sym[kept].astype("<u4").tobytes()

@@ -1,6 +1,7 @@
 """Each operator against its brute-force version: small tables with the awkward cases, and the
 driver's sf0.001 tables whole."""
 import hashlib
+import json
 import os
 import random
 from collections import Counter
@@ -187,6 +188,47 @@ def test_encoders_on_odd_characters(name, make):
         want = want if part == texts else want[::-1]
 
 
+def test_bpe_long_pieces():
+    """Runs without a break merge many places a step, as the library merges them one by one."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * n for n in (31, 32, 33, 63, 64, 65, 1001)] + ["ab" * 500 + "a", "=" * 999, "-=" * 300]
+    texts += ["".join(r.choice(letters) for _ in range(n)) for n in (40, 100, 3000, 30000)]
+    texts += ["".join(r.choice(LEXICON) for _ in range(4000)), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(3000))]
+    _, want = library_ids("byte_bpe_50k.json", texts)
+    vocab = bpe.vocabulary(tokens.public_path("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(vocab, texts)] == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bpe_merges_that_make_lower_ranks(tmp_path, seed):
+    """A merge whose symbol stands in a pair of lower rank is taken one place at a time."""
+    r = random.Random(seed)
+    known, merges = list("abc"), []
+    while len(merges) < 14:
+        pair = r.choice(known), r.choice(known)
+        if "".join(pair) not in known and len("".join(pair)) < 9:
+            known.append("".join(pair))
+            merges.append(pair)
+    r.shuffle(merges)
+    chars = bpe._byte_chars()
+    table = {t: i for i, t in enumerate([*chars, *(t for t in known if len(t) > 1)])}
+    path = tmp_path / "ranks.json"
+    path.write_text(json.dumps({"model": {"vocab": table, "merges": [" ".join(m) for m in merges]}, "added_tokens": []}))
+    vocab = bpe.Vocabulary.load(str(path))
+    assert not vocab.safe.all()
+    texts = ["".join(r.choice("abc") for _ in range(n)) for n in (5, 33, 64, 200, 700)]
+    for text in texts:
+        left = list(text)
+        while True:
+            found = [(merges.index(p), i) for i, p in enumerate(zip(left, left[1:])) if p in merges]
+            if not found:
+                break
+            i = min(found)[1]
+            left[i:i + 2] = [left[i] + left[i + 1]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(vocab, [text])] == [[table[t] for t in left]]
+
+
 def test_cache_of_two_generations(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
     path = tokens.public_path("byte_bpe_50k.json")
