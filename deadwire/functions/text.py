@@ -146,18 +146,23 @@ def body_ends(text: str) -> dict[int, int]:
     return ends
 
 
-def find_bodies(text: str, ends: dict[int, int], rule: str, opener: re.Pattern) -> list[tuple]:
-    """(rule, line, matched text, group 1 or '', body) of all matches of ``opener``. A body that is never
-    closed stops at the next such match: the rest is in that one's body, so bodies outside
-    one another add up to the text at most."""
-    found = list(opener.finditer(text))
-    out, line, at = [], 1, 0
-    for i, m in enumerate(found):
+def find_bodies(text: str, ends: dict[int, int], rule: str, opener: re.Pattern, test=None) -> list[tuple]:
+    """(rule, line, matched text, group 1 or '', body) of the matches of ``opener`` that count by ``test`` (a function of
+    the text and the lines of its matches). A body that is never closed stops at the next match that counts: the
+    rest is in that one's body, so bodies outside one another add up to the text at most."""
+    found, lines, line, at = list(opener.finditer(text)), [], 1, 0
+    for m in found:
         line += text.count("\n", at, m.start())
-        at, begin = m.start(), m.end()
-        end = ends[begin - 1]
-        if text[end:end + 1] != "}" and i + 1 < len(found) and found[i + 1].start() < end:
-            end = found[i + 1].start()
+        at = m.start()
+        lines.append(line)
+    counted = list(zip(found, lines))
+    if test is not None and counted:
+        counted = [x for x, ok in zip(counted, test(text, lines)) if ok]
+    out = []
+    for i, (m, line) in enumerate(counted):
+        begin, end = m.end(), ends[m.end() - 1]
+        if text[end:end + 1] != "}" and i + 1 < len(counted):
+            end = min(end, counted[i + 1][0].start())
         out.append((rule, line, m[0], (m[1] or "") if opener.groups else "", text[begin:end]))
     return out
 
@@ -186,10 +191,7 @@ def bodies(lang: Column, content: Column, rules: BodyRules, tests: dict | None =
             ends = body_ends(text) if hits else {}
             rows: list[tuple] = []
             for name, opener, _ in hits:
-                got = find_bodies(text, ends, name, opener)
-                if name in tests and got:
-                    got = [b for b, ok in zip(got, tests[name](text, [b[1] for b in got])) if ok]
-                rows += got
+                rows += find_bodies(text, ends, name, opener, tests.get(name))
             out.append([dict(zip(("rule", "line", "m", "g", "body"), b)) for b in rows])
         return pd.Series(out, dtype=object)
 

@@ -63,6 +63,14 @@ def test_unbalanced_body_runs_to_end(run):
     assert run("u.py", "py", src, "py_defs") == {("first", 2), ("second", 3)}
 
 
+def test_unclosed_body_does_not_stop_at_an_opener_outside_routes(run):
+    src = ('@app.route("/x")\ndef a():\n    return {\n        "one": 1,\n\n'
+           'def b():\n    return {\n        "two": 2,\n\n')
+    assert run("v.py", "py", src, "py_defs") == {("one", 4), ("two", 8)}
+    twice = src + '@app.route("/y")\ndef c():\n    return {\n        "three": 3,\n    }\n'
+    assert run("w.py", "py", twice, "py_defs") == {("one", 4), ("two", 8), ("three", 13)}
+
+
 def test_deep_nesting_uses_exact_fold(run):
     inner = '{"l1": {"l2": {"l3": {"l4": {"l5": {"l6": 1}}}}}}'
     src = 'x = jsonify({\n    "outer": ' + inner + ',\n    "after": 2\n})\n'
