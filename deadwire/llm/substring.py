@@ -451,24 +451,25 @@ def _rebuilt(words: Words, gone: np.ndarray, layout: bool) -> pa.Array:
     """The texts without the words that are gone."""
     n = len(words.offsets) - 1
     if layout:
-        keep, edges = np.ones(len(words.data), bool), words.offsets
-        owner = np.searchsorted(words.first, np.arange(len(gone)), side="right") - 1
-        after = np.append(words.starts[1:], len(words.data)) if len(gone) else words.starts
-        after = np.minimum(after, words.offsets[owner + 1])
-        keep[spread(words.starts[gone], (after - words.starts)[gone])] = False
-        data = words.data
+        edges, data = words.offsets, words.data
+        owner = words.doc_of()[gone]
+        after = np.append(words.starts[1:], len(data))[gone] if len(gone) else words.starts
+        step = np.zeros(len(data) + 1, np.int8)
+        step[words.starts[gone]] += 1
+        step[np.minimum(after, words.offsets[owner + 1])] -= 1
+        keep = np.cumsum(step[:-1], dtype=np.int8) == 0
     else:
         data, starts, ends = normalized(words)
-        keep = np.ones(len(data), bool)
-        keep[spread(starts[gone], (ends - starts + 1)[gone])] = False
+        keep = np.repeat(~gone, ends - starts + 1)
         left = np.flatnonzero(~gone)
         doc = words.doc_of()[left]
         final = left[np.append(doc[1:] != doc[:-1], True)] if len(left) else left
         keep[ends[final]] = False  # no space after a text's last kept word
         edges = np.append(starts, len(data))[words.first]
-    total = np.concatenate([[0], np.cumsum(keep)])
+    kept = [np.count_nonzero(keep[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    offsets = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)]).astype(np.int64)
     return pa.Array.from_buffers(
-        pa.large_binary(), n, [None, pa.py_buffer(total[edges].astype(np.int64)), pa.py_buffer(data[keep])]
+        pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[keep])]
     ).cast(pa.binary()).cast(pa.string())
 
 

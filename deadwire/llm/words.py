@@ -140,5 +140,7 @@ def normalized(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = words.ends - words.starts
     ends = np.cumsum(sizes + 1) - 1
     out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
-    out[spread(ends - sizes, sizes)] = words.data[spread(words.starts, sizes)]
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = words.data[~SPACE[words.data]]  # the bytes of words, in order
     return out, ends - sizes, ends
