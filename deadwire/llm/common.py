@@ -37,6 +37,15 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_back(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` to an aggregate ``grouped`` by the long ``key``, so that adaptive execution
+    can split a hot key. An aggregate already lies by its key and would be joined in the tasks that
+    made it, where nothing splits; the complement of the key names the same groups, but has to be
+    shuffled for both sides. A null key joins nothing."""
+    return (rows.withColumn("_back", F.bitwise_not(key))
+            .join(grouped.withColumn("_back", F.bitwise_not(key)).drop(key), "_back").drop("_back"))
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about ``limit`` bytes each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -3,7 +3,7 @@
 Each round hangs every node's larger neighbours (large star) and then its smaller
 ones (small star) under the smallest node it knows; the edge list becomes a set of
 stars after a logarithmic number of rounds. The smallest neighbour comes from a
-pre-aggregated ``min`` and goes back by a join that adaptive execution can split,
+pre-aggregated ``min`` and goes back by a join that adaptive execution can split (``join_back``),
 so the centre of a huge star is not one task's work. Every round is a written
 table; the driver only sees a count and a checksum of it.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize
+from deadwire.llm.common import join_back, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:  # a is the larger end
         both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    met = both.join(least, "a")
+    met = join_back(both, least, "a")
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize
+from deadwire.llm.common import join_back, materialize
 from deadwire.llm.components import components
 
 BLOCK, PROJECTIONS, MISSES, SEED = 1536, 32, 7, 20240229
@@ -149,7 +149,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "emb
              .select("label", "vector", "least", F.coalesce("root", "rep").alias("root"),
                      (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(named, "root").select("label", "vector", "n_links", "component_id")
+    known = join_back(known, named, "root").select("label", "vector", "n_links", "component_id")
     linked = rows.where("fits").join(known, ["label", "vector"]).select("id", "n_links", "component_id")
     alone = rows.where("not fits").select("id", F.lit(0).cast("long").alias("n_links"),
                                           F.col("id").alias("component_id"))

@@ -2,11 +2,13 @@
 
 1. Fingerprints: one Arrow pass per text (XXH64 of every shingle, majority per bit).
 2. Distinct fingerprints are dealt to cells. With a radius of r bits, the 64 bits are cut
-   into r + 1 blocks: two fingerprints within the radius agree on one block at least, so
-   each fingerprint goes to the cells (block, value). A cell with more than ``CELL``
-   members is split into sub-blocks by a hash of the fingerprint and compared pair of
-   sub-blocks by pair of sub-blocks, so no task holds more than 2 * CELL of them and none
-   is left out.
+   into b > r blocks: two fingerprints within the radius agree on b - r blocks at least, so
+   each fingerprint goes to one cell per choice of b - r blocks and their value. Every b is
+   exact; ``cut_for`` takes the one whose cells cost the fewest copies for the number of
+   distinct fingerprints, so cells do not fill as the table grows. A cell with more than
+   ``CELL`` members all the same (texts that resemble one another) is split into sub-blocks
+   by a hash of the fingerprint and compared pair of sub-blocks by pair of sub-blocks, so no
+   task holds more than 2 * CELL of them and none is left out.
 3. Inside a cell the fingerprints are stored vertically, one bit plane per bit position;
    a carry-save adder tree sums eight planes at a time into bitwise counters, for 64
    distances in each machine word, and a block of queries is abandoned as soon as all its
@@ -17,6 +19,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deadwire.llm.common import materialize, text_chunks, tidy
+from deadwire.llm.common import join_back, materialize, text_chunks, tidy
 from deadwire.llm.components import components
 from deadwire.llm.words import normalized, split_words
 
@@ -190,13 +194,25 @@ def groups(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
     return root
 
 
-def _cells(fps: DataFrame, radius: int) -> DataFrame:
-    """fps(fp) -> (block, value, i, j, side, fp): sub-cell pairs i <= j; side 0 belongs to
-    sub-block i, side 1 to sub-block j."""
-    blocks = radius + 1
+def copies(n: int, blocks: int, radius: int) -> float:
+    """Rows that one of ``n`` evenly spread fingerprints becomes when the 64 bits are cut into ``blocks``:
+    the choices of blocks, times the sub-cells of a cell. The narrowest choice counts."""
+    bits = 64 // blocks * (blocks - radius)
+    return comb(blocks, radius) * max(1.0, n / 2 ** bits / CELL)
+
+
+def cut_for(n: int, radius: int) -> int:
+    """Number of blocks with the fewest ``copies`` of each of ``n`` fingerprints, the smallest of equals."""
+    return min(range(radius + 1, min(64, 2 * radius + 2) + 1), key=lambda b: (copies(n, b, radius), b))
+
+
+def _cells(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fps(fp) -> (block, value, i, j, side, fp): ``block`` numbers the choice of blocks, ``value`` holds
+    their bits; sub-cell pairs i <= j; side 0 belongs to sub-block i, side 1 to sub-block j."""
     cut = [round(64 * k / blocks) for k in range(blocks + 1)]
-    value = [F.shiftrightunsigned("fp", cut[k]).bitwiseAND(F.lit((1 << (cut[k + 1] - cut[k])) - 1).cast("long"))
-             for k in range(blocks)]
+    masks = [(1 << cut[k + 1]) - (1 << cut[k]) for k in range(blocks)]
+    chosen = [sum(c) for c in combinations(masks, blocks - radius)]
+    value = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in chosen]
     dealt = fps.select("fp", F.posexplode(F.array(*value)).alias("block", "value"))
     sizes = (dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
              .select("block", "value", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
@@ -257,9 +273,9 @@ def _compare(radius: int):
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """fps(fp long, distinct) -> edges (a, b) whose components are those of all pairs
-    within ``radius`` bits."""
+    within ``radius`` bits. Counts ``fps`` first, to choose the cut."""
     key = ["block", "value", "i", "j"]
-    cells = _cells(fps, radius).repartition(*key).sortWithinPartitions(*key, "side", "fp")
+    cells = _cells(fps, radius, cut_for(fps.count(), radius)).repartition(*key).sortWithinPartitions(*key, "side", "fp")
     return cells.mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -277,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = fps.join(found, fps.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    fp_names = roots.join(named, "root").select("fp", "root", "component_id")
+    fp_names = join_back(roots, named, "root").select("fp", "root", "component_id")
     return rows.join(fp_names, "fp").select(id_col, "fp", *carry, "root", "component_id")
 
 

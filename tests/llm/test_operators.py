@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 import brute
 from deadwire.llm import (bpe, chat, embeddings, licenses, packing, quality, queries, simhash, substring,
                           token_files, tokens, warc)
-from deadwire.llm.common import table, work_dir
+from deadwire.llm.common import join_back, table, work_dir
 from deadwire.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -413,18 +414,66 @@ def test_bit_slices():
         assert np.array_equal(near[:, :len(b)].astype(bool), np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
 
 
-def test_simhash_cells_that_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL", 16)
+@pytest.fixture(scope="module")
+def clusters():
+    """Fingerprints around twelve centres and (fingerprint, root) of those that link within 4 bits."""
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(12)]
     fps = {b ^ sum(1 << r.randrange(20) for _ in range(r.randint(0, 5))) for b in base for _ in range(60)}
+    fps |= {b ^ sum(1 << i for i in r.sample(range(64), 4)) for b in base for _ in range(20)}
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    got = components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5), 4))
     u = np.array(fps, np.int64).view(np.uint64)
     pairs = np.argwhere(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4).tolist()
     root = brute.reachable(len(fps), [(a, b) for a, b in pairs if a != b])
-    linked = {a for a, b in pairs if a != b}
-    assert bag(got) == Counter((fps[i], fps[root[i]]) for i in linked)
+    return fps, Counter((fps[i], fps[root[i]]) for i in {a for a, b in pairs if a != b})
+
+
+def test_simhash_cells_that_are_split(spark, monkeypatch, clusters):
+    monkeypatch.setattr(simhash, "CELL", 16)
+    fps, want = clusters
+    assert bag(components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5), 4))) == want
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 8, 10])
+def test_simhash_any_cut_finds_all(spark, monkeypatch, clusters, blocks):
+    monkeypatch.setattr(simhash, "cut_for", lambda n, radius: blocks)
+    fps, want = clusters
+    assert bag(components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 4))) == want
+
+
+def test_simhash_copies_do_not_follow_the_table(spark, monkeypatch):
+    """With cells of 4, 5 blocks mean more copies of a row the more rows there are; the chosen cut does not."""
+    monkeypatch.setattr(simhash, "CELL", 4)
+    chosen = [simhash.cut_for(n, 4) for n in (1000, 10 ** 6, 10 ** 8, 10 ** 10)]
+    assert chosen[0] == 5 and chosen == sorted(chosen)
+    assert simhash.copies(10 ** 10, 5, 4) > 10 ** 6 and simhash.copies(10 ** 10, chosen[-1], 4) <= 126
+    monkeypatch.setattr(simhash, "CELL", 2048)
+    assert simhash.cut_for(10 ** 10, 4) == 7 and simhash.copies(10 ** 10, 7, 4) <= 40
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(simhash, "CELL", 1)
+    rows = []
+    for n in (20_000, 80_000):
+        fps = spark.createDataFrame(pd.DataFrame({"fp": r.integers(-2 ** 63, 2 ** 63, n, dtype=np.int64)})).cache()
+        rows.append(simhash._cells(fps, 4, simhash.cut_for(n, 4)).count() / n)
+    assert rows[1] <= 1.2 * rows[0] + 1  # dealt alone would be four times
+
+
+def test_join_back_is_split(spark):
+    """A key that holds nearly all rows is many tasks of the join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(200_000, numPartitions=16).selectExpr("if(id % 100 = 0, id, 7) AS k", "id AS v")
+        joined = join_back(rows, rows.groupBy("k").agg(F.min("v").alias("m")), "k")
+        got = joined.agg(F.count("*"), F.sum("m"), F.sum("k"))
+        assert got.collect()[0][0] == 200_000 and joined.columns == ["k", "v", "m"]
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 # -- 9 ----------------------------------------------------------------------------------------
