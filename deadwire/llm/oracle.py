@@ -51,38 +51,47 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 
 def _quality() -> str:
-    """Base counts and, per n, the characters in n-grams that stand earlier in the text."""
-    sizes = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
+    """Base counts and, per n, the characters in n-grams that stand earlier in the text (dup), and of those that
+    stand three times or more (many)."""
+    sizes = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
     # an n-gram is put together from its words' rows; unnesting positions beside the word list would copy it per row
     grams = ",\n".join(f"""
 s{n} AS (SELECT doc_id, i, size, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW
          AND {n - 1} FOLLOWING) AS gram FROM u),
 g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS later,
-         count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM s{n} WHERE i + {n - 1} <= size),
-c{n} AS (SELECT u.doc_id, sum(length(u.word))::BIGINT AS chars FROM u SEMI JOIN
-        (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE later) x
+         count(*) OVER (PARTITION BY doc_id, gram) AS times FROM s{n} WHERE i + {n - 1} <= size),
+c{n} AS (SELECT u.doc_id, sum(length(u.word))::BIGINT AS chars,
+         coalesce(sum(length(u.word)) FILTER (x.many), 0)::BIGINT AS many FROM u JOIN
+        (SELECT doc_id, i, bool_or(many) AS many FROM
+         (SELECT doc_id, unnest(range(i, i + {n})) AS i, times > 2 AS many FROM g{n} WHERE later) GROUP BY doc_id, i) x
         ON x.doc_id = u.doc_id AND x.i = u.i GROUP BY u.doc_id)""" for n in sizes)
-    columns = "".join(f", coalesce(c{n}.chars, 0) AS dup_{n}gram_chars" for n in sizes)
+    columns = "".join(f", coalesce(c{n}.chars, 0) AS dup_{n}gram_chars, coalesce(c{n}.many, 0) AS many_{n}gram_chars"
+                      for n in sizes)
     joins = "".join(f" LEFT JOIN c{n} ON c{n}.doc_id = w.doc_id" for n in sizes)
-    fits = " AND ".join(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in sizes.items())
+    limits = {"line": 20, **{f"{n}gram": p for n, p in sizes.items()}}
+    fits = " AND ".join(f"50 * (dup_{x}_chars + many_{x}_chars) <= {p} * word_chars" for x, p in limits.items())
     return f"""
 WITH {_WORDS.strip()},
 u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS size FROM w),
 {grams.strip()},
 rep AS (SELECT doc_id, count(*)::BIGINT AS n FROM
-        (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM g8 WHERE twice) GROUP BY doc_id),
-ln AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id, l) > 1 AS later FROM
+        (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM g8 WHERE times > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id, l) > 1 AS later,
+       count(*) OVER (PARTITION BY doc_id, l) AS times FROM
        (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)
        WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 lines AS (SELECT doc_id, count(*)::BIGINT AS n,
-          sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g')))::BIGINT AS chars FROM ln WHERE later GROUP BY doc_id),
+          sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g')))::BIGINT AS chars,
+          coalesce(sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (times > 2), 0)::BIGINT AS many
+          FROM ln WHERE later GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, length(array_to_string(w.ws, ''))::BIGINT AS word_chars,
       length(regexp_replace(array_to_string(w.ws, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
       coalesce(lines.n, 0) AS n_dup_lines, coalesce(lines.chars, 0) AS dup_line_chars,
+      coalesce(lines.many, 0) AS many_line_chars,
       coalesce(rep.n, 0) AS n_repeat_words{columns}
       FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id{joins}),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND 100 * dup_line_chars <= 40 * word_chars AND {fits} AS kept FROM b"""
+SELECT *, NOT base_failed AND {fits} AS kept FROM b"""
 
 
 OP10 = r"""

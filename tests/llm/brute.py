@@ -71,33 +71,36 @@ def embeddings(rows, cosine=0.93):
     return [(r[0], n[i], comp[i], r[0] == comp[i]) for i, r in enumerate(rows)]
 
 
-def quality(text, ngrams={5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}, lines=40):
+def quality(text, ngrams={5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}, lines=20):
     ws = words(text)
     chars = [len(w) for w in ws]
     grams = {n: [tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)] for n in {*ngrams, 8}}
     many = Counter(grams[8])
     repeated = {i + j for i, g in enumerate(grams[8]) if many[g] > 1 for j in range(8)}
-    seen, dup, dup_chars = set(), 0, 0
-    for line in (text or "").split("\n"):
-        if words(line):
-            if line in seen:
-                dup += 1
-                dup_chars += sum(map(len, words(line)))
-            seen.add(line)
-    held = {}
+    parts = [x for x in (text or "").split("\n") if words(x)]
+    seen, dup, dup_chars, many_chars = set(), 0, 0, 0
+    for line in parts:
+        if line in seen:
+            dup += 1
+            dup_chars += sum(map(len, words(line)))
+            many_chars += sum(map(len, words(line))) * (parts.count(line) > 2)
+        seen.add(line)
+    held = {"dup_line_chars": dup_chars, "many_line_chars": many_chars}
     for n in sorted(ngrams):
-        known, cover = set(), set()
-        for i, g in enumerate(grams[n]):
-            if g in known:
-                cover |= set(range(i, i + n))
-            known.add(g)
-        held[n] = sum(chars[i] for i in cover)
+        times = Counter(grams[n])
+        for name, least in (("dup", 2), ("many", 3)):
+            known, cover = set(), set()
+            for i, g in enumerate(grams[n]):
+                if g in known and times[g] >= least:
+                    cover |= set(range(i, i + n))
+                known.add(g)
+            held[f"{name}_{n}gram_chars"] = sum(chars[i] for i in cover)
     total = sum(chars)
     failed = len(ws) < 20 or 100 * len(repeated) > 30 * len(ws)
-    kept = not failed and 100 * dup_chars <= lines * total and all(100 * held[n] <= ngrams[n] * total for n in ngrams)
+    kept = not failed and all((held[f"dup_{x}_chars"] + held[f"many_{x}_chars"]) / 2 * 100 <= limit * total
+                              for x, limit in {"line": lines, **{f"{n}gram": p for n, p in ngrams.items()}}.items())
     return {"n_words": len(ws), "word_chars": total, "n_symbols": sum(c in "#*$%&|<>" for w in ws for c in w),
-            "n_dup_lines": dup, "dup_line_chars": dup_chars, "n_repeat_words": len(repeated),
-            **{f"dup_{n}gram_chars": held[n] for n in sorted(ngrams)}, "base_failed": failed, "kept": kept}
+            "n_dup_lines": dup, "n_repeat_words": len(repeated), **held, "base_failed": failed, "kept": kept}
 
 
 def fingerprint(text, shingle=4):

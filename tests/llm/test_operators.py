@@ -313,6 +313,19 @@ def test_quality(docs, rows, empty):
     assert "label" in got.columns and quality.quality(empty).count() == 0
 
 
+def test_quality_limits(spark):
+    """A long page with a third of its characters in repeated short lines goes; a header that returns once does not."""
+    menu = "".join(prose(9, i).replace("\n", " ") + ("\nReply Share Report abuse\n" if i % 2 else "\nsee more\n") for i in range(200))
+    header = "Weekly notes of the town council for residents\n"
+    once = header + prose(25, 1) + "\n" + header + prose(25, 2)
+    docs = spark.createDataFrame([(1, menu), (2, once), (3, prose(3000, 3)), (4, header * 2 + prose(40, 4) + "\n" + header)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert 20 < 100 * got[1].dup_line_chars / got[1].word_chars < 40 and not got[1].base_failed
+    assert [got[i].kept for i in (1, 2, 3)] == [False, True, True]
+    assert 0 < got[2].dup_line_chars and got[2].many_line_chars == 0 and got[4].many_line_chars == got[4].dup_line_chars
+
+
 def test_quality_table(spark, whole):
     names = list(brute.quality(""))
     assert bag(queries.op5_quality(spark, SF), "doc_id", *names) == Counter(
