@@ -20,6 +20,8 @@ parts; a group holds at most 200 rows by construction.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: part rows per task: a task renders and extracts that many in some seconds and holds some 50 MB of facts
+ROWS_PER_TASK, LEAST_ROWS = 20_000, 500
+
+
+def dealt(rows: DataFrame, n_parts: int, *by: str) -> DataFrame:
+    """``rows`` made from ``n_parts`` rows of ``part``, dealt by ``by`` to tasks of about ROWS_PER_TASK of these; fewer
+    if cores are free. Input splits and adaptive execution count bytes, of which a part row has few, but each
+    becomes a text that is rendered and extracted: a table of some MB would be one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(math.ceil(n_parts / ROWS_PER_TASK), min(cores, math.ceil(n_parts / LEAST_ROWS)), 1)
+    return rows.repartition(tasks, *by)
+
+
 def field_name(partkey: Column, size: Column) -> Column:
     t = F.pmod(size, F.lit(12))
     out = None
@@ -194,13 +209,19 @@ def render(groups: DataFrame) -> DataFrame:
     return g.select("repo", F.inline(both))
 
 
+GROUP = ["repo", "bucket", "lang", "style", "has_fe"]
+
+
 def groups_of(parts: DataFrame) -> DataFrame:
     """One row per (repo, bucket) with its parts sorted by key (<= BUCKET rows)."""
-    return (parts.groupBy("repo", "bucket", "lang", "style", "has_fe")
+    return (parts.groupBy(*GROUP)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), "name", "is_read")))
                  .alias("fs")))
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files(repo, path, lang, content) rendered from part and lineitem."""
-    return render(groups_of(parts_with_truth(spark, sf_dir)))
+def derived_files(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """files(repo, path, lang, content) rendered from part and lineitem; ``deal``: in tasks that suit extraction."""
+    parts = parts_with_truth(spark, sf_dir)
+    if deal:
+        parts = dealt(parts, read_table(spark, sf_dir, "part").count(), *GROUP)
+    return render(groups_of(parts))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deadwire.sources.derived import BUCKET, read_table
+from deadwire.sources.derived import BUCKET, dealt, read_table
 
 #: (language, text): request models; Flask reads; Java; Go net/http; gin; Express; client classes
 FORMS: tuple[tuple[str, str], ...] = (
@@ -142,6 +142,7 @@ app.get('/forms/shared/s##', list);
 def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(repo, path, lang, content): one per part."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part = dealt(part, part.count(), "p_partkey", "p_brand")
     form = F.pmod("p_partkey", F.lit(len(FORMS))).cast("int")
     pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in FORMS)), form + 1)
     key, block = F.col("p_partkey").cast("string"), F.expr(f"string(p_partkey div {BUCKET})")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from deadwire.operators.order import global_rank
 from deadwire.operators.ranges import contained
+from deadwire.sources.derived import ROWS_PER_TASK, dealt, derived_files
 from deadwire.sources.files import accounting, parse_expected, parse_precomputed, read_expected, read_precomputed_fields
+from deadwire.sources.forms import form_files
 
 
 def test_points_in_nested_and_overlapping_ranges(spark):
@@ -98,3 +100,21 @@ def test_report_documents_in_chunks_and_order(spark, tmp_path):
         for c in range(n)]
     assert max(len(x["items"]) for x in lines) == 5
     a.close()
+
+
+def test_corpus_rows_are_dealt_to_tasks_by_their_number(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    part = spark.range(4000).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 3).alias("p_brand"),
+                                    (F.col("id") % 50).cast("int").alias("p_size"))
+    part.union(part.where("p_partkey < 3")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.createDataFrame([(5, "R", 1), (5, "R", 1), (7, "A", 1), (None, "R", 1)], "l_partkey long, l_returnflag string, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for corpus, n in ((form_files, 4003), (derived_files, None)):
+        files = corpus(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in files.groupBy("task").count().collect()]
+        assert len(per_task) >= min(cores, 4) // 2 + (cores > 1) and (n is None or sum(per_task) == n)
+    want = derived_files(spark, str(tmp_path), deal=False)
+    assert files.drop("task").exceptAll(want).count() == 0 and files.count() == want.count()
+    # a task's rows do not follow the table
+    tasks = [dealt(spark.range(9), n).rdd.getNumPartitions() for n in (0, 1, 4 * cores * ROWS_PER_TASK, 40 * cores * ROWS_PER_TASK)]
+    assert tasks == [1, 1, 4 * cores, 40 * cores]
