@@ -2,7 +2,7 @@
 
 Events (repo, path, kind, seq) say what happened to a file: ``scan`` and ``save`` make its findings current, ``edit`` makes
 them stale (lines have moved, the text is not the scanned one), ``delete`` ends them. ``seq`` orders a file's events.
-A keyed stateful operator holds the last event of every file and its state, and passes on a file only
+A keyed aggregation over the stream holds the last event of every file and its state, and passes on a file only
 when its state or sequence moves: a replayed or late event changes nothing and is not written.
 
 Each batch's changes go to a directory of their own (a batch that is delivered again overwrites itself); the state of a
@@ -10,12 +10,8 @@ file is that of its highest sequence, and ``visible`` takes the findings of stal
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "repo string, path string, kind string, seq long"
 CHANGES = "repo string, path string, state string, seq long"
@@ -25,25 +21,22 @@ STATES = {"scan": "scanned", "save": "scanned", "edit": "edited", "delete": "del
 _ORDER = {"scanned": 0, "edited": 1, "deleted": 2}
 
 
-def _step(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, now = state.get if state.exists else (None, None)
-    moved = False
-    for part in events:
-        for kind, at in zip(part["kind"], part["seq"]):
-            to = STATES.get(kind)
-            if to is None or pd.isna(at):
-                continue
-            if seq is None or (at, _ORDER[to]) > (seq, _ORDER[now]):
-                seq, now, moved = int(at), to, True
-    if moved:
-        state.update((seq, now))
-        yield pd.DataFrame({"repo": [key[0]], "path": [key[1]], "state": [now], "seq": [seq]})
+def _now():
+    """The time of the running batch, one for all its rows; a batch that is delivered again has the same."""
+    return F.unix_micros(F.current_timestamp())
 
 
 def changes(events: DataFrame) -> DataFrame:
-    """Streaming events -> (repo, path, state, seq) of the files whose state has moved in a batch."""
-    return events.groupBy("repo", "path").applyInPandasWithState(
-        _step, CHANGES, "seq long, state string", "update", GroupStateTimeout.NoTimeout)
+    """Streaming events -> (repo, path, state, seq) of the files whose state has moved in a batch.
+
+    ``since`` is the time of the batch that brought the event that counts. Of events that are alike the earliest counts, so
+    a replay keeps its time and only a file that has moved bears that of the running batch."""
+    to = F.element_at(F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair)), F.col("kind"))
+    order = F.element_at(F.create_map(*(F.lit(x) for pair in _ORDER.items() for x in pair)), F.col("state"))
+    known = events.select("repo", "path", "seq", to.alias("state"), (-_now()).alias("since")).where("state is not null and seq is not null")
+    last = F.max(F.struct("seq", order.alias("order"), "since", "state")).alias("last")
+    moved = known.groupBy("repo", "path").agg(last).where(F.col("last.since") == -_now())
+    return moved.select("repo", "path", "last.state", "last.seq")
 
 
 def run_validity(spark: SparkSession, events: str, log: str, checkpoint: str, available_now: bool = True):

@@ -124,3 +124,16 @@ def test_edits_withdraw_until_the_next_scan(spark, folders):
     findings = spark.createDataFrame([("r", p, p) for p in "abcde"] + [("s", "b", "b")], "repo string, path string, name string")
     left = validity.visible(findings, validity.file_states(spark, log))
     assert sorted((r.repo, r.path) for r in left.collect()) == [("r", "a"), ("r", "c"), ("r", "e"), ("s", "b")]
+
+
+def test_states_of_files_need_no_python_call_per_file(spark, folders):
+    landing, log, ckpt = folders
+    big = 2**53 + 1  # beside a missing number a double would round it
+    events = spark.createDataFrame([("r", "a", "edit", big), ("r", "a", "edit", None), ("r", None, "edit", 1), (None, None, "scan", 1)], validity.EVENTS)
+    assert "Pandas" not in validity.changes(events)._jdf.queryExecution().toString()
+    for _ in range(2):
+        events.write.mode("append").parquet(landing)
+        validity.run_validity(spark, landing, log, ckpt)
+    assert spark.read.parquet(log).count() == 3
+    got = {(r.repo, r.path, r.state, r.seq) for r in validity.file_states(spark, log).collect()}
+    assert got == {("r", "a", "edited", big), ("r", None, "edited", 1), (None, None, "scanned", 1)}
