@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from deadwire.functions import scalars as S
 from deadwire.functions.noise import noise_table
-from deadwire.plans.pipeline import Analysis
+from deadwire.plans.pipeline import Analysis, materialize
 from deadwire.sources.derived import derived_files, parts_with_truth, read_table
 from deadwire.sources.forms import form_files
 
@@ -210,6 +210,11 @@ QUERIES = {
 }
 
 
+def _rendered(spark, sf_dir):
+    """The derived files, rendered once for all drops. Not dealt out: every landing file costs a share of a batch."""
+    return materialize(spark, derived_files(spark, sf_dir, deal=False), "rendered")
+
+
 def q_incremental_rescan(spark, sf_dir):
     """The corpus lands as a change feed of versioned saves (first every file with stale
     frontends that read nothing, then the real frontends); a file-source
@@ -221,7 +226,7 @@ def q_incremental_rescan(spark, sf_dir):
     from deadwire.streaming.rescan import current_state, run_rescan, write_drop
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rescan-{uuid.uuid4().hex[:12]}"
-    files = derived_files(spark, sf_dir)
+    files = _rendered(spark, sf_dir)
     is_fe = F.col("path").contains("/frontend/")
     stale = F.regexp_replace("content", r"\n  (out\.push|const \{)[^\n]*", "")
     write_drop(files.withColumn("content", F.when(is_fe, stale).otherwise(F.col("content"))),
@@ -293,7 +298,7 @@ def q_rescan_touched(spark, sf_dir):
 
     base = _scratch(spark, "maintained")
     landing, state = f"{base}/landing", f"{base}/state"
-    files = derived_files(spark, sf_dir)
+    files = _rendered(spark, sf_dir)
     is_fe = F.col("path").contains("/frontend/")
     stale = files.withColumn("content", F.when(is_fe, F.regexp_replace("content", r"\n  (out\.push|const \{)[^\n]*", ""))
                              .otherwise(F.col("content")))

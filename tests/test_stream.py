@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from deadwire.streaming.rescan import compact, current_state, run_rescan, write_drop
+from deadwire.streaming.rescan import LANDING_SCHEMA, _batch_writer, compact, current_state, run_rescan, write_drop
 
 FRONT_V1 = "export async function f() {\n  const r = await fetch('/api/items');\n  const b = await r.json();\n  return [b.itemName, b.itemPrice];\n}\n"
 FRONT_V2 = "export async function f() {\n  const r = await fetch('/api/items');\n  const b = await r.json();\n  return [b.itemName];\n}\n"
@@ -56,3 +56,20 @@ def test_stream_deletes_and_duplicates(spark):
     assert spark.read.parquet(os.path.join(small, "files_log")).count() == 3
     run_rescan(spark, landing, small, ckpt)  # nothing new
     assert current_state(spark, small).files.count() == 2
+
+
+def test_tasks_of_a_batch_follow_its_saves(spark):
+    state = os.path.join(tempfile.mkdtemp(prefix="deadwire-stream-test-"), "state")
+    rows = [("shop", f"api/{i % 300}.py", BACK, 1 + i // 300, False) for i in range(600)]
+    batch = spark.createDataFrame(rows, LANDING_SCHEMA).repartition(5)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        _batch_writer(state)(batch, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    log = spark.read.parquet(f"{state}/files_log")
+    assert log.count() == 300 and log.where("version = 2").count() == 300
+    assert len([f for f in os.listdir(f"{state}/files_log/batch=0") if f.endswith(".parquet")]) <= 3
+    facts = spark.read.parquet(f"{state}/facts_log")
+    assert facts.where("ext = 'py_defs'").count() == 900
