@@ -14,8 +14,8 @@ and leaves the files of all others as they are. Commits are written last, so a b
 seen, and a batch that is delivered again ignores its own commit and overwrites itself. A save counts if
 its version is higher than that of the file; what is older or delivered twice touches nothing.
 
-Per batch: the winning save of each file is found on its keys (texts are not shuffled), the winners' texts are
-extracted in the scan, and the touched repos' old rows are read from the batch directories that hold their
+Per batch: the winning save of each file is found on its keys, the winners' texts are dealt to tasks by their number
+and extracted there, and the touched repos' old rows are read from the batch directories that hold their
 current version. Work follows the touched repos; reading ``commits`` follows the number of rewrites, which
 ``compact_views`` resets.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from deadwire.operators.extract import extract, facts_of, routes_of
 from deadwire.plans.pipeline import Analysis, materialize
 from deadwire.sources.files import lang_of
-from deadwire.streaming.rescan import LANDING_SCHEMA
+from deadwire.streaming.rescan import LANDING_SCHEMA, dealt_by_file
 
 FIELD = "lang string, ext string, side string, rule string, name string, line int, pos int"
 SCHEMAS = {
@@ -106,7 +106,7 @@ def _maintain(state: str):
         if not touched.isEmpty():
             key = ["repo", "path", "version", "deleted", "text_hash"]
             texts = batch.join(saves.where("not deleted").select(*key), key, "left_semi")
-            found = extract(texts.withColumn("lang", lang_of(F.col("path"))))
+            found = extract(dealt_by_file(texts, saves.count()).withColumn("lang", lang_of(F.col("path"))))
             # a save that is delivered twice is one; extracted rows are compared, not texts
             found = materialize(spark, found.dropDuplicates(["repo", "path"]), "saved", written=written)
             old = before.join(touched, "repo", "left_semi")

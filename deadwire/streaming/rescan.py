@@ -57,18 +57,18 @@ def _saves(df: DataFrame) -> DataFrame:
             .filter(F.col("lang").isNotNull()))
 
 
-def _dealt(batch: DataFrame) -> DataFrame:
-    """Landing records by file in tasks of about SAVES_PER_TASK, fewer if cores are free. ``spark.sql.shuffle.partitions`` is set
-    for the whole input; a batch is a part of it, and a task costs some tenths of a second for the Python
-    workers and files of its own."""
-    saves, cores = batch.count(), batch.sparkSession.sparkContext.defaultParallelism
+def dealt_by_file(rows: DataFrame, saves: int) -> DataFrame:
+    """``rows`` of ``saves`` saves by file in tasks of about SAVES_PER_TASK, fewer if cores are free. Input splits and
+    adaptive execution count bytes, ``spark.sql.shuffle.partitions`` is set for the whole input; a batch is a part of it,
+    and a task costs some tenths of a second for the Python workers and files of its own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(math.ceil(saves / SAVES_PER_TASK), min(cores, math.ceil(saves / LEAST_SAVES)), 1)
-    return batch.repartition(tasks, "repo", "path")
+    return rows.repartition(tasks, "repo", "path")
 
 
 def _batch_writer(state: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        ex = extract(_saves(_dealt(batch)), keep=["version", "deleted"]).persist()
+        ex = extract(_saves(dealt_by_file(batch, batch.count())), keep=["version", "deleted"]).persist()
         out, n = f"batch={batch_id}", F.lit(batch_id).cast("bigint").alias("seen")
         ex.select("repo", "path", "lang", "version", "deleted", n).write.mode("overwrite") \
             .parquet(f"{state}/files_log/{out}")

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 
 from deadwire.plans.pipeline import Analysis
-from deadwire.streaming import maintain, validity
+from deadwire.streaming import maintain, rescan, validity
 from deadwire.streaming.rescan import LANDING_SCHEMA, write_drop
 
 FRONT = "export async function f() {\n  const r = await fetch('/api/items');\n  const b = await r.json();\n  return [%s];\n}\n"
@@ -137,3 +137,21 @@ def test_states_of_files_need_no_python_call_per_file(spark, folders):
     assert spark.read.parquet(log).count() == 3
     got = {(r.repo, r.path, r.state, r.seq) for r in validity.file_states(spark, log).collect()}
     assert got == {("r", "a", "edited", big), ("r", None, "edited", 1), (None, None, "scanned", 1)}
+
+
+def test_texts_of_a_batch_are_extracted_in_tasks_that_follow_their_number(spark, folders, monkeypatch):
+    landing, state, ckpt = folders
+    monkeypatch.setattr(rescan, "SAVES_PER_TASK", 50)
+    tasks, extract = [], maintain.extract
+
+    def watched(texts):
+        tasks.append(texts.rdd.getNumPartitions())
+        return extract(texts)
+
+    monkeypatch.setattr(maintain, "extract", watched)
+    rows = [("shop", f"api/{i}.py", BACK.replace("items", f"i{i}")) for i in range(600)]
+    for _ in range(2):  # delivered twice
+        write_drop(files(spark, rows).coalesce(1), landing, 1)
+    maintain.run_maintained(spark, landing, state, ckpt)
+    assert tasks == [12]
+    assert maintain.view(spark, state, "facts").where("ext = 'py_defs'").count() == 1200
